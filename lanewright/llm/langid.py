@@ -115,7 +115,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, clusters: int = 4, slack: float = 0.5, most_languages: int = 1000, seed: int = 11) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, clusters: int = 4, slack: float = 0.2, most_languages: int = 1000, seed: int = 11) -> LanguageModel:
     """Learns from rows with a text and a lang that aren't held out.
 
     IDF counts all of them. Centroids come from about per_language whole texts a language (of at most `longest` characters,

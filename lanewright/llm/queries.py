@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.llm import langid, licences, media, quality
+from lanewright.llm import langid, licences, media, mixing, quality, sharding
 from lanewright.llm.common import table
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit(docs, labels))
 
 
+def op4_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.with_shards(table(spark, sf_dir, "documents")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_license_scan, op8_language_id, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op8_language_id, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
