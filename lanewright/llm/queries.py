@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.llm import langid, licences, media, mixing, quality, sharding
+from lanewright.llm import langid, licences, media, mixing, quality, sharding, winnowing
 from lanewright.llm.common import table
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(winnowing.edited_and_next(table(spark, sf_dir, "documents")))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -34,5 +38,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op8_language_id, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op8_language_id, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
