@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.llm import langid, licences, media, mixing, quality, sharding, winnowing
+from lanewright.llm import langid, licences, media, minhash, mixing, quality, sharding, winnowing
 from lanewright.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -38,5 +42,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op8_language_id, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op8_language_id, op10_media_columns)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_neardup": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words
+), posted as (
+  select doc_id, len(s) as n, unnest(s) as g from sets
+), links as (
+  select a.doc_id as x, b.doc_id as y from posted a join posted b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(x, y) as (
+  select doc_id, doc_id from documents union select reach.x, links.y from reach join links on reach.y = links.x
+), least as (
+  select x, min(y) as component_id from reach group by x
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from sets join least on x = doc_id
+""",
+}
