@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import held_out, map_batches
+from lanewright.llm.common import held_out, keep_where, map_batches
 
 UNKNOWN = "und"
 WIDTH = 8192  # hashed n-gram buckets
@@ -150,6 +150,19 @@ def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, cluster
     return LanguageModel(tuple(languages), idf, stacked, np.array(language_of, np.int64), np.array(least, np.float32))
 
 
+def judge(m: LanguageModel, letters: np.ndarray, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    """Language, cosine and rejection of each text."""
+    out = [(UNKNOWN, 0.0, True)] * len(texts)
+    spoken = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
+    for group in _groups([texts[i] for i in spoken]):
+        at = [spoken[i] for i in group]
+        cosine = _vectors([texts[i] for i in at], letters, m.idf) @ m.centroids.T
+        best = cosine.argmax(axis=1)
+        for i, b, s in zip(at, best, cosine[np.arange(len(at)), best], strict=True):
+            out[i] = m.languages[m.language_of[b]], min(1.0, max(0.0, float(s))), bool(s < m.least[b])
+    return out
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected, for every row.
 
@@ -162,17 +175,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m, letters = sent.value, _letters()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            names, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            spoken = [i for i, t in enumerate(texts) if m.languages and any(map(str.isalpha, t))]
-            for group in _groups([texts[i] for i in spoken]):
-                at = [spoken[i] for i in group]
-                cosine = _vectors([texts[i] for i in at], letters, m.idf) @ m.centroids.T
-                best = cosine.argmax(axis=1)
-                for i, b, s in zip(at, best, cosine[np.arange(len(at)), best], strict=True):
-                    names[i], scores[i], rejected[i] = m.languages[m.language_of[b]], min(1.0, max(0.0, float(s))), bool(s < m.least[b])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            found = list(zip(*judge(m, letters, batch.column(2).to_pylist()), strict=True)) or [(), (), ()]
+            made = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
         return apply
 
     return map_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), start, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean", 256)
+
+
+def kept(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs that aren't rejected, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        m, letters = sent.value, _letters()
+        return lambda texts: [not rejected for _, _, rejected in judge(m, letters, texts)]
+
+    return keep_where(docs, start, 256)

@@ -148,5 +148,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The columns of docs, one document of each group."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = written(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import held_out, map_batches
+from lanewright.llm.common import held_out, keep_where, map_batches
 
 
 @dataclass(frozen=True)
@@ -132,3 +132,13 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         return apply
 
     return map_batches(docs.select("doc_id", held_out().alias("held_out"), "text"), start, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of docs with a score of 0.5 or more, all columns as they are."""
+
+    def start():
+        score_of = model.scorer()
+        return lambda texts: [score_of((t or "").encode("utf-8")) >= 0.5 for t in texts]
+
+    return keep_where(docs, start)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanewright.llm import langid, licences, media, minhash, mixing, quality, sharding, winnowing
+from lanewright.llm import langid, licences, media, minhash, mixing, pieces, quality, sharding, tokencount, winnowing
 from lanewright.llm.common import table
 
 
@@ -33,16 +34,27 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load()
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ranks = table(spark, sf_dir, "documents"), tokencount.read_ranks()
+    docs = docs.select("doc_id", "text", tokencount.standard_edits(F.coalesce("text", F.lit(""))).alias("edits"))
+    return tokencount.follow(tokencount.trees(docs, ranks, ["edits"]), ranks).drop("edited")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op8_language_id, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op7_sentencepiece, op8_language_id, op9_token_counts, op10_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash_neardup": r"""
