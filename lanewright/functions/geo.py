@@ -11,7 +11,7 @@ from lanewright.settings import EARTH_RADIUS_M
 def haversine_m(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     half_lat, half_lon = F.radians(lat_b - lat_a) / 2, F.radians(lon_b - lon_a) / 2
     h = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.sin(half_lon) * F.sin(half_lon)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # least() would pass over nulls
 
 
 def between_points_m(a: Column, b: Column) -> Column:
