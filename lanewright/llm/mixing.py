@@ -130,16 +130,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The columns of docs, a row for each time the mix takes a document, however many of its words."""
     times = plan.filter("size(draws) > 0").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.size("draws").alias("_times")).dropDuplicates(["_id", "_hash"])
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(times, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+    on = docs["doc_id"].eqNullSafe(times["_id"]) & (F.xxhash64(docs["text"]) == times["_hash"])
+    return docs.join(times, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias("_turn")).select(*[docs[c] for c in docs.columns])
 
 
 def write_mix(docs: DataFrame, plan: DataFrame, path: str, tasks: int, seed: int = 31) -> None:
     """Writes the drawn documents, shard by shard; each shard's rows in a random order of their own (a hash of id and pass)."""
     draws = plan.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.explode("draws").alias("_draw"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    rows = docs.join(draws, on).withColumns({"_shard": F.col("_draw.shard"), "_words": F.col("_draw.words"), "_order": F.xxhash64(F.lit(seed + 2), "_id", "_hash", "_draw.pass")})
-    rows.drop("_id", "_hash", "_draw").repartitionByRange(tasks, "_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
+    on = docs["doc_id"].eqNullSafe(draws["_id"]) & (F.xxhash64(docs["text"]) == draws["_hash"])
+    order = F.xxhash64(F.lit(seed + 2), draws["_id"], draws["_hash"], draws["_draw.pass"]).alias("_order")
+    rows = docs.join(draws, on).select(*[docs[c] for c in docs.columns], draws["_draw.shard"].alias("_shard"), draws["_draw.words"].alias("_words"), order)
+    rows.repartitionByRange(tasks, "_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
 
 
 def digest(plan: DataFrame) -> DataFrame:
