@@ -240,7 +240,7 @@ def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def route_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = routes.visible(planned(spark, sf_dir), lanes(spark, sf_dir), USER)
-    return rounded(parts.select("user_id", "pos", "uid", F.size("points").alias("points"), polyline_m(F.col("points")).alias("length_m")))
+    return rounded(parts.select("user_id", "pos", "uid", F.size("points").alias("n_points"), polyline_m(F.col("points")).alias("length_m")))
 
 
 BOXES = "boxes as (select area_type, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from fx_area_points group by area_type)"
