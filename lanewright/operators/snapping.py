@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.geo import between_points_m, haversine_m, planar_x_m, planar_y_m, polyline_m
 from lanewright.operators.network import DEGREE_M, cell
+from lanewright.storage import written
 
 #: Cell sizes in degrees, tried one after the other for the points not yet settled; the last covers the globe.
 CELLS_DEG = tuple(0.001 * 4**level for level in range(10))
 
 
 def segments(lanes: DataFrame) -> DataFrame:
-    """uid, lane_ord, segment_index, a, b, before_m (the way to a), lane_length_m: a one-point lane is a segment of itself."""
+    """uid, lane_ord, segment_index (from 0), a, b, single, before_m (the way to a), lane_length_m: a one-point lane is a
+    segment of itself."""
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))), lambda i: F.struct(F.get("points", i - 1).alias("a"), F.coalesce(F.get("points", i), F.get("points", i - 1)).alias("b")))
     rows = lanes.select("uid", "lane_ord", "points", F.posexplode(pieces).alias("segment_index", "s"))
-    return rows.select("uid", "lane_ord", "segment_index", "s.a", "s.b", polyline_m(F.slice("points", F.lit(1), F.col("segment_index") + 1)).alias("before_m"), polyline_m(F.col("points")).alias("lane_length_m"))
+    return rows.select("uid", "lane_ord", "segment_index", "s.a", "s.b", (F.size("points") == 1).alias("single"), polyline_m(F.slice("points", F.lit(1), F.col("segment_index") + 1)).alias("before_m"), polyline_m(F.col("points")).alias("lane_length_m"))
 
 
 def projection(lon: Column, lat: Column) -> dict[str, Column]:
@@ -33,10 +35,9 @@ def projection(lon: Column, lat: Column) -> dict[str, Column]:
 def measured(pairs: DataFrame) -> DataFrame:
     """Rows of a point (lon, lat) and a segment, with the projection's distance, offset and point."""
     rows = pairs.withColumns(projection(F.col("lon"), F.col("lat")))
-    one = F.col("lane_length_m") == 0
     offset = F.col("before_m") + between_points_m(F.col("a"), F.col("b")) * F.col("ratio")
     return rows.withColumns({
-        "snap_dist_m": F.when(one & (F.col("a") == F.col("b")), haversine_m(F.col("lon"), F.col("lat"), F.col("a.lon"), F.col("a.lat"))).otherwise(F.col("snap_dist_m")),
+        "snap_dist_m": F.when(F.col("single"), haversine_m(F.col("lon"), F.col("lat"), F.col("a.lon"), F.col("a.lat"))).otherwise(F.col("snap_dist_m")),
         "offset_m": offset,
         "remain_m": F.greatest(F.lit(0.0), F.col("lane_length_m") - offset),
         "projected_lon": F.col("a.lon") + (F.col("b.lon") - F.col("a.lon")) * F.col("ratio"),
@@ -60,7 +61,7 @@ def nearest_lanes(points: DataFrame, lanes: DataFrame, keys: list[str], k: int =
     settled when its k-th lane is nearer than anything outside them can be; the others look again on a coarser grid, the
     last of which has everything in reach. Every point gets min(k, lanes) rows.
     """
-    parts = segments(lanes).persist()
+    parts = written(segments(lanes), "segments")
     k = min(k, lanes.count())
     left, found = points.select(*keys, "lon", "lat"), []
     ranking = Window.partitionBy(*keys).orderBy("snap_dist_m", "lane_ord")
@@ -71,14 +72,14 @@ def nearest_lanes(points: DataFrame, lanes: DataFrame, keys: list[str], k: int =
         looks = left.select("*", around.alias("dx")).select("*", around.alias("dy"))
         looks = looks.select(*keys, "lon", "lat", (cell(F.col("lon"), step) + F.col("dx")).alias("x"), (cell(F.col("lat"), step) + F.col("dy")).alias("y"))
         near = project(looks.join(posted, ["x", "y"]).drop("x", "y"), [*keys, "lon", "lat"])
-        near = near.withColumn("rank", F.row_number().over(ranking).cast("long")).filter(F.col("rank") <= k)
+        near = written(near.withColumn("rank", F.row_number().over(ranking).cast("long")).filter(F.col("rank") <= k), "near")
         if step == CELLS_DEG[-1]:
             found.append(near)
             break
         sure = F.lit(0.999 * step * DEGREE_M) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + step)))
-        settled = near.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.col("snap_dist_m") - sure).alias("_over")).filter((F.col("_n") == k) & (F.col("_over") < 0)).select(*keys).persist()
+        settled = near.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.col("snap_dist_m") - sure).alias("_over")).filter((F.col("_n") == k) & (F.col("_over") < 0)).select(*keys)
         found.append(near.join(settled, keys, "left_semi"))
-        left = left.join(settled, keys, "left_anti").persist()
+        left = written(left.join(settled, keys, "left_anti"), "unsettled")
         if left.isEmpty():
             break
     out = found[0]

@@ -1,0 +1,95 @@
+import math
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lanewright.functions import arrays as A
+from lanewright.functions.geo import haversine_m, in_box, polyline_m
+from lanewright.functions.text import device_id, stripped
+
+POINT = "struct<lon:double,lat:double,z:double,timestamp:string>"
+
+
+def p(lon, lat, z=None):
+    return {"lon": float(lon), "lat": float(lat), "z": z, "timestamp": None}
+
+
+def frame(spark, *lines):
+    return spark.createDataFrame([(i, [tuple(x.values()) for x in line] if line is not None else None) for i, line in enumerate(lines)], f"i int, points array<{POINT}>")
+
+
+def test_lengths(spark):
+    line = [p(1, 2), p(1.001, 2), p(1.001, 2.002)]
+    got = [r[0] for r in frame(spark, line, line[:1], [], None).orderBy("i").select(polyline_m(F.col("points"))).collect()]
+    assert got[0] == pytest.approx(A.running_m(line)[-1], abs=1e-9) and got[1:] == [0.0, 0.0, None]
+    one = spark.range(1).select(haversine_m(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0))).first()[0]
+    assert one == pytest.approx(math.pi * 6371000.0)
+    assert spark.range(1).select(haversine_m(F.lit(None).cast("double"), F.lit(0.0), F.lit(180.0), F.lit(0.0))).first()[0] is None
+
+
+def test_box_borders(spark):
+    at = lambda lon, lat: spark.range(1).select(in_box(F.lit(lon), F.lit(lat), F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))).first()[0]
+    assert at(1.0, 1.0) and at(3.0, 2.0) and not at(3.0001, 2.0) and not at(1.0, 2.0001)
+
+
+def test_dedup_compares_with_the_last_kept(spark):
+    drift = [p(6e-13 * i, 0.0) for i in range(4)]
+    rows = frame(spark, drift, [p(1, 1), p(1, 1), p(1, 2), p(1, 1)], [], None).orderBy("i").select(A.dedup_consecutive(F.col("points")).alias("q")).collect()
+    assert [None if r["q"] is None else len(r["q"]) for r in rows] == [2, 3, 0, None]
+
+
+def even(items, most):
+    if len(items) <= most:
+        return items
+    if most <= 1:
+        return items[:1]
+    return [items[i] for i in dict.fromkeys(round(k * (len(items) - 1) / (most - 1)) for k in range(most))]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 7, 10, 11, 50])
+def test_samplers(spark, most):
+    lists = [list(range(n)) for n in (0, 1, 2, 9, 10, 11, 37)] + [[5] * 8 + [6, 5]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>").orderBy("i")
+    assert [r[0] for r in df.select(A.sample_even(F.col("x"), most)).collect()] == [even(x, most) for x in lists]
+    if most:
+        want = []
+        for x in lists:
+            step = max(1, math.ceil(len(x) / most))
+            taken = x[::step]
+            want.append(taken if len(x) <= most or taken[-1] == x[-1] else [*taken, x[-1]])
+        assert [r[0] for r in df.select(A.sample_stride(F.col("x"), most)).collect()] == want
+
+
+LINES = st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=8).map(lambda xs: [p(1 + x / 1e4, 2 + y / 1e4) for x, y in xs])
+
+
+@settings(max_examples=200, deadline=None)
+@given(LINES, st.floats(-50, 20_000), st.floats(-50, 20_000))
+def test_clip_properties(line, start, end):
+    whole = A.running_m(line)[-1]
+    got = A.clip(line, start, end)
+    low, high = (min(max(0.0, x), whole) for x in (start, end))
+    if high < low:
+        assert got == []
+    else:
+        assert A.running_m(got)[-1] == pytest.approx(high - low, abs=0.01)
+    assert A.running_m(A.clip(line, 0, whole))[-1] == pytest.approx(whole, abs=0.01)
+
+
+def test_point_at_and_clip_cases(spark):
+    line = [p(0, 0, 1.0), p(0, 0, 1.0), p(0.001, 0, 3.0), p(0.002, 0)]
+    m = A.hop_m(line[1], line[2])
+    assert A.point_at(line, m / 2)["z"] == pytest.approx(2.0) and A.point_at(line, 1.5 * m)["z"] is None
+    assert A.point_at(line, -5)["lon"] == 0 and A.point_at(line, 1e9)["lon"] == pytest.approx(0.002)
+    assert A.point_at([p(3, 3)], 7) == p(3, 3)
+    assert len(A.clip(line, m, m)) == 1 and A.clip(line, 2, 1) == [] and [x["lon"] for x in A.clip(line, 0, m)] == pytest.approx([0, 0.001])
+    rows = frame(spark, line, None).orderBy("i").select(A.clip_polyline("points", F.lit(0.0), F.lit(m)).alias("c"), A.point_at_offset("points", F.lit(m)).alias("q")).collect()
+    assert len(rows[0]["c"]) == 2 and rows[0]["q"]["lon"] == pytest.approx(0.001) and rows[1]["c"] is None
+
+
+def test_text(spark):
+    row = spark.range(1).select(device_id(F.lit("TLE00860CR矿")), device_id(F.lit("矿")), stripped(F.lit(" \t　x y\n ")), device_id(F.lit(None).cast("string"))).first()
+    assert list(row) == ["TLE00860CR", "矿", "x y", None]
