@@ -8,6 +8,7 @@ through one boundary, the ids up to it are final and are committed, and everythi
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from lanewright.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # stands for a blank in pieces
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # ASCII signs but for _
+NEVER = -float("inf")
 UNKNOWN_PENALTY = 10.0  # below the least score of the model
 
 
@@ -50,34 +53,49 @@ def load(path: str = MODEL) -> PieceModel:
 class Encoder:
     """Encodes with one model; ids of short stretches between sure boundaries are remembered, `remember` of them at most."""
 
-    def __init__(self, model: PieceModel, remember: int = 200_000) -> None:
-        self.model, self.remember, self.known = model, remember, {}
+    def __init__(self, model: PieceModel, remember: int = 300_000) -> None:
+        self.model, self.remember, self.known, self.older = model, remember // 2, {}, {}
         self.longest = model.longest
-        self.starts = {p[:n] for p in model.pieces for n in range(1, len(p) + 1)}
+        self.trie: dict[str, tuple] = {}  # by next sign: what may follow, score and ids of the piece that ends with it
+        for piece, (i, score) in sorted(model.pieces.items()):
+            node = self.trie
+            for sign in piece[:-1]:
+                node = node.setdefault(sign, ({}, NEVER, b""))[0]
+            node[piece[-1]] = ({}, score, array("i", [i]).tobytes())  # sorted: what begins with it comes later
         self.floor = min((s for _, s in model.pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        inner = {c for p in model.pieces if len(p) > 1 for c in p}
-        # where no piece has a blank after another sign, and none but itself a line feed, every path has a boundary there
-        before_space = all(SPACE not in p.lstrip(SPACE) for p in model.pieces)
-        feed = "\n" if "\n" not in inner else ""
-        parts = [feed] * bool(feed) + ([f"{SPACE}+[^{SPACE}{feed}]*", f"[^{SPACE}{feed}]+"] if before_space else [f"[^{feed}]+" if feed else "(?s:.+)"])
-        self.stretches = re.compile("|".join(parts)).findall
+        self.stretches = re.compile(self.sure_boundaries()).findall
+
+    def sure_boundaries(self) -> str:
+        """A pattern of stretches that no piece reaches beyond, so that every path has a boundary at their ends.
+
+        That is so before blanks, about line feeds, and between letters or digits and ASCII signs, if the model's pieces
+        never join them; signs of letters that one does join are left out.
+        """
+        pieces = [p.lstrip(SPACE) for p in self.model.pieces]
+        if any(SPACE in p or ("\n" in p and len(p) > 1) for p in pieces):
+            return "(?s:.+)"
+        joined = {c for p in pieces for a, b in zip(p, p[1:], strict=False) if (a in SIGNS) + (b in SIGNS) == 1 for c in (a, b) if c.isalnum()}
+        letters, signs, gap = rf"[^\W_{re.escape(''.join(sorted(joined)))}]", f"[{re.escape(SIGNS)}]", f"[{SPACE}\\n]|\\Z"
+        return rf"\n|{SPACE}*{letters}++(?={signs}|{gap})|{SPACE}*{signs}++(?={letters}|{gap})|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 
     def unknown(self, sign: str) -> list[int]:
         return [self.model.bytes_[b] for b in sign.encode("utf-8")] if self.model.bytes_ else [self.model.unknown]
 
     def stream(self, text: str):
         """Yields the ids of each committed stretch of text. Blanks are already SPACE."""
-        pieces, starts = self.model.pieces, self.starts
+        n = len(text)
         score, back = {0: 0.0}, {}  # by boundary since the last commit
         done = 0
-        for i in range(len(text)):
-            here = score[i]
-            j = i + 1
-            while j <= len(text) and (part := text[i:j]) in starts:
-                if part in pieces and (j not in score or here + pieces[part][1] > score[j]):
-                    score[j], back[j] = here + pieces[part][1], i
-                j += 1
-            if text[i] not in pieces and (i + 1 not in score or here + self.floor > score[i + 1]):
+        for i in range(n):
+            here, node = score[i], self.trie
+            for j in range(i, n):
+                found = node.get(text[j])
+                if found is None:
+                    break
+                node, more, _ = found
+                if here + more > score.get(j + 1, NEVER):
+                    score[j + 1], back[j + 1] = here + more, i
+            if text[i] not in self.model.pieces and (i + 1 not in score or here + self.floor > score[i + 1]):
                 score[i + 1], back[i + 1] = here + self.floor, i
             if (i + 1 - done) % self.longest == 0:
                 common = self.converged(back, [x for x in score if x > i], done)
@@ -88,7 +106,31 @@ class Encoder:
                     done = common
                 else:  # no boundary yet; states out of reach keep their back-pointers only
                     score = {x: s for x, s in score.items() if x > i}
-        yield self.ids(text, back, done, len(text))
+        yield self.ids(text, back, done, n)
+
+    def short(self, text: str) -> bytes:
+        """The ids of a text no longer than the window, which can't outgrow it."""
+        n, trie = len(text), self.trie
+        score, back, taken = [NEVER] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
+        score[0] = 0.0
+        for i in range(n):
+            here, node, j = score[i], trie, i
+            for sign in text[i:]:
+                found = node.get(sign)
+                if found is None:
+                    break
+                j += 1
+                node, more, ids = found
+                more += here
+                if more > score[j]:
+                    score[j], back[j], taken[j] = more, i, ids
+            if score[i + 1] == NEVER:
+                score[i + 1], back[i + 1], taken[i + 1] = here + self.floor, i, array("i", self.unknown(text[i])).tobytes()
+        out = []
+        while n:
+            out.append(taken[n])
+            n = back[n]
+        return b"".join(out[::-1])
 
     def converged(self, back: dict[int, int], open_: list[int], done: int) -> int:
         """The last boundary that the paths of all open states run through."""
@@ -108,23 +150,26 @@ class Encoder:
         return [i for ids in reversed(out) for i in ids]
 
     def stretch(self, text: str) -> bytes:
-        ids = np.array([i for part in self.stream(text) for i in part], "<i4").tobytes()
+        """The ids of a stretch, remembered for a while where it is short: the older half is forgotten when both are full."""
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.short(text) if len(text) <= self.longest else array("i", [i for part in self.stream(text) for i in part]).tobytes()
         if len(text) <= 64:
             if len(self.known) >= self.remember:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[text] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for null and empty ones. A SPACE sign of the text itself goes as bytes, not as a blank."""
-        known, out = self.known, []
+        out = []
         for n, part in enumerate((text or "").split(SPACE)):
             if n:
-                out.append(np.array(self.unknown(SPACE), "<i4").tobytes())
+                out.append(array("i", self.unknown(SPACE)).tobytes())
             part = part.replace(" ", SPACE)
             if not n and text and self.model.prefix:
                 part = SPACE + part
-            out += [known.get(x) or self.stretch(x) for x in self.stretches(part)]
+            out += [self.known.get(x) or self.stretch(x) for x in self.stretches(part)]
         return np.frombuffer(b"".join(out), "<i4")
 
 
@@ -166,7 +211,7 @@ def decode(encoded: DataFrame, model: PieceModel, rows: int = 128) -> DataFrame:
         decoder = Decoder(sent.value)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [decoder.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(1)]
+            texts = [decoder.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in batch.column(1)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
         return apply
