@@ -5,9 +5,10 @@ Documents with equal shingle sets form a class, and one of each class goes on. I
 that only one document has can't agree with any; of the others, in the order from rare to frequent, two such documents
 must already share one in a prefix that leaves MATCHES - 1 of all coordinates out. Only prefixes are joined.
 
-Large groups of near copies would give all their pairs. So every posting is first compared with its least document only;
-links confirmed there join most of such a group into one component, and afterwards only pairs of different components
-are compared, each at the first value that their prefixes share.
+Large groups of near copies would give all their pairs. So every posting is first compared with one hub only, the
+document whose values are the most common; links confirmed there join most of such a group into one component. Only pairs
+of different components are compared afterwards, each at the first value that their prefixes share, by what either is
+known to have in common with the hub and besides it: no pair is made that isn't a link.
 """
 
 from __future__ import annotations
@@ -55,12 +56,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, rep, n, shared (its values that others have, rare ones first) of the classes with MATCHES such values or more."""
+    """node, rep, n, shared (its values that others have, rare ones first), common (how often all of them occur) of the
+    classes with MATCHES such values or more."""
     posted = sets.groupBy("key").agg(F.first("minima").alias("minima")).select(F.col("key").alias("node"), F.explode("minima").alias("value"))
     frequent = posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     kept = posted.join(frequent, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("_of"))
-    kept = kept.filter(F.size("_of") >= MATCHES).select("node", F.col("_of.value").alias("shared"))
-    return kept.join(classes, "node").select("node", "rep", "n", "shared")
+    common = F.aggregate("_of", F.lit(0).cast("long"), lambda total, x: total + x["times"]).alias("common")
+    kept = kept.filter(F.size("_of") >= MATCHES).select("node", F.col("_of.value").alias("shared"), common)
+    return kept.join(classes, "node").select("node", "rep", "n", "shared", "common")
 
 
 def prefix() -> Column:
@@ -73,54 +76,109 @@ def alike_in_size(n: Column, m: Column) -> Column:
     return F.least(n, m) * THRESHOLD[1] >= F.greatest(n, m) * THRESHOLD[0]
 
 
-def agreeing(pairs: DataFrame, posted: DataFrame) -> DataFrame:
-    """The pairs (a, b) of like size whose signatures agree in MATCHES coordinates or more, with their representatives."""
-    of = lambda x: posted.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "rep", "n", "shared")]).withColumnRenamed(f"node_{x}", x)
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.filter(alike_in_size(F.col("n_a"), F.col("n_b")) & (F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES)).select("a", "b", "rep_a", "rep_b")
+def key_of(shingles: np.ndarray) -> int:
+    return int(np.add.reduce(stirred(shingles)).view(np.int64))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) linked by their full sets, made anew from the whole texts of their representatives."""
-    of = lambda x: docs.select(F.col("doc_id").cast("long").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(of("a"), "rep_a").join(of("b"), "rep_b").select("a", "b", "text_a", "text_b")
+def candidate_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """node, text of the posted classes. Where an id repeats with other texts, only the one with the node's set counts."""
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(posted.select("rep", "node"), "rep").select("node", "text")
+
+    def start():
+        powers = Powers()
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column(1).to_pylist(), powers)
+            return batch.filter(pa.array([key_of(s) == n for s, n in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
+
+        return apply
+
+    return map_batches(found, start, "node long, text string")
+
+
+def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """hub, node, common, linked, bits, out of each pair (hub, node), from the full sets made anew from the whole texts.
+
+    bits tells which of the hub's shingles the node has, in words of 64; out are the node's other shingles. With a hub's
+    bits and out of two nodes, what they have in common is known exactly.
+    """
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(of("hub"), "hub").join(of("node"), "node").select("hub", "node", "text_hub", "text_node")
+    longs = pa.list_(pa.int64())
 
     def start():
         powers = Powers()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()], powers)
-            linked = []
-            for i, (x, y) in enumerate(zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True)):
-                # an id may repeat with another text: only the texts of these very sets count
-                ours = all(int(np.add.reduce(stirred(z)).view(np.int64)) == batch.column(c)[i].as_py() for c, z in ((0, x), (1, y)))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if ours else 0
-                linked.append(ours and common * THRESHOLD[1] >= (len(x) + len(y) - common) * THRESHOLD[0])
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            common, linked, bits, out = [], [], [], []
+            for x, y in zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True):
+                place = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
+                of_hub = x[place] == y
+                has = np.zeros(-(-len(x) // 64) * 64, bool)
+                has[place[of_hub]] = True
+                n = int(of_hub.sum())
+                common.append(n)
+                linked.append(n * THRESHOLD[1] >= (len(x) + len(y) - n) * THRESHOLD[0])
+                bits.append(np.packbits(has).view(np.int64))
+                out.append(y[~of_hub].view(np.int64))
+            made = [pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(bits, longs), pa.array(out, longs)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["hub", "node", "common", "linked", "bits", "out"])
 
         return apply
 
-    return map_batches(both, start, "a long, b long", 64)
+    return map_batches(both, start, "hub long, node long, common long, linked boolean, bits array<long>, out array<long>", 64)
+
+
+def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, own: how many of a node's shingles no other of the nodes has."""
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = shingle_sets(part.column(1).to_pylist(), powers)
+                ids = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["node", "shingle"])
+
+    rows = texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(run, "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("_other")).filter("node = _other")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between classes, and node, root of the classes they connect."""
+    """Confirmed links (a, b) between classes, and node, root of the classes they connect.
+
+    Two nodes of different components meet at the first value that their prefixes share. Their collisions are counted, and
+    since either was compared with the value's hub, their full sets are too: what both have of the hub, and what both have
+    besides. A node of whose shingles too few are found in any other node still in question is passed over.
+    """
+    texts = written(candidate_texts(docs, posted).dropDuplicates(["node"]), "candidates")
     posted = posted.withColumn("prefix", prefix())
-    values = posted.select("node", F.explode("prefix").alias("value"))
-    pivots = values.groupBy("value").agg(F.min("node").alias("pivot"))
-    tried = values.join(pivots, "value").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(agreeing(tried, posted), "pairs")
-    found = written(confirmed(tried, docs), "confirmed")
+    values = posted.select("node", "common", F.explode("prefix").alias("value"))
+    hubs = written(values.groupBy("value").agg(F.max("common").alias("common")).join(values, ["value", "common"]).groupBy("value").agg(F.min("node").alias("hub")), "hubs")
+    tried = values.join(hubs, "value").select("hub", "node").distinct()
+    tested = written(against_hubs(tried, texts), "compared")
+    found = tested.filter("linked and hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     roots = components(found)
 
-    members = posted.join(roots, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
+    members = posted.join(roots, "node", "left").select("node", "n", "shared", "prefix", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
     split = members.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
-    members = members.join(split, "value")
-    a, b = (members.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "prefix", "root")]) for x in "ab")
-    once = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("value")
-    across = a.join(b, "value").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b")) & once)
-    rest = agreeing(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), posted).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    found = written(found.union(confirmed(rest, docs)), "confirmed")
+    members = written(members.join(split, "value").join(hubs, "value"), "members")
+    own = own_shingles(members.select("node").distinct(), texts)
+    members = members.join(own, "node", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
+    members = members.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0]).join(tested.drop("linked"), ["hub", "node"])
+    a, b = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in ("value", "node", "n", "root", "shared", "prefix", "rest", "common", "bits", "out")]) for x in "ab")
+    enough = lambda common: common * (THRESHOLD[0] + THRESHOLD[1]) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD[0]
+    most = F.least("common_a", "common_b") + F.least(F.col("rest_a") - F.col("common_a"), F.col("rest_b") - F.col("common_b"))
+    once = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("value_a")
+    counted = F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES
+    of_hub = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
+    exactly = of_hub + F.size(F.array_intersect("out_a", "out_b"))
+    meet = (F.col("value_a") == F.col("value_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b"))
+    across = a.join(b, meet & enough(most) & once & counted & enough(exactly)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = written(found.union(across), "links")
     return found, components(found)
 
 
@@ -149,4 +207,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The columns of docs, one document of each group."""
     gone = written(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
