@@ -2,8 +2,10 @@
 
 A text becomes hashed counts of its letter 1- to 3-grams (lower case, every run of other characters one space), damped,
 weighted by the inverse document frequency over all training rows and brought to length 1. Each language's sampled
-vectors are clustered on the sphere; a text gets the language of the centroid with the largest cosine. A text farther
-from its centroid than `slack` times the farthest training text is rejected.
+vectors are clustered on the sphere; a text gets the language of the centroid with the largest cosine. Short texts are far
+from any centroid, so each language learns how near its texts come at every size (distinct n-gram buckets), from whole
+training texts and from windows of them. A text is rejected where its cosine is below `slack` times the low quantile of its
+language's texts of its size.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from lanewright.llm.common import held_out, keep_where, map_batches
 UNKNOWN = "und"
 WIDTH = 8192  # hashed n-gram buckets
 SPACE = 32
+SIZES = 2 ** np.arange(13)  # distinct buckets for which bounds are learned; between them the bound is interpolated
+WINDOWS = 2 ** np.arange(2, 13)  # characters
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Learned languages, IDF weights, unit centroids (row per centroid), the language of each and its least cosine."""
+    """Learned languages, IDF weights, unit centroids (row per centroid), the language of each; row per language: least cosines by SIZES."""
 
     languages: tuple[str, ...]
     idf: np.ndarray
@@ -70,8 +74,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _vectors(texts: list[str], letters: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(_counts(texts, letters)).astype(np.float32) * idf)
+def _sized(texts: list[str], letters: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and sizes."""
+    counts = _counts(texts, letters)
+    return _unit(np.log1p(counts).astype(np.float32) * idf), np.count_nonzero(counts, axis=1)
 
 
 def _groups(texts: list[str | None], chars: int = 400_000, most: int = 64):
@@ -115,7 +121,29 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, clusters: int = 4, slack: float = 0.2, most_languages: int = 1000, seed: int = 11) -> LanguageModel:
+def _windows(texts: list[str]) -> list[str]:
+    """The texts, and of each a window of every width that is shorter, from places spread over the texts; where a word starts
+    inside the window, from there."""
+    out = list(texts)
+    for i, t in enumerate(texts):
+        for j, width in enumerate(w for w in WINDOWS if w < len(t)):
+            at = (i * 7919 + j * 104729) % (len(t) - width + 1)
+            blank = t.find(" ", at, at + width)
+            at = blank + 1 if at and blank >= 0 else at
+            out.append(t[at : at + width])
+    return out
+
+
+def _bounds(sizes: np.ndarray, cosines: np.ndarray, quantile: float) -> np.ndarray:
+    """The quantile of cosines near each of SIZES, never falling with the size; where none is near, that of the size before."""
+    out, near = np.zeros(len(SIZES)), np.rint(np.log2(np.maximum(sizes, 1)))
+    for j in range(len(SIZES)):
+        if (near == j).any():
+            out[j] = np.quantile(cosines[near == j], quantile)
+    return np.maximum.accumulate(out)
+
+
+def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, clusters: int = 4, slack: float = 0.6, quantile: float = 0.01, most_languages: int = 1000, seed: int = 11) -> LanguageModel:
     """Learns from rows with a text and a lang that aren't held out.
 
     IDF counts all of them. Centroids come from about per_language whole texts a language (of at most `longest` characters,
@@ -137,17 +165,20 @@ def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, cluster
             texts.setdefault(r["lang"], []).append(r["text"])
     letters, languages, centroids, language_of, least = _letters(), [], [], [], []
     for lang in sorted(texts):
-        x = np.concatenate([_vectors([texts[lang][i] for i in g], letters, idf) for g in _groups(texts[lang])])
+        x = np.concatenate([_sized([texts[lang][i] for i in g], letters, idf)[0] for g in _groups(texts[lang])])
         x = x[(x * x).sum(axis=1) > 0.5]
         if not len(x):
             continue
         own = _clusters(x, clusters)
         centroids.append(own)
         language_of += [len(languages)] * len(own)
-        least += [slack * float((x @ own.T).max(axis=1).min())] * len(own)
+        pieces = _windows(texts[lang])
+        seen = [((v @ own.T).max(axis=1), n) for v, n in (_sized([pieces[i] for i in g], letters, idf) for g in _groups(pieces))]
+        cosines, sizes = (np.concatenate(c) for c in zip(*seen, strict=True))
+        least.append(slack * _bounds(sizes[sizes > 0], cosines[sizes > 0], quantile))
         languages.append(lang)
     stacked = np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, WIDTH), np.float32)
-    return LanguageModel(tuple(languages), idf, stacked, np.array(language_of, np.int64), np.array(least, np.float32))
+    return LanguageModel(tuple(languages), idf, stacked, np.array(language_of, np.int64), np.array(least, np.float32).reshape(-1, len(SIZES)))
 
 
 def judge(m: LanguageModel, letters: np.ndarray, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -156,10 +187,12 @@ def judge(m: LanguageModel, letters: np.ndarray, texts: list[str | None]) -> lis
     spoken = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
     for group in _groups([texts[i] for i in spoken]):
         at = [spoken[i] for i in group]
-        cosine = _vectors([texts[i] for i in at], letters, m.idf) @ m.centroids.T
+        vectors, sizes = _sized([texts[i] for i in at], letters, m.idf)
+        cosine = vectors @ m.centroids.T
         best = cosine.argmax(axis=1)
-        for i, b, s in zip(at, best, cosine[np.arange(len(at)), best], strict=True):
-            out[i] = m.languages[m.language_of[b]], min(1.0, max(0.0, float(s))), bool(s < m.least[b])
+        for i, b, s, n in zip(at, best, cosine[np.arange(len(at)), best], np.log2(sizes), strict=True):
+            language = m.language_of[b]
+            out[i] = m.languages[language], min(1.0, max(0.0, float(s))), bool(s < np.interp(n, np.arange(len(SIZES)), m.least[language]))
     return out
 
 

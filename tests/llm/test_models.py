@@ -84,3 +84,30 @@ def test_several_centroids(spark):
     model = L.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), per_language=50, clusters=3)
     assert max((model.language_of == i).sum() for i in range(len(model.languages))) == 3
     assert abs((model.centroids**2).sum(axis=1) - 1).max() < 1e-4
+
+
+def test_language_rejects_latin_script_and_noise(spark):
+    model = L.fit(spark.read.parquet(f"{FACTS}/documents.parquet"))
+    rng = random.Random(5)
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı.",
+    ]
+    noise = [words(rng, n, a) for n in (30, 100, 2000) for a in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz")]
+    noise += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n)) for n in (200, 8000)]
+    clean = ["That it.", "Erinst resh.", "The", "Von.", "der und", "que los", "Des. Des. Des. Des. Des. Des. Des. Des.", "from the and that"]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(foreign + noise + clean)], SCHEMA)
+    rejected = {r["doc_id"] for r in L.predict(docs, model).collect() if r["rejected"]}
+    assert rejected == set(range(len(foreign + noise)))
+    assert {r["doc_id"] for r in L.kept(docs, model).collect()} == set(range(len(foreign + noise), len(foreign + noise + clean)))
+
+
+def test_language_keeps_pieces_of_held_out_texts(spark):
+    rows = spark.read.parquet(f"{FACTS}/documents.parquet").collect()
+    model, letters = L.fit(spark.read.parquet(f"{FACTS}/documents.parquet")), L._letters()
+    texts = [r["text"].split() for r in rows if out(r["doc_id"])]
+    for n in (1, 2, 4, 8, 16, 32, 64):
+        judged = L.judge(model, letters, [" ".join(w[len(w) // 2 :][:n]) for w in texts if len(w) >= 2 * n])
+        assert sum(r for language, _, r in judged if language != L.UNKNOWN) <= 0.01 * len(judged)
