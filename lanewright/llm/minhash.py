@@ -27,14 +27,15 @@ THRESHOLD = (75, 100)  # similarity of a link: 75 / 100 or more
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the shingle set, and the minima of its shingles under COORDINATES hashes."""
+    """doc_id, a hash of the text, n_shingles, two hashes of the shingle set, and the minima of its shingles under COORDINATES
+    hashes."""
     seeds = np.random.default_rng(3).integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 
     def start():
         powers = Powers()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column(1).to_pylist(), powers)
+            sets = shingle_sets(batch.column(2).to_pylist(), powers)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = sizes > 0
             minima = np.zeros((len(sets), COORDINATES), np.uint64)
@@ -48,11 +49,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys[0, full] = np.add.reduceat(stirred(every), at)
                 keys[1, full] = np.bitwise_xor.reduceat(stirred(every + np.uint64(1)), at)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(minima.reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names=["doc_id", "n_shingles", "key", "key2", "minima"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names=["doc_id", "text_hash", "n_shingles", "key", "key2", "minima"])
 
         return apply
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id long, n_shingles long, key long, key2 long, minima array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text"), start, "doc_id long, text_hash long, n_shingles long, key long, key2 long, minima array<long>")
 
 
 def postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,20 +192,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     missed only where its signatures agree in fewer than MATCHES of COORDINATES (under 10^-4 at the threshold itself, and
     far less above).
     """
+    return placed(docs).drop("text_hash", "root")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """near_duplicates() with text_hash and root, the group of the row: where an id repeats with other texts, its rows can be
+    the least of several groups. root is null for rows that are judged alone."""
     sets = written(signatures(docs), "signatures")
     able = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(able.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     posted = written(postings(able, classes), "postings")
     _, roots = links(docs, posted)
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = grouped.join(grouped.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "component_id")
-    placed = sets.select("doc_id", "n_shingles", "key").join(grouped, "key", "left")
+    grouped = grouped.join(grouped.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "root", "component_id")
+    rows = sets.select("doc_id", "text_hash", "n_shingles", "key").join(grouped, "key", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(~alone, F.col("root")).alias("root"), component.alias("component_id"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of docs, one document of each group."""
-    gone = written(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """The columns of docs, one document of each group: one row of the least doc_id, and of its texts the one of least hash.
+
+    Rows are told apart by id and text, so a text stays where another text of its id is a duplicate. Of rows that repeat id
+    and text one stays, without words too; rows with a null doc_id all stay.
+    """
+    rows = written(placed(docs).filter("doc_id is not null"), "placed")
+    texts = rows.filter("kept").groupBy("doc_id", "text_hash").agg(F.max("root").alias("root"), F.count("*").alias("times"))
+    several = texts.filter("root is not null").groupBy("root").agg(F.min("text_hash").alias("_low"), F.max("text_hash").alias("_high")).filter("_low <> _high")
+    further = texts.join(several, "root").filter("text_hash <> _low").select("doc_id", "text_hash")
+    gone = rows.filter("not kept").select("doc_id", "text_hash").union(further).distinct().withColumn("gone", F.lit(True))
+    repeated = texts.filter("times > 1").select("doc_id", "text_hash").join(further, ["doc_id", "text_hash"], "left_anti").withColumn("gone", F.lit(False))
+    marked = written(gone.union(repeated), "marked")
+    own = lambda x: (docs["doc_id"].cast("long") == x["doc_id"]) & (F.xxhash64(docs["text"]) == x["text_hash"])
+    again = marked.filter("not gone")
+    rest = docs.join(marked, own(marked), "left_anti")
+    return rest if again.isEmpty() else rest.union(docs.join(again, own(again), "left_semi").dropDuplicates(["doc_id", "text"]))

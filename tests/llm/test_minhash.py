@@ -97,6 +97,20 @@ def test_edges(spark, edge, edge_rows, empty):
     assert not {6, 13} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_repeated_ids_lose_no_text_and_keep_no_copy(spark, edge, edge_rows):
+    kept = [(r["doc_id"], r["text"]) for r in H.kept_documents(edge).collect()]
+    texts = {i: [e[1] for e in edge_rows if e[0] == i] for i in (5, 20, 21)}
+    assert [t for i, t in kept if i == 21] == texts[21][:1] and sorted(t for i, t in kept if i == 20) == sorted(texts[20]) and (5, texts[5][0]) in kept
+    rng = random.Random(8)
+    one, two, three = (words(rng, 40) for _ in range(3))
+    rows = [(1, one), (1, one), (1, one + " end"), (1, two), (2, one), (2, three), (2, three), (3, three), (4, ""), (4, ""), (4, None), (None, one), (None, one)]
+    rows += [(9, two.upper()), (12, "one"), (12, "one"), (12, "ONE")]
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in H.kept_documents(spark.createDataFrame([row(*x) for x in rows], SCHEMA).repartition(3)).collect()))
+    of_one = [t for i, t in got if i == 1 and t != two]
+    assert len(of_one) == 1 and of_one[0] in (one, one + " end") and len([t for i, t in got if i == 12]) == 1
+    assert [x for x in got if x[0] not in (1, 12)] == [(0, one), (0, one), (2, three), (4, ""), (4, "")] and (1, two) in got
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = queries.op6_minhash_neardup(spark, SMALL).collect()
