@@ -4,12 +4,13 @@ parsed by a shunting yard and evaluated.
 Words are runs of letters, digits and anything beyond ASCII, lower-cased in A-Z only. The text's words, joined by single
 spaces, go through one automaton holding all phrases with a space on either side, so that a phrase is found exactly where
 its words stand one after the other. Where a tag such as `SPDX-License-Identifier:` stands, the rest of its line is read
-as an expression of licence names with AND, OR and WITH.
+as an expression of licence names with AND, OR and WITH, or where it is none, the longest expression it starts with.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -35,18 +36,41 @@ FREEDOM = {
     "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "reserved": 0.0,
 }
 UNNAMED = 0.5
-TAG = re.compile(r"license-identifier\s*:[ \t]*([^\n\r]*)", re.I)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Between the tag's words stands what isn't part of a word, as for the automaton.
+TAG = re.compile(r"license[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+identifier(?:[\s\"'`*_]*(:))?", re.I)
+TOKEN = re.compile(r"[()\n\r]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: What may stand between the tokens of an expression that goes on.
+GAP = re.compile(r"[ \t\"'`*_]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def shunting_yard(expression: str) -> list[str] | None:
-    """Postfix order of an AND/OR/WITH expression (WITH binds closest, then AND); None where it is not well formed."""
+def line_tokens(text: str, at: int) -> Iterator[re.Match]:
+    """The tokens from a place to the end of its line or the first closing point, one by one."""
+    for m in TOKEN.finditer(text, at):
+        if m[0] in "\n\r":
+            return
+        yield m
+        if m[0].endswith("."):
+            return
+
+
+def name_of(token: str) -> str:
+    """A name without the points and hyphens that end a sentence."""
+    return token.lower().rstrip(".-")
+
+
+def shunting_yard(expression: str, at: int = 0) -> list[str] | None:
+    """Postfix order of an AND/OR/WITH expression (WITH binds closest, then AND) from a place to the end of its line; None
+    where it is not well formed."""
+    return ordered(m[0] for m in line_tokens(expression, at))
+
+
+def ordered(tokens: Iterable[str]) -> list[str] | None:
     out: list[str] = []
     held: list[str] = []
     wants_name = True
-    for token in TOKEN.findall(expression):
-        t = token.lower()
+    for token in tokens:
+        t = name_of(token)
         if t == "(":
             if not wants_name:
                 return None
@@ -76,6 +100,48 @@ def shunting_yard(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def leading(text: str, at: int) -> list[str] | None:
+    """Postfix order of the longest expression that the line starts with from a place; None where there is none.
+
+    Prose may follow: between its tokens only blanks and quotes stand, and an operator
+    that isn't in capitals needs a name after it that is a known licence's or has a digit or hyphen ('MIT or later' is MIT).
+    """
+    tokens: list[str] = []
+    whole = depth = 0  # tokens up to the last place where all is closed
+    wants_name, loose, end = True, False, None
+    for m in line_tokens(text, at):
+        token, t = m[0], name_of(m[0])
+        if end is not None and GAP.fullmatch(text, end, m.start()) is None:
+            break
+        if t == "(" or (t not in RANK and t != ")"):
+            if not wants_name or (loose and t != "(" and family(t) not in FREEDOM and not re.search("[0-9-]", t)):
+                break
+            depth += t == "("
+            wants_name = t == "("
+            loose = loose and t == "("
+        elif wants_name or (t == ")" and not depth):
+            break
+        else:
+            depth -= t == ")"
+            wants_name = t in RANK
+            loose = wants_name and not token.isupper()
+        tokens.append(token)
+        if not wants_name and not depth:
+            whole = len(tokens)
+        end = m.end()
+    return ordered(tokens[:whole])
+
+
+def tag_expression(text: str, tag: re.Match) -> list[str] | None:
+    """Postfix order of a tag's expression. Without a colon, which prose about tags lacks too, its first name must be known."""
+    if tag[1]:
+        return shunting_yard(text, tag.end()) or leading(text, tag.end())
+    first = next((m for m in line_tokens(text, tag.end()) if m[0] != "("), None)
+    if first is None or GAP.fullmatch(text[tag.end() : first.start()].replace("(", " ")) is None or family(name_of(first[0])) not in FREEDOM:
+        return None
+    return leading(text, tag.end())
+
+
 def family(name: str) -> str:
     """The label of a licence name: its family where FREEDOM knows a leading part, else the name itself."""
     parts = name.lower().rstrip("+").split("-")
@@ -128,7 +194,7 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple[int, in
     labels = base | {label for _, label in notices.values()}
     free = [FREEDOM[x] for x in labels]
     for m in TAG.finditer(text) if tagged else ():
-        postfix = shunting_yard(m[1])
+        postfix = tag_expression(text, m)
         if postfix:
             named, freedom = evaluate(postfix)
             labels |= named
@@ -140,7 +206,7 @@ def scan(docs: DataFrame, rows: int = 128) -> DataFrame:
     """One row per row of docs: words, places of base phrases, labels and a score.
 
     score is the least freedom among the document's notices and tag expressions (0 to 1), 0 where it names no licence.
-    Null and empty texts have no words and no labels ('' and null starts). A tag whose expression doesn't parse adds nothing.
+    Null and empty texts have no words and no labels ('' and null starts). A tag that no expression follows adds nothing.
     Texts are read whole; repeated rows give repeated results.
     """
 

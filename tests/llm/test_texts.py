@@ -48,6 +48,21 @@ def test_expressions():
     assert scan("spdx-license-identifier: (((")[5:] == ("", 0.0)
 
 
+def test_tags_before_prose():
+    scan = lambda t: C.scan_text(t, C.automaton(C.BASE | C.NOTICES))[5:]
+    tag = "SPDX-License-Identifier: "
+    cases = {
+        "Apache-2.0 This file is part of X": ("apache", 1.0), "MIT -- see LICENSE": ("mit", 1.0), "GPL-2.0 */ int main(void)": ("gpl", 0.3), "MIT.": ("mit", 1.0), "MIT. And this": ("mit", 1.0),
+        "MIT OR GPL-2.0 and more words": ("gpl,mit", 1.0), "(MIT AND GPL-2.0) OR Foo-1, if (x)": ("foo-1,gpl,mit", 0.5), "MIT and this is prose": ("mit", 1.0), "MIT or apache-2.0 at will": ("apache,mit", 1.0),
+        "(MIT is open": ("", 0.0), "GPL-2.0 WITH Classpath-exception-2.0 as told": ("gpl", 0.3), '"MIT" OR "ISC" */': ("isc,mit", 1.0), "MIT " + tag + "GPL-2.0 then": ("gpl,mit", 0.3), "\nMIT": ("", 0.0),
+    }
+    assert {x: scan(tag + x) for x in cases} == cases
+    for spelt in ("SPDX License Identifier: MIT", "spdx license identifier MIT here", "SPDX_License_Identifier: MIT", "License  Identifier : MIT\nx"):
+        assert scan(spelt) == ("mit", 1.0), spelt
+    assert scan("The license identifier is in the file") == ("", 0.0)
+    assert scan((tag + "MIT AND ( x ") * 20_000)[0] == "mit"  # linear in the text
+
+
 def test_licence_edges(spark, edge, edge_rows, empty):
     rows = {(r["doc_id"], r["n_words"]): r for r in C.scan(edge).collect()}
     assert C.scan(edge).count() == len(edge_rows) and C.scan(empty).count() == 0
