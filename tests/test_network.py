@@ -75,6 +75,19 @@ def test_both_ways_agree(spark):
     assert found["0"]["path"] == ["0"] and found["0"]["cost"] == 0.0 and "none" not in found
 
 
+@pytest.mark.parametrize("least", [1, 0])
+def test_large_networks_give_the_same_rows(spark, monkeypatch, least):
+    rng = random.Random(9 + least)
+    edges = {(str(rng.randint(0, 30)), str(rng.randint(0, 30))): float(rng.randint(least, 3)) for _ in range(90)}
+    df = spark.createDataFrame([(u, v, w) for (u, v), w in edges.items()], "src string, dst string, weight double")
+    sources = spark.createDataFrame([("0",), ("7",), ("none",)], "src string")
+    pairs = spark.createDataFrame([(s, str(t)) for s in ("0", "7", "none") for t in range(30)] + [("none", "none"), ("0", "5")], "src string, dst string")
+    small = sorted(paths.from_sources(df, sources).collect(), key=str), sorted(paths.paths(df, pairs).collect(), key=str)
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    assert (sorted(paths.from_sources(df, sources).collect(), key=str), sorted(paths.paths(df, pairs).collect(), key=str)) == small
+    assert len(small[0]) > 30 and max(len(r["path"]) for r in small[1]) > 2
+
+
 def test_projection_cases(spark):
     rows = {"a": ([(0, 0), (0.001, 0), (0.001, 0), (0.001, 0.001)], [], []), "p": ([(0.0005, 0.0005)], [], []), "far": ([(50, 50), (51, 51)], [], [])}
     own = lanes_of(spark, rows)
