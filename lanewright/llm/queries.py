@@ -57,6 +57,50 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op7_sentencepiece, op8_language_id, op9_token_counts, op10_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_winnowing": r"""
+with texts as (
+  select doc_id, coalesce(text, '') as text from documents
+), pairs as (
+  select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next_text, length(text) // 4 as cut from texts
+), edits as (
+  select doc_id, text, substring(text, 1, length(text) - cut) || substring(next_text, 1, cut) as edited from pairs
+), sides as (
+  select doc_id, 0 as of_edit, text as t from edits union all select doc_id, 1, edited from edits
+), codes as (
+  select doc_id, of_edit, n, i, cast(unicode(lower(x)) as bigint) as h
+  from (select doc_id, of_edit, length(t) as n, unnest(range(1, length(t) + 1)) as i, unnest(string_split(t, '')) as x from sides where length(t) > 30)
+), two as (
+  select doc_id, of_edit, n, i, (h * 1103515245 + lead(h, 1) over w) % 2147483647 as h from codes window w as (partition by doc_id, of_edit order by i)
+), four as (
+  select doc_id, of_edit, n, i, (h * 1685009738 + lead(h, 2) over w) % 2147483647 as h from two window w as (partition by doc_id, of_edit order by i)
+), eight as (
+  select doc_id, of_edit, n, i, (h * 1611783494 + lead(h, 4) over w) % 2147483647 as h from four window w as (partition by doc_id, of_edit order by i)
+), sixteen as (
+  select doc_id, of_edit, n, i, (h * 1789443467 + lead(h, 8) over w) % 2147483647 * 2147483648 + 2147483648 - i as g from eight window w as (partition by doc_id, of_edit order by i)
+), least_ as (
+  select doc_id, of_edit, n, i, min(g) over (partition by doc_id, of_edit order by i rows between current row and 15 following) as m from sixteen where i <= n - 15
+), long_ as (
+  select doc_id, of_edit, m from least_ where i <= n - 30 group by all
+), prints as (
+  select doc_id, of_edit, list(m order by -m % 2147483648) as f from long_ group by doc_id, of_edit
+  union all
+  select doc_id, of_edit, case when c[1] < 0 then [] else [list_min(list_transform(range(1, greatest(len(c) - 15, 1) + 1),
+    lambda i: list_reduce(c[i:i + 15], lambda a, x: (a * 1103515245 + x) % 2147483647) * 2147483648 + 2147483648 - i))] end
+  from (select doc_id, of_edit, list_transform(string_split(t, ''), lambda x: cast(unicode(lower(x)) as bigint)) as c from sides where length(t) <= 30)
+), rows_ as (
+  select e.doc_id, e.text, e.edited, a.f as f, b.f as g, coalesce(lead(a.f) over (order by e.doc_id), first_value(a.f) over (order by e.doc_id)) as h
+  from edits e join prints a on a.doc_id = e.doc_id and a.of_edit = 0 join prints b on b.doc_id = e.doc_id and b.of_edit = 1
+), hashed as (
+  select *, list_distinct(list_transform(f, lambda x: x // 2147483648)) as fh, list_distinct(list_transform(g, lambda x: x // 2147483648)) as gh,
+    list_distinct(list_transform(h, lambda x: x // 2147483648)) as hh from rows_
+), common as (
+  select *, len(list_intersect(fh, gh)) as fg, len(list_intersect(fh, hh)) as fhh from hashed
+)
+select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, array_to_string(f, ' ') as fingerprint, array_to_string(g, ' ') as edited_fingerprint,
+  case when len(fh) + len(gh) = 0 then 1.0e0 else fg / cast(len(fh) + len(gh) - fg as double) end as near_edited,
+  case when len(fh) + len(hh) = 0 then 1.0e0 else fhh / cast(len(fh) + len(hh) - fhh as double) end as near_next
+from common
+""",
     "op6_minhash_neardup": r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

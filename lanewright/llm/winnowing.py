@@ -1,41 +1,104 @@
 """Winnowing fingerprints in DataFrame operations only, and the order of documents by id that compares neighbours.
 
-A text's tokens are runs of at most eight letters or digits, single ideographs or kana, and single other signs, lower-
-cased. Every K tokens in a row give a hash; of every WINDOW hashes in a row the least is chosen, the rightmost of equal
-ones, with its position. Two texts that share K + WINDOW - 1 tokens in a row are thus sure to share a chosen hash.
+The characters of a text, each lower-cased by itself, give a polynomial rolling hash (Karp-Rabin, modulo a prime) for every
+K characters in a row; of every WINDOW hashes in a row the least is chosen, the rightmost of equal ones, with its position.
+Two texts that share K + WINDOW - 1 characters in a row are thus sure to share a chosen hash, and the positions say where.
+
+A hash rolls by doubling: that of 2n characters is that of the first n times BASE^n plus that of the next n, for all places
+at once. The values are those that rolling on by one character gives, and no step depends on the one before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import let
 
-K, WINDOW = 4, 4
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{1,8}|[^\s\p{L}\p{M}\p{N}]"
-POSITION = (1 << 31) - 1  # the low bits of a chosen value hold POSITION - position, the high 33 bits the hash
+K, WINDOW = 16, 16
+BASE, PRIME = 1_103_515_245, (1 << 31) - 1
+POSITION = (1 << 31) - 1  # the low bits of a chosen value hold POSITION - position, the high 31 bits the hash
+PIECE = 1 << 15  # windows made at once: bounds the memory of a long text
+LONGS = "array<long>"
+
+
+def chain(value: Column, steps: list[Callable[[Column], Column]]) -> Column:
+    """The steps one after the other, each value computed once."""
+    return steps[-1](value) if len(steps) == 1 else let(steps[0](value), lambda v: chain(v, steps[1:]))
+
+
+def codes(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.ascii(F.lower(c)).cast("long"))
+
+
+def doubled(n: int) -> Callable[[Column], Column]:
+    """From the hashes of n characters those of 2n."""
+    up = pow(BASE, n, PRIME)
+    return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - n), F.slice(h, F.lit(n + 1), F.size(h) - n), lambda x, y: (x * up + y) % PRIME)
+
+
+def least_of(n: int, most: int) -> Callable[[Column], Column]:
+    """From the least of each n values in a row those of most (at most 4 n)."""
+    at = sorted({min(i * n, most - n) for i in range(-(-most // n))})
+    return lambda g: F.transform(F.slice(g, F.lit(1), F.size(g) - at[-1]), lambda x, i: F.least(x, *[F.get(g, i + j) for j in at[1:]]))
+
+
+def minima(text: Column, before: Column, k: int, window: int) -> Column:
+    """The least packed hash of each window of a text of k + window - 1 characters or more that stands `before` others."""
+    if k & (k - 1):
+        raise ValueError("k must be a power of two")
+    steps, n = [codes], 1
+    while n < k:
+        steps.append(doubled(n))
+        n *= 2
+    steps.append(lambda h: F.transform(h, lambda x, i: x * (1 << 31) + (POSITION - before - i)))
+    n = 1
+    while n < window:
+        steps.append(least_of(n, min(4 * n, window)))
+        n = min(4 * n, window)
+    return chain(text, steps)
+
+
+def windows(text: Column, before: Column, k: int, window: int) -> Column:
+    """The chosen values of all whole windows, PIECE windows at a time; none where the text is too short for one."""
+    reach = k + window - 2
+    starts = F.sequence(F.lit(1), F.length(text) - reach, F.lit(PIECE))
+    piece = lambda at: F.array_distinct(minima(F.substring(text, at, F.lit(PIECE + reach)), before + at - 1, k, window))
+    return F.when(F.length(text) > reach, F.array_distinct(F.flatten(F.transform(starts, piece)))).otherwise(F.array().cast(LONGS))
+
+
+def short(text: Column, k: int) -> Column:
+    """The chosen value of a text with no whole window: the least of its hashes; that of all of it where it has under k characters."""
+    roll = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, x: (a * BASE + x) % PRIME)
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (k - 1), F.lit(1))), lambda i: roll(F.slice(c, i, k)) * (1 << 31) + (POSITION - i + 1))
+    return F.when(F.length(text) > 0, F.array(let(codes(text), lambda c: F.array_min(grams(c))))).otherwise(F.array().cast(LONGS))
 
 
 def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<long>: the chosen hashes with their positions, in order of position; empty where the text has no token.
+    """array<long>: the chosen hashes with their positions, in order of position; empty for the empty text.
 
-    Fewer than k tokens are one gram, fewer than `window` grams one window.
+    Fewer than k characters are one gram, fewer than `window` grams one window.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.when(F.length(text) > k + window - 2, windows(text, F.lit(0), k, window)).otherwise(short(text, k))
+
 
-    def grams(h: Column) -> Column:
-        """The hash of k tokens in the high bits: the least value of a window is its least hash, the rightmost if several."""
-        rolled = F.transform(h, lambda x, i: (F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]).bitwiseAND(F.lit(~POSITION))).bitwiseOR(F.lit(POSITION).cast("long") - i))
-        return F.slice(rolled, 1, F.greatest(F.size(h) - (k - 1), F.lit(1)))
+def chosen_after(own: Column, keep: Column, text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """chosen() of a text whose first `keep` characters are those of the text with the fingerprint `own`.
+
+    Windows within them choose what they chose before, so only those that reach beyond are made anew: positions never fall
+    from window to window, so the former are the values up to the one that the last of them chose.
+    """
+    last = keep - (k + window - 2)  # the windows that lie within, and the place (from 0) before the first that doesn't
+    at_last = F.array_min(F.filter(own, lambda c: position(c).between(last - 1, last + window - 2)))
+    before = let(at_last, lambda x: F.filter(own, lambda c: position(c) <= position(x)))
+    after = windows(F.substring(text, last + 1, F.length(text)), last, k, window)
+    return F.when(last > 0, F.array_distinct(F.concat(before, after))).otherwise(chosen(text, k, window))
 
-    def least(g: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(g, i, window))))
 
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    none = F.array().cast("array<long>")
-    return let(hashes, lambda h: F.when(F.size(h) > 0, let(grams(h), least)).otherwise(none))
+def position(chosen_: Column) -> Column:
+    return F.lit(POSITION) - chosen_.bitwiseAND(F.lit(POSITION))
 
 
 def hashes_of(chosen_: Column) -> Column:
@@ -43,9 +106,8 @@ def hashes_of(chosen_: Column) -> Column:
 
 
 def printed(chosen_: Column) -> Column:
-    """hash:position pairs, blank-separated."""
-    pair = lambda c: F.concat_ws(":", F.hex(F.shiftright(c, 31).bitwiseAND(F.lit((1 << 33) - 1))), (F.lit(POSITION).cast("long") - c.bitwiseAND(F.lit(POSITION))).cast("string"))
-    return F.array_join(F.transform(chosen_, pair), " ")
+    """The chosen values, blank-separated: hash x 2^31 + POSITION - position."""
+    return F.array_join(chosen_.cast("array<string>"), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,22 +122,23 @@ def in_order(docs: DataFrame, per_bucket: int = 1024, most_cuts: int = 1000) ->
     within its bucket, every row that isn't a guest has its successor behind it.
 
     Segments lie between quantiles of doc_id, and are cut into equal ranges of ids where there are more rows than
-    most_cuts x per_bucket; a million buckets at most, so the table of their first rows can be broadcast.
+    most_cuts x per_bucket; a million buckets at most, so the table of their first rows can be broadcast. Rows without an
+    id, and those of an id that several quantiles fall on, are cut by ranges of _tie (a hash of the text) instead.
     """
-    n = docs.count()
+    n, with_id = docs.agg(F.count("*"), F.count("doc_id")).first()
     cuts = max(1, min(most_cuts, n // per_bucket))
     subs = max(1, min(1000, -(-n // (cuts * per_bucket))))
     at = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(cuts + 1)], 10_000)).first()[0] or [0, 0]
     points = F.array(*[F.lit(x) for x in at[:-1]])
     rows = docs.withColumn("_tie", F.xxhash64("text"))
     rows = rows.withColumn("_seg", F.when(F.col("doc_id").isNull(), cuts + 1).otherwise(F.size(F.filter(points, lambda p: p <= F.col("doc_id")))).cast("int"))
-    if subs > 1:
-        low, high = (F.element_at(F.array(*[F.lit(float(x)) for x in [at[0], *at]]), F.least(F.col("_seg") + i, F.lit(cuts + 2))) for i in (1, 2))
-        within = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * subs)
-        sub = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(subs - 1), within)), F.pmod("_tie", F.lit(subs)))
-    else:
-        sub = F.lit(0)
-    rows = rows.withColumn("_sub", sub.cast("int"))
+    low, high = (F.element_at(F.array(*[F.lit(float(x)) for x in [at[0], *at]]), F.least(F.col("_seg") + i, F.lit(cuts + 2))) for i in (1, 2))
+    within = F.greatest(F.lit(0), F.least(F.lit(subs - 1), F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * subs)))
+    tie = lambda many: F.floor((F.col("_tie") / float(1 << 63) + 1) / 2 * many * 0.999999)
+    share = lambda rows: max(1, min(100_000, -(-rows // per_bucket)))
+    repeated = {x: share(at.count(x) * -(-n // cuts)) for x in at if at.count(x) > 1}
+    own_id = F.create_map(*[F.lit(y) for x in repeated.items() for y in x])[F.col("doc_id")] if repeated else F.lit(None).cast("int")
+    rows = rows.withColumn("_sub", F.when(F.col("doc_id").isNull(), tie(share(n - with_id))).when(own_id.isNotNull(), tie(own_id)).otherwise(within + max(repeated.values(), default=0)).cast("int"))
     heads = rows.groupBy("_seg", "_sub").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tie").alias("tie"))).alias("head"))
     in_seg = Window.partitionBy("_seg").orderBy("_sub")
     heads = heads.select("_seg", "_sub", "head", F.lag(F.struct("_seg", "_sub")).over(in_seg).alias("before"))
@@ -92,7 +155,7 @@ def in_order(docs: DataFrame, per_bucket: int = 1024, most_cuts: int = 1000) ->
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, text and chosen (array of hash with position), a row per row; null texts are empty."""
+    """doc_id, text and chosen (array of hash with position), a row per row; null texts are empty, other columns left out."""
     return docs.select("doc_id", "text", chosen(F.coalesce("text", F.lit("")), k, window).alias("chosen"))
 
 
@@ -101,7 +164,10 @@ def edited_and_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     the likeness of the first to the edit's and to the next document's.
 
     The next document is the one with the next doc_id (rows of the same id by a hash of the text, null ids last, then the
-    first again). A null text is empty; two empty fingerprints are alike (1). The texts are shuffled once.
+    first again). A null text is empty; two empty fingerprints are alike (1). Repeated rows get the same texts to compare
+    with but for the last of them, whose next is another. Other columns than doc_id and text are left out, an empty table
+    stays empty. Texts are read whole, PIECE windows at a time; they are shuffled once. Rows equal in id and text share a
+    bucket.
     """
     rows = in_order(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     order = Window.partitionBy("_seg", "_sub").orderBy("_guest", F.col("doc_id").asc_nulls_last(), "_tie")
@@ -109,13 +175,13 @@ def edited_and_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    own = chosen(F.col("text"), k, window)
-    rows = rows.select("doc_id", "_tie", "_seg", "_sub", "_guest", n.cast("long").alias("n_chars"), edited.alias("edited"), own.alias("chosen"))
-    rows = rows.withColumn("chosen_edited", F.when(~F.col("_guest"), chosen(F.col("edited"), k, window)))
+    rows = rows.select("doc_id", "_tie", "_seg", "_sub", "_guest", n.alias("n"), cut.alias("cut"), edited.alias("edited"), chosen(F.col("text"), k, window).alias("chosen"))
+    after = chosen_after(F.col("chosen"), F.col("n") - F.col("cut"), F.col("edited"), k, window)
+    rows = rows.withColumn("chosen_edited", F.when(~F.col("_guest"), after))
     rows = rows.withColumn("next_chosen", F.lead("chosen").over(order)).filter(~F.col("_guest"))
     hashes = hashes_of(F.col("chosen"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "chosen", "chosen_edited",
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "chosen", "chosen_edited",
         likeness(hashes, hashes_of(F.col("chosen_edited"))).alias("near_edited"), likeness(hashes, hashes_of(F.col("next_chosen"))).alias("near_next"),
     )
 

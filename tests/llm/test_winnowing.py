@@ -7,25 +7,58 @@ from lanewright.llm import queries, winnowing as W
 from tests.llm.conftest import SCHEMA, SMALL, row, words
 
 
+def brute(text):
+    """The chosen (hash, position) pairs by the definition: a rolling hash, then the least of each window, the rightmost of equal ones."""
+    c = [ord(x.lower()[0]) for x in text]
+    k = min(W.K, len(c))
+    if not k:
+        return []
+    up, h, hashes = pow(W.BASE, k - 1, W.PRIME), 0, []
+    for i, x in enumerate(c):
+        h = ((h - c[i - k] * up if i >= k else h) * W.BASE + x) % W.PRIME
+        if i >= k - 1:
+            hashes.append(h)
+    out = []
+    for at in range(max(1, len(hashes) - W.WINDOW + 1)):
+        window = hashes[at : at + W.WINDOW]
+        place = max(i for i, x in enumerate(window) if x == min(window))
+        if (window[place], at + place) not in out[-1:]:
+            out.append((window[place], at + place))
+    return out
+
+
+def shown(fingerprint):
+    return [(int(x) >> 31, W.POSITION - (int(x) & W.POSITION)) for x in fingerprint.split()]
+
+
+def similar(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_match_guarantee_and_rightmost_minimum(spark):
     rng = random.Random(1)
-    shared = " ".join(str(rng.randint(100, 999)) for _ in range(W.K + W.WINDOW - 1))
-    texts = [f"{' '.join(str(rng.randint(1000, 9999)) for _ in range(50))} {shared} {' '.join(str(rng.randint(1000, 9999)) for _ in range(k))}" for k in range(12)]
+    text = lambda n: "".join(rng.choice("abcdefgh0123 ") for _ in range(n))
+    shared = text(W.K + W.WINDOW - 1)
+    texts = [text(200 + i) + shared + text(i) for i in range(14)] + [("ab" * 500)[i:] + shared for i in range(3)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(W.hashes_of(W.chosen(F.col("t"))).alias("h")).collect()
     first = set(rows[0]["h"])
     assert all(first & set(r["h"]) for r in rows)
-    same = spark.createDataFrame([("a a a a a a a a a a a a",)], "t string").select(W.chosen(F.col("t")).alias("c")).first()["c"]
-    positions = [W.POSITION - (x & W.POSITION) for x in same]
-    assert positions == list(range(W.WINDOW - 1, 12 - W.K + 1))  # of equal hashes the last of each window
+    same = spark.createDataFrame([("a" * 40,)], "t string").select(W.chosen(F.col("t")).alias("c")).first()["c"]
+    assert [W.POSITION - (x & W.POSITION) for x in same] == list(range(W.WINDOW - 1, 40 - W.K + 1))  # of equal hashes the last of each window
 
 
-def test_brute_force_winnow(spark):
+def test_fingerprints_by_definition(spark):
     rng = random.Random(2)
-    text = words(rng, 200, "abc")
-    grams = spark.createDataFrame([(text,)], "t string").select(W.chosen(F.col("t"), W.K, 1).alias("c")).first()["c"]
-    want = sorted({min(grams[i : i + W.WINDOW]) for i in range(len(grams) - W.WINDOW + 1)}, key=lambda x: W.POSITION - (x & W.POSITION))
-    got = spark.createDataFrame([(text,)], "t string").select(W.chosen(F.col("t")).alias("c")).first()["c"]
-    assert got == want and len(grams) == len(text.split()) - W.K + 1
+    texts = [words(rng, n, "abc\u00c9\u0130\u6f22\U0001d518") for n in (0, 1, 2, 3, 4, 5, 6, 7, 8, 30, 300)] + ["x" * n for n in (15, 16, 30, 31, 32, 100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = {r["doc_id"]: r["f"] for r in W.fingerprints(docs).select("doc_id", W.printed(F.col("chosen")).alias("f")).collect()}
+    piece, W.PIECE = W.PIECE, 64
+    try:
+        pieces = {r["doc_id"]: r["f"] for r in W.fingerprints(docs).select("doc_id", W.printed(F.col("chosen")).alias("f")).collect()}
+    finally:
+        W.PIECE = piece
+    assert pieces == whole and all(shown(whole[i]) == brute(t) for i, t in enumerate(texts))
 
 
 def check_edits(rows, result):
@@ -35,6 +68,9 @@ def check_edits(rows, result):
         text, cut = here[1] or "", len(here[1] or "") // 4
         edited = text[: len(text) - cut] + (after[1] or "")[:cut]
         got = by_id[here[0]]
+        own, other = brute(text), brute(edited)
+        assert shown(got["fingerprint"]) == own and shown(got["edited_fingerprint"]) == other
+        assert got["near_edited"] == similar(own, other) and got["near_next"] == similar(own, brute(after[1] or ""))
         assert got["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got["n_chars"] == len(text)
 
 
@@ -53,19 +89,29 @@ def test_edges(spark, edge, edge_rows, empty):
 
 def test_next_over_many_buckets(spark):
     rng = random.Random(3)
-    rows = [row(i * i - 50, words(rng, rng.randint(0, 12))) for i in range(300)]
+    rows = [row(i * i - 50, words(rng, rng.randint(0, 25))) for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
     plain = W.in_order
     try:
         for per_bucket, cuts in ((7, 1000), (7, 5), (1000, 1)):
             W.in_order = lambda d, p=per_bucket, c=cuts: plain(d, p, c)
-            result = W.edited_and_next(docs).collect()
+            result = W.digest(W.edited_and_next(docs)).collect()
             assert len(result) == len(rows)
             check_edits(rows, result)
     finally:
         W.in_order = plain
 
 
+def test_one_id_and_no_id_are_spread(spark):
+    rng = random.Random(7)
+    rows = [row(None if i % 3 == 0 else 77 if i % 3 == 1 else i, words(rng, 3)) for i in range(1800)]
+    placed = W.in_order(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"), 20)
+    sizes = [r["n"] for r in placed.filter("not _guest").groupBy("_seg", "_sub").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100
+    result = W.edited_and_next(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(result) == len(rows)
+
+
 def test_query(spark):
     rows = queries.op1_winnowing(spark, SMALL).collect()
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
