@@ -3,6 +3,9 @@
 The best segmentation is the one with the largest sum of piece scores. Reading a text from left to right, only states
 within the longest piece of the reading position can still be extended; whenever the back-pointers of all of them run
 through one boundary, the ids up to it are final and are committed, and everything before it is forgotten.
+
+Where no piece of the model reaches over a boundary, the window is empty there: one state is left, and what follows
+depends on the text only. So the ids of short stretches between two such boundaries are remembered and not made again.
 """
 
 from __future__ import annotations
@@ -82,40 +85,26 @@ class Encoder:
         return [self.model.bytes_[b] for b in sign.encode("utf-8")] if self.model.bytes_ else [self.model.unknown]
 
     def stream(self, text: str):
-        """Yields the ids of each committed stretch of text. Blanks are already SPACE."""
-        n = len(text)
-        score, back = {0: 0.0}, {}  # by boundary since the last commit
-        done = 0
-        for i in range(n):
-            here, node = score[i], self.trie
-            for j in range(i, n):
-                found = node.get(text[j])
-                if found is None:
-                    break
-                node, more, _ = found
-                if here + more > score.get(j + 1, NEVER):
-                    score[j + 1], back[j + 1] = here + more, i
-            if text[i] not in self.model.pieces and (i + 1 not in score or here + self.floor > score[i + 1]):
-                score[i + 1], back[i + 1] = here + self.floor, i
-            if (i + 1 - done) % self.longest == 0:
-                common = self.converged(back, [x for x in score if x > i], done)
-                if common > done:
-                    yield self.ids(text, back, done, common)
-                    score = {x: s - score[common] for x, s in score.items() if x >= common}
-                    back = {x: b for x, b in back.items() if x > common}
-                    done = common
-                else:  # no boundary yet; states out of reach keep their back-pointers only
-                    score = {x: s for x, s in score.items() if x > i}
-        yield self.ids(text, back, done, n)
-
-    def short(self, text: str) -> bytes:
-        """The ids of a text no longer than the window, which can't outgrow it."""
-        n, trie = len(text), self.trie
-        score, back, taken = [NEVER] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
-        score[0] = 0.0
-        for i in range(n):
+        """Yields the ids of each committed stretch of text. Blanks are already SPACE.
+
+        A stretch is committed as soon as one state is left, else at the last boundary common to all paths, looked for
+        whenever `longest` more characters have been read. States before the committed boundary are forgotten, so the window
+        grows beyond twice the longest piece only while paths differ for longer.
+        """
+        n, longest, floor, trie = len(text), self.longest, self.floor, self.trie
+        start, i, far, room = 0, 0, 0, min(len(text), 2 * longest)  # the window starts at a boundary where all paths meet
+        score, back, taken = [0.0] + [NEVER] * room, [0] * (room + 1), [b""] * (room + 1)
+        while start + i < n:
+            if i + longest > room and start + room < n:
+                common = self.converged(back, [x for x in range(i, far + 1) if score[x] != NEVER])
+                if common:
+                    yield self.ids(back, taken, common)
+                    score, back, taken = [x - score[common] for x in score[common:]], [x - common for x in back[common:]], taken[common:]
+                    start, i, far, room = start + common, i - common, far - common, room - common
+                more = min(n - start, i + 2 * longest) - room
+                score, back, taken, room = score + [NEVER] * more, back + [0] * more, taken + [b""] * more, room + more
             here, node, j = score[i], trie, i
-            for sign in text[i:]:
+            for sign in text[start + i : start + i + longest]:
                 found = node.get(sign)
                 if found is None:
                     break
@@ -124,36 +113,40 @@ class Encoder:
                 more += here
                 if more > score[j]:
                     score[j], back[j], taken[j] = more, i, ids
-            if score[i + 1] == NEVER:
-                score[i + 1], back[i + 1], taken[i + 1] = here + self.floor, i, array("i", self.unknown(text[i])).tobytes()
-        out = []
-        while n:
-            out.append(taken[n])
-            n = back[n]
-        return b"".join(out[::-1])
-
-    def converged(self, back: dict[int, int], open_: list[int], done: int) -> int:
-        """The last boundary that the paths of all open states run through."""
+                    if j > far:
+                        far = j
+            i += 1
+            if here + floor > score[i]:
+                score[i], back[i], taken[i] = here + floor, i - 1, array("i", self.unknown(text[start + i - 1])).tobytes()
+                far = max(far, i)
+            if far == i:
+                yield self.ids(back, taken, i)
+                start, i, far, room = start + i, 0, 0, min(n - start - i, 2 * longest)
+                score, back, taken = [0.0] + [NEVER] * room, [0] * (room + 1), [b""] * (room + 1)
+
+    @staticmethod
+    def converged(back: list[int], open_: list[int]) -> int:
+        """The last boundary that the paths of all open states run through; 0 where it is the one the window starts at."""
         ends = set(open_)
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
-            ends.add(back[last] if last > done else done)
+            ends.add(back[last])
         return ends.pop()
 
-    def ids(self, text: str, back: dict[int, int], start: int, end: int) -> list[int]:
-        out: list[list[int]] = []
-        while end > start:
-            part = text[back[end] : end]
-            out.append([self.model.pieces[part][0]] if part in self.model.pieces else self.unknown(part))
+    @staticmethod
+    def ids(back: list[int], taken: list[bytes], end: int) -> bytes:
+        out = []
+        while end:
+            out.append(taken[end])
             end = back[end]
-        return [i for ids in reversed(out) for i in ids]
+        return b"".join(out[::-1])
 
     def stretch(self, text: str) -> bytes:
         """The ids of a stretch, remembered for a while where it is short: the older half is forgotten when both are full."""
         ids = self.older.get(text)
         if ids is None:
-            ids = self.short(text) if len(text) <= self.longest else array("i", [i for part in self.stream(text) for i in part]).tobytes()
+            ids = b"".join(self.stream(text))
         if len(text) <= 64:
             if len(self.known) >= self.remember:
                 self.known, self.older = {}, self.known
@@ -186,7 +179,11 @@ class Decoder:
 
 
 def encode(docs: DataFrame, model: PieceModel, rows: int = 128) -> DataFrame:
-    """doc_id, ids: a row per row. Null and empty texts have no ids. Texts are read whole, in a window."""
+    """doc_id, ids: a row per row, in no order. Null and empty texts have no ids; texts are read whole, in a window.
+
+    Of equally good segmentations the one found first stays, with the longer piece at the later boundary, so equal texts and
+    repeated rows give equal ids. Columns other than doc_id and text are left out; an empty table gives an empty table.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -204,7 +201,10 @@ def encode(docs: DataFrame, model: PieceModel, rows: int = 128) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: PieceModel, rows: int = 128) -> DataFrame:
-    """doc_id, ids, text: the text that the ids stand for; empty for none and for null."""
+    """doc_id, ids, text: the text that the ids stand for; empty for none and for null.
+
+    A row per row; repeated rows give repeated results, other columns are left out, an empty table stays empty.
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def start():
