@@ -122,8 +122,12 @@ def read_ranks(path: str = RANKS) -> bytes:
 
 
 def trees(docs: DataFrame, ranks: bytes, keep: Iterable[str] = (), rows: int = 128) -> DataFrame:
-    """doc_id, text, the columns `keep`, n_tokens and the tree (chars, tokens) of every row's text; null texts are empty."""
-    sent, keep = docs.sparkSession.sparkContext.broadcast(ranks), list(keep)
+    """doc_id, text, the columns `keep`, n_tokens and the tree (chars, tokens) of every row's text; null texts are empty.
+
+    A row per row: repeated rows give repeated trees, an empty table an empty one. Columns not in `keep` are left out, and so
+    is a column of `keep` that is named like one of those made here.
+    """
+    sent, keep = docs.sparkSession.sparkContext.broadcast(ranks), [c for c in keep if c not in ("doc_id", "text", "n_tokens", "chars", "tokens")]
     rows_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     kept = "".join(f", {c} {rows_of.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -145,7 +149,8 @@ def follow(kept: DataFrame, ranks: bytes, rows: int = 128) -> DataFrame:
     """Applies the column edits (EDITS, in order, each to the text the one before left) to the rows of trees().
 
     doc_id, n_tokens (before), n_edited_tokens, n_recounted (pre-tokens split and counted again), edited (the text). Starts
-    and lengths beyond the text are cut to it; null edits, starts, lengths and inserts change nothing, are 0 or empty.
+    and lengths beyond the text are cut to it; null edits, starts, lengths and inserts change nothing, are 0 or empty. A row
+    per row: repeated rows give repeated results, other columns are left out, an empty table stays empty.
     """
     sent = kept.sparkSession.sparkContext.broadcast(ranks)
 
@@ -171,13 +176,16 @@ def follow(kept: DataFrame, ranks: bytes, rows: int = 128) -> DataFrame:
 
 
 def standard_edits(text: Column) -> Column:
-    """Three edits of a text: its middle tenth put in upper case, a note put in at a quarter, its last five characters cut off."""
+    """Three edits of a text: the tenth after its middle put in upper case, a note put in at a quarter, its last five
+    characters cut off. An upper case of more characters (ß) makes the text longer; the last edit cuts five all the same."""
     n = F.length(text).cast("long")
-    tenth = F.least(F.floor(n / 10), F.lit(40)).cast("long")
+    tenth = F.floor(n / 10).cast("long")
     half, note = F.floor(n / 2).cast("long"), " (see note 12)"
+    upper = F.upper(F.substring(text, (half + 1).cast("int"), tenth.cast("int")))
+    longer = F.length(upper).cast("long") - tenth
     edit = lambda a, b, c: F.struct(a.alias("start"), b.alias("length"), c.alias("insert"))
     return F.array(
-        edit(half, tenth, F.upper(F.substring(text, (half + 1).cast("int"), tenth.cast("int")))),
+        edit(half, tenth, upper),
         edit(F.floor(n / 4).cast("long"), F.lit(0).cast("long"), F.lit(note)),
-        edit(F.greatest(F.lit(0).cast("long"), n + len(note) - 5), F.lit(5).cast("long"), F.lit("")),
+        edit(F.greatest(F.lit(0).cast("long"), n + longer + len(note) - 5), F.lit(5).cast("long"), F.lit("")),
     )
