@@ -8,23 +8,32 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import written
 
 
+SALTS = 64
+
+
+def with_least(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """edges with _m, the least value of each key. A key with most rows is spread over SALTS parts: their minima are joined
+    first, and then given back to the parts."""
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_s").agg(F.min(value).alias("_of_part"))
+    whole = parts.groupBy(key).agg(F.min("_of_part").alias("_m"), F.collect_list("_s").alias("_parts"))
+    return salted.join(whole.select(key, "_m", F.explode("_parts").alias("_s")), [key, "_s"]).drop("_s")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of the node and its neighbours instead."""
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"))
-    moved = both.filter("b > a").join(least, F.col("a") == F.col("_u"))
+    moved = with_least(edges.union(edges.select("b", "a")), "a", "b").filter("b > a")
     return moved.select(F.least("a", "_m").alias("a"), "b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each node, and its smaller neighbours, are linked to the least of those neighbours (edges have a < b)."""
-    least = edges.groupBy(F.col("b").alias("_u")).agg(F.min("a").alias("_m"))
-    moved = edges.join(least, F.col("b") == F.col("_u"))
+    moved = with_least(edges, "b", "a")
     return moved.select(F.col("_m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the links (a, b): root is the least node reachable.
+    """node, root for every node of the links (a, b): root is the least node reachable. Nodes can be of any type with an order.
 
     Links of a node with itself and nulls are dropped. Every step is written to the shared folder; the steps end when the
     links no longer change, after about the square of the logarithm of the number of nodes at most.

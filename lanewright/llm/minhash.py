@@ -8,14 +8,15 @@ must already share one in a prefix that leaves MATCHES - 1 of all coordinates ou
 Large groups of near copies would give all their pairs. So every posting is first compared with one hub only, the
 document whose values are the most common; links confirmed there join most of such a group into one component. Only pairs
 of different components are compared afterwards, each at the first value that their prefixes share, by what either is
-known to have in common with the hub and besides it: no pair is made that isn't a link.
+known to have in common with the hub and besides it: no pair is made that isn't a link. At a value, a node meets only those
+of a size that could be similar to it given how many of its shingles any other node has at all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import map_batches, written
@@ -56,15 +57,26 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text"), start, "doc_id long, text_hash long, n_shingles long, key long, key2 long, minima array<long>")
 
 
-def postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, rep, n, shared (its values that others have, rare ones first), common (how often all of them occur) of the
+def classes_of(able: DataFrame) -> DataFrame:
+    """key, key2, node, rep, n: the classes of equal sets, by both hashes (128 bits), with their least doc_id and size.
+
+    node is unique: the first hash, changed where classes share it.
+    """
+    found = able.groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key2")).cast("long") - 1
+    return found.select("key", "key2", F.col("key").bitwiseXOR(nth).alias("node"), "rep", "n")
+
+
+def postings(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, key, rep, n, shared (its values that others have, rare ones first), common (how often all of them occur) of the
     classes with MATCHES such values or more."""
-    posted = sets.groupBy("key").agg(F.first("minima").alias("minima")).select(F.col("key").alias("node"), F.explode("minima").alias("value"))
+    firsts = able.groupBy("key", "key2").agg(F.first("minima").alias("minima"))
+    posted = firsts.join(classes.select("key", "key2", "node"), ["key", "key2"]).select("node", F.explode("minima").alias("value"))
     frequent = posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     kept = posted.join(frequent, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("_of"))
     common = F.aggregate("_of", F.lit(0).cast("long"), lambda total, x: total + x["times"]).alias("common")
     kept = kept.filter(F.size("_of") >= MATCHES).select("node", F.col("_of.value").alias("shared"), common)
-    return kept.join(classes, "node").select("node", "rep", "n", "shared", "common")
+    return kept.join(classes, "node").select("node", "key", "rep", "n", "shared", "common")
 
 
 def prefix() -> Column:
@@ -83,14 +95,14 @@ def key_of(shingles: np.ndarray) -> int:
 
 def candidate_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
     """node, text of the posted classes. Where an id repeats with other texts, only the one with the node's set counts."""
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(posted.select("rep", "node"), "rep").select("node", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(posted.select("rep", "node", "key"), "rep").select("node", "text", "key")
 
     def start():
         powers = Powers()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(batch.column(1).to_pylist(), powers)
-            return batch.filter(pa.array([key_of(s) == n for s, n in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
+            return batch.select([0, 1]).filter(pa.array([key_of(s) == k for s, k in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_()))
 
         return apply
 
@@ -98,13 +110,13 @@ def candidate_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
 
 
 def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """hub, node, common, linked, bits, out of each pair (hub, node), from the full sets made anew from the whole texts.
+    """hub, node, hub_rep, rep, common, linked, bits, out of each pair (hub, node), from the full sets made anew from the whole texts.
 
     bits tells which of the hub's shingles the node has, in words of 64; out are the node's other shingles. With a hub's
     bits and out of two nodes, what they have in common is known exactly.
     """
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(of("hub"), "hub").join(of("node"), "node").select("hub", "node", "text_hub", "text_node")
+    both = pairs.join(of("hub"), "hub").join(of("node"), "node").select("hub", "node", "text_hub", "text_node", "hub_rep", "rep")
     longs = pa.list_(pa.int64())
 
     def start():
@@ -124,11 +136,11 @@ def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 bits.append(np.packbits(has).view(np.int64))
                 out.append(y[~of_hub].view(np.int64))
             made = [pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(bits, longs), pa.array(out, longs)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["hub", "node", "common", "linked", "bits", "out"])
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 4, 5)), *made], names=["hub", "node", "hub_rep", "rep", "common", "linked", "bits", "out"])
 
         return apply
 
-    return map_batches(both, start, "hub long, node long, common long, linked boolean, bits array<long>, out array<long>", 64)
+    return map_batches(both, start, "hub long, node long, hub_rep long, rep long, common long, linked boolean, bits array<long>, out array<long>", 64)
 
 
 def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,37 +160,54 @@ def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
+def block(n: Column) -> Column:
+    """Sets that differ by less than a third in size are in the same block or in the next."""
+    return F.floor(F.log(n) / float(np.log(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
+
+
 def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between classes, and node, root of the classes they connect.
+    """Confirmed links (a, b) between classes, and node, root of the classes they connect, as structs (rep, node).
 
     Two nodes of different components meet at the first value that their prefixes share. Their collisions are counted, and
     since either was compared with the value's hub, their full sets are too: what both have of the hub, and what both have
-    besides. A node of whose shingles too few are found in any other node still in question is passed over.
+    besides. A node of whose shingles too few are found in any other node still in question is passed over; `reach` is the
+    largest set that a node could be similar to, and the smaller of two nodes goes to the blocks within its reach.
     """
     texts = written(candidate_texts(docs, posted).dropDuplicates(["node"]), "candidates")
     posted = posted.withColumn("prefix", prefix())
-    values = posted.select("node", "common", F.explode("prefix").alias("value"))
-    hubs = written(values.groupBy("value").agg(F.max("common").alias("common")).join(values, ["value", "common"]).groupBy("value").agg(F.min("node").alias("hub")), "hubs")
-    tried = values.join(hubs, "value").select("hub", "node").distinct()
+    values = posted.select("node", "rep", "common", F.explode("prefix").alias("value"))
+    hubs = values.groupBy("value").agg(F.max("common").alias("common")).join(values, ["value", "common"]).groupBy("value").agg(F.min("node").alias("hub"))
+    hubs = written(hubs.join(posted.select(F.col("node").alias("hub"), F.col("rep").alias("hub_rep")), "hub"), "hubs")
+    tried = values.join(hubs, "value").select("hub", "node", "hub_rep", "rep").distinct()
     tested = written(against_hubs(tried, texts), "compared")
-    found = tested.filter("linked and hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    roots = components(found)
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    found = tested.filter("linked and hub <> node").select(*ends(F.struct(F.col("hub_rep").alias("rep"), F.col("hub").alias("node")), F.struct("rep", "node")))
+    roots = components(found).select("node.node", F.col("root.node").alias("root"))
 
-    members = posted.join(roots, "node", "left").select("node", "n", "shared", "prefix", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
+    members = posted.join(roots, "node", "left").select("node", "rep", "n", "shared", "prefix", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
     split = members.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
     members = written(members.join(split, "value").join(hubs, "value"), "members")
     own = own_shingles(members.select("node").distinct(), texts)
     members = members.join(own, "node", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-    members = members.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0]).join(tested.drop("linked"), ["hub", "node"])
-    a, b = (members.select(*[F.col(c).alias(f"{c}_{x}") for c in ("value", "node", "n", "root", "shared", "prefix", "rest", "common", "bits", "out")]) for x in "ab")
-    enough = lambda common: common * (THRESHOLD[0] + THRESHOLD[1]) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD[0]
+    members = members.withColumn("reach", F.expr(f"rest * {sum(THRESHOLD)} div {THRESHOLD[0]} - n"))
+    members = members.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0]).join(tested.select("hub", "node", "common", "bits", "out"), ["hub", "node"])
+    blocks = F.sequence(block(F.col("n")), block(F.least(F.col("reach"), F.col("n") * THRESHOLD[1] / THRESHOLD[0])))
+    columns = ("value", "node", "rep", "n", "root", "shared", "prefix", "rest", "reach", "common", "bits", "out", "block")
+    a, b = (
+        side.select(*[F.col(c).alias(f"{c}_{x}") for c in columns])
+        for x, side in (("a", members.filter("reach >= n").withColumn("block", F.explode(blocks))), ("b", members.withColumn("block", block(F.col("n")))))
+    )
+    enough = lambda common: common * sum(THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD[0]
     most = F.least("common_a", "common_b") + F.least(F.col("rest_a") - F.col("common_a"), F.col("rest_b") - F.col("common_b"))
     once = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("value_a")
     counted = F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES
     of_hub = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
     exactly = of_hub + F.size(F.array_intersect("out_a", "out_b"))
-    meet = (F.col("value_a") == F.col("value_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike_in_size(F.col("n_a"), F.col("n_b"))
-    across = a.join(b, meet & enough(most) & once & counted & enough(exactly)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    meet = (F.col("value_a") == F.col("value_b")) & (F.col("block_a") == F.col("block_b")) & smaller & (F.col("root_a") != F.col("root_b"))
+    meet = meet & alike_in_size(F.col("n_a"), F.col("n_b")) & (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b"))
+    end = lambda x: F.struct(F.col(f"rep_{x}").alias("rep"), F.col(f"node_{x}").alias("node"))
+    across = a.join(b, meet & enough(most) & once & counted & enough(exactly)).select(*ends(end("a"), end("b")))
     found = written(found.union(across), "links")
     return found, components(found)
 
@@ -200,12 +229,12 @@ def placed(docs: DataFrame) -> DataFrame:
     the least of several groups. root is null for rows that are judged alone."""
     sets = written(signatures(docs), "signatures")
     able = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(able.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    classes = written(classes_of(able), "classes")
     posted = written(postings(able, classes), "postings")
     _, roots = links(docs, posted)
-    grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = grouped.join(grouped.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("key"), "root", "component_id")
-    rows = sets.select("doc_id", "text_hash", "n_shingles", "key").join(grouped, "key", "left")
+    roots = roots.select("node.node", "root")
+    grouped = classes.join(roots, "node", "left").select("key", "key2", F.coalesce("root.node", "node").alias("root"), F.coalesce("root.rep", "rep").alias("component_id"))
+    rows = sets.select("doc_id", "text_hash", "n_shingles", "key", "key2").join(grouped, ["key", "key2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
