@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -31,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 128) -> DataFrame:
     """mapInArrow with at most `rows` rows at a time. function() runs once a task and returns the batch function."""
 

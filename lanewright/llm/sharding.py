@@ -11,51 +11,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import prefix_sums, written
+from lanewright.llm.common import free, prefix_sums, written
 
 ROW_BYTES = 16
 
 
 def with_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of docs, and _size, _shard (from 0) and _slot (gapless from 0 in each shard).
+    """All columns of docs, then _size, _shard (from 0) and _slot (gapless from 0 in each shard), with further underscores
+    before a name that docs has itself.
 
-    Null texts have no bytes. Rows are told apart by doc_id and text; rows equal in both are interchangeable. The
-    permutations are written to the shared folder before use, so a task run again sees the same ones. An empty table
-    stays empty. Shards differ by one row at most, also where there are fewer rows than shards.
+    Null texts have no bytes. Rows are told apart by doc_id and text; rows equal in both are interchangeable, and share a
+    bucket. The permutations are written to the shared folder before use, so a task run again sees the same ones. An empty
+    table stays empty. Shards differ by one row at most, also where there are fewer rows than shards.
     """
-    rows = docs.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
-    buckets = max(1, -(-size // bucket_bytes))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))).withColumn("_draw", F.xxhash64(F.lit(seed + 1), "doc_id", "text"))
-    counts = prefix_sums(rows.groupBy("_bucket").agg(F.count("*").alias("_rows")), [], "_bucket", "_rows", "_offset")
+    size, bucket, draw, count, offset, order, number, place, shard, slot = free(docs.columns, "_size", "_bucket", "_draw", "_rows", "_offset", "_order", "_number", "_place", "_shard", "_slot")
+    rows = docs.withColumn(size, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
+    n, total_size = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    buckets = max(1, -(-total_size // bucket_bytes))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))).withColumn(draw, F.xxhash64(F.lit(seed + 1), "doc_id", "text"))
+    counts = prefix_sums(rows.groupBy(bucket).agg(F.count("*").alias(count)), [], bucket, count, offset)
     tasks = max(1, min(1000, buckets // 64))
     permuted = (
-        counts.repartition(tasks, "_bucket").sortWithinPartitions("_bucket")
-        .select("_bucket", "_offset", F.shuffle(F.sequence(F.lit(0), (F.col("_rows") - 1).cast("int")), F.lit(seed)).alias("_order"))
+        counts.repartition(tasks, bucket).sortWithinPartitions(bucket)
+        .select(bucket, offset, F.shuffle(F.sequence(F.lit(0), (F.col(count) - 1).cast("int")), F.lit(seed)).alias(order))
     )
     permuted = written(permuted, "bucket-order")
-    number = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", "doc_id"))
-    placed = rows.withColumn("_number", number).join(permuted, "_bucket").withColumn("_place", F.col("_offset") + F.get("_order", F.col("_number") - 1))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)  # 8 buckets a task: it grows with the table
+    nth = F.row_number().over(Window.partitionBy(bucket).orderBy(draw, "doc_id"))
+    placed = rows.repartition(parts, bucket).withColumn(number, nth).join(permuted, bucket).withColumn(place, F.col(offset) + F.get(order, F.col(number) - 1))
     total = F.lit(max(1, n)).cast("long")
-    return (
-        placed.withColumn("_shard", F.expr(f"cast(_place * {shards}L div {max(1, n)}L as int)"))
-        .withColumn("_slot", F.col("_place") - F.floor((F.col("_shard") * total + (shards - 1)) / F.lit(shards)).cast("long"))
-        .drop("_bucket", "_draw", "_number", "_offset", "_order", "_place")
-    )
+    placed = placed.withColumn(shard, F.expr(f"cast({place} * {shards}L div {max(1, n)}L as int)"))
+    first = F.floor((F.col(shard) * total + (shards - 1)) / F.lit(shards)).cast("long")
+    return placed.select(*docs.columns, size, shard, (F.col(place) - first).alias(slot))
 
 
 def write_shards(sharded: DataFrame, path: str, tasks: int) -> None:
-    """Writes the rows of with_shards as folders _shard=..., each in files that follow one another in slot order."""
-    sharded.repartitionByRange(tasks, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    """Writes the rows of with_shards as folders by shard, each in files that follow one another in slot order."""
+    _, shard, slot = sharded.columns[-3:]
+    sharded.repartitionByRange(tasks, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def digest(sharded: DataFrame) -> DataFrame:
+    size, shard, slot = sharded.columns[-3:]
     return sharded.select(
         "doc_id",
-        F.col("_size").alias("size"),
+        F.col(size).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        F.col("_shard").alias("shard"),
-        F.col("_slot").alias("slot"),
+        F.col(shard).alias("shard"),
+        F.col(slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
