@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import prefix_sums, written
+from lanewright.llm.common import free, prefix_sums, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -69,18 +69,23 @@ def split(total: int, shards: int, quotas: np.ndarray, seed: int, first: int, la
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and a hash of the text, written once: all later steps move these rows only."""
+    """doc_id, source, size (words), _text (a hash), _copies and _nth: rows equal in id, text and source are numbered from 1.
+
+    Written once: all later steps move these rows only. Equal rows are counted where they are read, so many of them don't meet.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_text")), "sizes")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_text"))
+    counted = rows.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_copies"))
+    return written(counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), "sizes")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, seed: int = 31, block_words: int = 1 << 16, shard_blocks: int = 64, most_sources: int = 100_000) -> DataFrame:
-    """doc_id, _text, source, size, source_size, target, taken, draws: a row per row of docs.
+    """doc_id, _text, source, _copies, _nth, size, source_size, target, taken, draws: a row per row of docs.
 
     draws holds, for each time the mix takes the document, the pass, the output shard and the words taken: all of them but
     for at most one document a source, which its quota cuts. Sources are weighted in code point order, a null source last.
-    Null and empty texts have size 0 and take nothing, but stay in the result. Rows equal in doc_id and text are dealt
-    together. Only the table of sources reaches the driver; more than most_sources raise ValueError.
+    Null and empty texts have size 0 and take nothing, but stay in the result. Rows equal in doc_id, text and source are
+    numbered and dealt one by one. Other columns are left out; an empty table stays empty. Only the table of sources reaches the driver; more than most_sources raise ValueError.
     """
     spark = docs.sparkSession
     rows = sized(docs)
@@ -98,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     schema = "sid int, source string, source_size long, target double, blocks long, passes int, rest long"
     plan = F.broadcast(spark.createDataFrame([(s.sid, s.name, s.words, s.target, s.blocks, s.passes, s.rest) for s in sources], schema))
     dealt = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_text"), F.col("blocks")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_text", "_nth"), F.col("blocks")))
     blocks = prefix_sums(dealt.groupBy("sid", "block", "blocks", "passes", "rest").agg(F.sum("size").alias("words")), ["sid"], "block", "words", "before")
     blocks = written(blocks, "blocks")
     begun = {r["sid"]: r["n"] for r in blocks.filter("before < rest").groupBy("sid").agg((F.max("block") + 1).alias("n")).collect()}
@@ -117,30 +122,61 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     turns = tree.select("shard", "sid", F.explode(F.expr("sequence(start, start + n - 1)")).alias("turn"))
     turns = turns.join(plan.select("sid", "blocks"), "sid").select("sid", F.col("turn") % F.col("blocks"), F.expr("cast(turn div blocks as int)"), "shard").toDF("sid", "block", "pass", "shard")
     drawn = blocks.join(turns, ["sid", "block"], "left").groupBy("sid", "block", "before").agg(F.sort_array(F.collect_list(F.when(F.col("pass").isNotNull(), F.struct("pass", "shard")))).alias("turns"))
-    inside = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_text"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_text", "_nth"), "doc_id", "size", "_nth").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = dealt.join(drawn, ["sid", "block"]).withColumn("_ahead", ahead)
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("_ahead")))
     draws = F.transform("turns", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] < F.col("passes"), F.col("size")).otherwise(part).alias("words")))
     placed = placed.withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return placed.select("doc_id", "_text", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return placed.select("doc_id", "_text", "source", "_copies", "_nth", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+def drawn(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """doc (a row of docs as a struct), size, draw (pass, shard, words) and order (random, fixed by the seed of the plan's
+    hashes): a row for each draw. Rows equal in id, text and source get the draws of one of them each."""
+    keys = ["id", "hash", "source"]
+    draws = plan.filter("size(draws) > 0").select(F.col("doc_id").alias("id"), F.col("_text").alias("hash"), "source", "_copies", "_nth", "size", "draws")
+    draws = written(draws, "draws")
+    packed = docs.select(docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"), docs["source"].alias("own_source"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    same = [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in keys]
+    out = packed.join(draws.filter("_copies = 1"), same)
+    several = draws.filter("_copies > 1")
+    if not several.isEmpty():
+        rows = packed.join(several.select(*keys).distinct(), same, "left_semi")
+        rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_hash", "own_source").orderBy(F.xxhash64("doc"))).cast("long"))
+        out = out.unionByName(rows.join(several, [*same, F.col("own_nth") == F.col("_nth")]).drop("own_nth"))
+    out = out.select("doc", "size", "id", "hash", "_nth", F.explode("draws").alias("draw"))
+    return out.select("doc", "size", "draw", F.xxhash64("id", "hash", "_nth", "draw.pass").alias("order"))
+
+
+def cut(text: Column, words: Column) -> Column:
+    """The text up to the end of its words-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
+
+
+def taken_rows(rows: DataFrame, docs: DataFrame) -> list[Column]:
+    """The columns of docs from drawn(); where a draw takes a part of a document, text ends there and n_chars says how long it is."""
+    part = F.col("draw.words") < F.col("size")
+    text = F.when(part, cut(F.col("doc.text"), F.col("draw.words"))).otherwise(F.col("doc.text"))
+    own = {"text": text, "n_chars": F.when(part, F.length(text)).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return [own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns]
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The columns of docs, a row for each time the mix takes a document, however many of its words."""
-    times = plan.filter("size(draws) > 0").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.size("draws").alias("_times")).dropDuplicates(["_id", "_hash"])
-    on = docs["doc_id"].eqNullSafe(times["_id"]) & (F.xxhash64(docs["text"]) == times["_hash"])
-    return docs.join(times, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias("_turn")).select(*[docs[c] for c in docs.columns])
-
-
-def write_mix(docs: DataFrame, plan: DataFrame, path: str, tasks: int, seed: int = 31) -> None:
-    """Writes the drawn documents, shard by shard; each shard's rows in a random order of their own (a hash of id and pass)."""
-    draws = plan.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.explode("draws").alias("_draw"))
-    on = docs["doc_id"].eqNullSafe(draws["_id"]) & (F.xxhash64(docs["text"]) == draws["_hash"])
-    order = F.xxhash64(F.lit(seed + 2), draws["_id"], draws["_hash"], draws["_draw.pass"]).alias("_order")
-    rows = docs.join(draws, on).select(*[docs[c] for c in docs.columns], draws["_draw.shard"].alias("_shard"), draws["_draw.words"].alias("_words"), order)
-    rows.repartitionByRange(tasks, "_shard", "_order").sortWithinPartitions("_shard", "_order").drop("_order").write.partitionBy("_shard").parquet(path)
+    """The columns of docs, a row for each time the mix takes a document. What it takes of a document that a quota cuts (one a
+    source at most) is the text up to there; all others are whole. Null and empty texts are never taken."""
+    rows = drawn(docs, plan)
+    return rows.select(*taken_rows(rows, docs))
+
+
+def write_mix(docs: DataFrame, plan: DataFrame, path: str, tasks: int) -> None:
+    """Writes the rows of mixed(), a folder _shard=... each, in a random order (a hash of id, text and pass), with _words, the
+    words taken. A name that docs has itself gets further underscores."""
+    rows = drawn(docs, plan)
+    shard, words, order = free(docs.columns, "_shard", "_words", "_order")
+    rows = rows.select(*taken_rows(rows, docs), F.col("draw.shard").alias(shard), F.col("draw.words").alias(words), F.col("order").alias(order))
+    rows.repartitionByRange(tasks, shard, order).sortWithinPartitions(shard, order).drop(order).write.partitionBy(shard).parquet(path)
 
 
 def digest(plan: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lanewright.llm import mixing as M
 from lanewright.llm import queries
@@ -27,6 +28,37 @@ def test_shards_of_edges(spark, edge, edge_rows, empty):
     check_shards(rows, len(edge_rows))
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in edge_rows)
     assert S.with_shards(empty).count() == 0
+    clashing = edge.withColumns({c: F.lit(5) for c in ("_size", "_bucket", "_draw", "_number", "_offset", "_order", "_place", "_shard", "_slot", "_rows")})
+    sharded = S.with_shards(clashing)
+    assert sharded.columns[:-3] == clashing.columns and sharded.filter("_place = 5 and _slot = 5").count() == len(edge_rows)
+    check_shards(S.digest(sharded).collect(), len(edge_rows))
+
+
+def brute_shards(spark, docs, shards, seed, bucket_bytes):
+    """Buckets, draws and permutations from plain hashes, one after the other."""
+    hashed = docs.select("doc_id", "text", *[F.xxhash64(F.lit(seed + i), "doc_id", "text").alias(f"h{i}") for i in (0, 1)]).collect()
+    size = sum(len((r["text"] or "").encode()) + S.ROW_BYTES for r in hashed)
+    buckets = max(1, -(-size // bucket_bytes))
+    of = collections.defaultdict(list)
+    for r in hashed:
+        of[r["h0"] % buckets].append(r)
+    place, out = 0, {}
+    orders = spark.createDataFrame([(b, len(of[b])) for b in sorted(of)], "b long, n int").coalesce(1).sortWithinPartitions("b").select("b", F.shuffle(F.sequence(F.lit(0), F.col("n") - 1), F.lit(seed)).alias("o")).collect()
+    for b, order in ((r["b"], r["o"]) for r in orders):
+        assert sorted(order) == list(range(len(of[b])))
+        for k, r in zip(order, sorted(of[b], key=lambda r: (r["h1"], r["doc_id"])), strict=True):
+            out[r["doc_id"]] = place + k
+        place += len(of[b])
+    first = [-(-s * place // shards) for s in range(shards + 1)]
+    shard_of = lambda p: max(s for s in range(shards) if first[s] <= p)
+    return {i: (shard_of(p), p - first[shard_of(p)]) for i, p in out.items()}
+
+
+def test_shards_by_brute_force(spark):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([row(i * 3, words(rng, rng.randint(0, 12))) for i in range(400)], SCHEMA)
+    got = {r["doc_id"]: (r["_shard"], r["_slot"]) for r in S.with_shards(docs, 7, 20, 1024).collect()}
+    assert got == brute_shards(spark, docs, 7, 20, 1024)
 
 
 def test_shards_over_buckets_are_shuffled_and_repeatable(spark):
@@ -76,8 +108,11 @@ def test_splitting_tree_is_exact_and_disjoint():
     assert np.allclose(means, quotas / 2, atol=0.6)  # hypergeometric means
 
 
+def size(text):
+    return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+
+
 def check_mix(docs, rows):
-    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
     assert collections.Counter((r["doc_id"], r["size"]) for r in rows) == collections.Counter((d[0], size(d[1])) for d in docs)
     sources = sorted({d[3] for d in docs}, key=lambda s: (s is None, s or ""))
     of = {s: sum(size(d[1]) for d in docs if d[3] == s) for s in sources}
@@ -92,7 +127,7 @@ def check_mix(docs, rows):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sources)
 
 
-def test_mix_edges(spark, edge, edge_rows, empty):
+def test_mix_edges(spark, edge, edge_rows, empty, tmp_path):
     plan = M.mix(edge, block_words=64, shard_blocks=8)
     rows = [r for r in plan.collect() if r["doc_id"] != 6]  # 6 and 5 differ in source only
     assert plan.count() == len(edge_rows)
@@ -101,6 +136,32 @@ def test_mix_edges(spark, edge, edge_rows, empty):
     assert M.mix(empty).count() == 0
     copies = M.mixed(edge, plan)
     assert copies.columns == edge.columns and copies.filter("doc_id in (1, 2, 3)").count() == 0
+    assert sum(size(r["text"]) for r in copies.collect()) == sum(r["taken"] for r in plan.collect())
+    clashing = edge.withColumns({c: F.lit(5) for c in ("_shard", "_words", "_order", "_text", "_nth", "_copies", "size", "draw", "doc", "id", "hash")})
+    M.write_mix(clashing, M.mix(clashing, block_words=64, shard_blocks=8), f"{tmp_path}/clash", 2)
+    back = spark.read.parquet(f"{tmp_path}/clash")
+    assert back.filter("_shard = 5 and _words = 5").count() == back.count() == copies.count()
+
+
+def test_repeated_rows_are_drawn_one_by_one(spark, tmp_path):
+    rng = random.Random(12)
+    docs = [row(i, words(rng, 20), source="ab"[i % 2]) for i in range(40)]
+    docs += [docs[3]] * 5 + [row(None, None)] * 4 + [row(7, "x y z", source=None)] * 2
+    frame = spark.createDataFrame(docs, SCHEMA)
+    plan = M.mix(frame, block_words=16, shard_blocks=4)
+    rows = plan.collect()
+    check_mix(docs, rows)
+    M.write_mix(frame, plan, f"{tmp_path}/mix", 2)
+    back = spark.read.parquet(f"{tmp_path}/mix").collect()
+    assert sum(r["_words"] for r in back) == sum(r["taken"] for r in rows) and all(size(r["text"]) == r["_words"] for r in back)
+    want = collections.Counter(r["doc_id"] for r in rows for _ in r["draws"])
+    assert want == collections.Counter(r["doc_id"] for r in back) == collections.Counter(r["doc_id"] for r in M.mixed(frame, plan).collect())
+
+
+def test_cut_keeps_whole_words(spark):
+    texts = ["  one two\n three  ", "one", "a\tb"]
+    got = spark.createDataFrame([(t, n) for t in texts for n in (1, 2)], "t string, n int").select(M.cut(F.col("t"), F.col("n")).alias("c")).collect()
+    assert [r["c"] for r in got] == ["  one", "  one two", "one", "one", "a", "a\tb"]
 
 
 def test_mix_many_blocks(spark, tmp_path):
