@@ -19,12 +19,13 @@ SAME_DEG = 1e-12
 def sample_even(items: Column, most: int) -> Column:
     """At most `most` items at evenly spread places, both ends among them; all where there are no more, one for most <= 1.
 
-    Places are rounded half to even and each is taken once.
+    Places are multiples of one step, rounded half to even, and each is taken once.
     """
     n = F.size(items)
     if most <= 1:
         return F.when(n > 0, F.slice(items, 1, 1)).otherwise(items)
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i.cast("double") * (n - 1) / F.lit(float(most - 1))).cast("int"))
+    step = (n - 1) / F.lit(float(most - 1))
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i.cast("double") * step).cast("int"))
     return F.when(n <= most, items).otherwise(F.transform(F.array_distinct(places), lambda i: F.get(items, i)))
 
 

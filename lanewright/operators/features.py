@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.arrays import sample_stride
 from lanewright.functions.geo import in_box
-from lanewright.operators.network import cell
+from lanewright.operators.grids import cell_of, level_of, levels, met_levels
 from lanewright.settings import DEFAULT, Settings
 
 GRID_DEG = 0.01
@@ -23,10 +23,15 @@ def task_routes(tasks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def met_by_boxes(vertices: DataFrame, of: list[str], boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (keys, of): features with a vertex in the box, borders included; an edge that only crosses doesn't count.
 
-    Vertices and boxes meet in the cells of a grid, so that no vertex is compared with boxes far from it.
+    A box is posted on the grid whose cells are no smaller than itself, so in four cells at most, however large it is; a
+    vertex looks at its cell of every level that a box is on. No vertex is compared with boxes far from it.
     """
-    posted = vertices.select(*of, "lon", "lat", cell(F.col("lon"), GRID_DEG).alias("x"), cell(F.col("lat"), GRID_DEG).alias("y"))
-    span = lambda low, high: F.explode(F.sequence(cell(F.col(low), GRID_DEG), cell(F.col(high), GRID_DEG)))
-    covers = boxes.select(*keys, "south", "west", "north", "east", span("west", "east").alias("x")).select("*", span("south", "north").alias("y"))
-    met = posted.join(covers, ["x", "y"]).filter(in_box(F.col("lon"), F.col("lat"), F.col("south"), F.col("west"), F.col("north"), F.col("east")))
+    step = level_of(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")), GRID_DEG)
+    covers = boxes.select(*keys, "south", "west", "north", "east", step.alias("level"))
+    used = met_levels(covers)
+    for axis, low, high in (("x", "west", "east"), ("y", "south", "north")):
+        covers = covers.withColumn(axis, F.explode(F.sequence(cell_of(F.col(low), F.col("level"), GRID_DEG), cell_of(F.col(high), F.col("level"), GRID_DEG))))
+    posted = vertices.select(*of, "lon", "lat", F.explode(levels(used)).alias("level"))
+    posted = posted.withColumns({"x": cell_of(F.col("lon"), F.col("level"), GRID_DEG), "y": cell_of(F.col("lat"), F.col("level"), GRID_DEG)})
+    met = posted.join(covers, ["level", "x", "y"]).filter(in_box(F.col("lon"), F.col("lat"), F.col("south"), F.col("west"), F.col("north"), F.col("east")))
     return met.select(*keys, *of).distinct()

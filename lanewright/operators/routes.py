@@ -10,17 +10,16 @@ from lanewright.functions.geo import between_points_m
 from lanewright.operators.paths import paths
 from lanewright.operators.snapping import nearest_lanes
 from lanewright.settings import DEFAULT, Settings
+from lanewright.storage import written
 
 
 def candidates(ends: DataFrame, lanes: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
     """Every nearest lane of a task's origin with every nearest lane of its destination, with both projections."""
-    near = {}
-    for side in ("origin", "destination"):
-        points = ends.select(*keys, F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat"))
-        found = nearest_lanes(points, lanes, keys, settings.snap_candidates)
-        mark = side[0]
-        near[side] = found.select(*keys, F.col("uid").alias(f"{mark}_uid"), F.col("rank").alias(f"{mark}_rank"), F.struct("snap_dist_m", "offset_m", "remain_m", "projected_lon", "projected_lat", "segment_index", "lane_length_m").alias(f"{mark}_proj"))
-    return near["origin"].join(near["destination"], keys)
+    sides = F.explode(F.array(*[F.struct(F.lit(s[0]).alias("_side"), F.col(f"{s}_lon").alias("lon"), F.col(f"{s}_lat").alias("lat")) for s in ("origin", "destination")])).alias("_end")
+    found = nearest_lanes(ends.select(*keys, sides).select(*keys, "_end.*"), lanes, [*keys, "_side"], settings.snap_candidates)
+    projected = F.struct("snap_dist_m", "offset_m", "remain_m", "projected_lon", "projected_lat", "segment_index", "lane_length_m")
+    near = {s: found.filter(F.col("_side") == s).select(*keys, F.col("uid").alias(f"{s}_uid"), F.col("rank").alias(f"{s}_rank"), projected.alias(f"{s}_proj")) for s in "od"}
+    return near["o"].join(near["d"], keys)
 
 
 def jumps(edges: DataFrame, links: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -60,11 +59,16 @@ def best(measured: DataFrame, keys: list[str]) -> DataFrame:
     return measured.groupBy(*keys).agg(chosen.alias("_best"), F.count("*").alias("tried_count")).select(*keys, "_best.*", "tried_count")
 
 
+def tried(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """metrics() of all candidates of every task. Ways are searched once for each pair of lanes, however many tasks ask."""
+    found = written(candidates(ends, lanes, keys, settings), "candidates")
+    ways = written(paths(edges, found.select(F.col("o_uid").alias("src"), F.col("d_uid").alias("dst")).distinct()), "paths")
+    return metrics(found, ways, lanes, jumps(edges, links, lanes), settings)
+
+
 def plan(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """The best route of every task that has one. Ways are searched once for each pair of lanes, however many tasks ask."""
-    found = candidates(ends, lanes, keys, settings).persist()
-    ways = paths(edges, found.select(F.col("o_uid").alias("src"), F.col("d_uid").alias("dst")).distinct())
-    return best(metrics(found, ways.persist(), lanes, jumps(edges, links, lanes), settings), keys)
+    """The best route of every task that has one."""
+    return best(tried(ends, lanes, links, edges, keys, settings), keys)
 
 
 def summary(planned: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.geo import between_points_m, haversine_m, planar_x_m, planar_y_m, polyline_m
-from lanewright.operators.network import DEGREE_M, cell
+from lanewright.functions.geo import between_points_m, haversine_m, planar_x_m, planar_y_m
+from lanewright.operators.grids import cell_of, level_of, levels, met_levels
+from lanewright.operators.network import DEGREE_M
 from lanewright.storage import written
 
-#: Cell sizes in degrees, tried one after the other for the points not yet settled; the last covers the globe.
-CELLS_DEG = tuple(0.001 * 4**level for level in range(10))
+GRID_DEG = 0.001
+#: How far points look, in degrees, one after the other for those not yet settled; the last reaches around the globe.
+REACHES_DEG = tuple(GRID_DEG * 4**n for n in range(10))
 
 
 def segments(lanes: DataFrame) -> DataFrame:
-    """uid, lane_ord, segment_index (from 0), a, b, single, before_m (the way to a), lane_length_m: a one-point lane is a
-    segment of itself."""
+    """uid, lane_ord, segment_index (from 0), a, b, hop_m, before_m (the way to a), single, lane_length_m: a one-point lane is
+    a segment of itself. Ways are running sums over a lane's segments, each measured once."""
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))), lambda i: F.struct(F.get("points", i - 1).alias("a"), F.coalesce(F.get("points", i), F.get("points", i - 1)).alias("b")))
-    rows = lanes.select("uid", "lane_ord", "points", F.posexplode(pieces).alias("segment_index", "s"))
-    return rows.select("uid", "lane_ord", "segment_index", "s.a", "s.b", (F.size("points") == 1).alias("single"), polyline_m(F.slice("points", F.lit(1), F.col("segment_index") + 1)).alias("before_m"), polyline_m(F.col("points")).alias("lane_length_m"))
+    rows = lanes.select("uid", "lane_ord", F.col("length_m").alias("lane_length_m"), (F.size("points") == 1).alias("single"), F.posexplode(pieces).alias("segment_index", "s"))
+    rows = rows.select("uid", "lane_ord", "segment_index", "s.a", "s.b", "single", "lane_length_m").withColumn("hop_m", between_points_m(F.col("a"), F.col("b")))
+    so_far = Window.partitionBy("uid").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before_m", F.coalesce(F.sum("hop_m").over(so_far), F.lit(0.0)))
 
 
 def projection(lon: Column, lat: Column) -> dict[str, Column]:
@@ -35,7 +39,7 @@ def projection(lon: Column, lat: Column) -> dict[str, Column]:
 def measured(pairs: DataFrame) -> DataFrame:
     """Rows of a point (lon, lat) and a segment, with the projection's distance, offset and point."""
     rows = pairs.withColumns(projection(F.col("lon"), F.col("lat")))
-    offset = F.col("before_m") + between_points_m(F.col("a"), F.col("b")) * F.col("ratio")
+    offset = F.col("before_m") + F.col("hop_m") * F.col("ratio")
     return rows.withColumns({
         "snap_dist_m": F.when(F.col("single"), haversine_m(F.col("lon"), F.col("lat"), F.col("a.lon"), F.col("a.lat"))).otherwise(F.col("snap_dist_m")),
         "offset_m": offset,
@@ -54,29 +58,44 @@ def project(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return measured(pairs).groupBy(*keys, "uid", "lane_ord").agg(best.alias("p")).select(*keys, "uid", "lane_ord", "p.*")
 
 
+def posted(parts: DataFrame, reach: float) -> DataFrame:
+    """Segments in the cells they touch, of a grid no finer than themselves and the reach: four cells each at most."""
+    extent = F.greatest(F.abs(F.col("a.lon") - F.col("b.lon")), F.abs(F.col("a.lat") - F.col("b.lat")))
+    rows = parts.withColumn("level", level_of(F.greatest(extent, F.lit(reach)), GRID_DEG))
+    for name, axis in (("x", "lon"), ("y", "lat")):
+        low, high = F.least(f"a.{axis}", f"b.{axis}"), F.greatest(f"a.{axis}", f"b.{axis}")
+        rows = rows.withColumn(name, F.explode(F.sequence(cell_of(low, F.col("level"), GRID_DEG), cell_of(high, F.col("level"), GRID_DEG))))
+    return rows
+
+
+def looks(points: DataFrame, reach: float, used: list[int]) -> DataFrame:
+    """Points in the cells that the square of their reach touches, on every level in use."""
+    rows = points.select("*", F.explode(levels(used)).alias("level"))
+    for name, axis in (("x", "lon"), ("y", "lat")):
+        rows = rows.withColumn(name, F.explode(F.sequence(cell_of(F.col(axis) - reach, F.col("level"), GRID_DEG), cell_of(F.col(axis) + reach, F.col("level"), GRID_DEG))))
+    return rows
+
+
 def nearest_lanes(points: DataFrame, lanes: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k nearest lanes of each point (keys, lon, lat), ranked from 1 by distance, then by lane order.
 
-    Segments are posted in the grid cells their boxes cover. A point looks at its cell and the eight around it and is
-    settled when its k-th lane is nearer than anything outside them can be; the others look again on a coarser grid, the
-    last of which has everything in reach. Every point gets min(k, lanes) rows.
+    A point meets the segments whose cells the square of its reach touches, and is settled when its k-th lane is nearer than
+    anything outside that square can be; the others look again four times as far, at last around the globe. Every point
+    gets min(k, lanes) rows. lanes has uid, lane_ord, points and length_m.
     """
     parts = written(segments(lanes), "segments")
     k = min(k, lanes.count())
     left, found = points.select(*keys, "lon", "lat"), []
     ranking = Window.partitionBy(*keys).orderBy("snap_dist_m", "lane_ord")
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    for step in CELLS_DEG:
-        span = lambda axis: F.sequence(cell(F.least(f"a.{axis}", f"b.{axis}"), step), cell(F.greatest(f"a.{axis}", f"b.{axis}"), step))  # noqa: B023, E731
-        posted = parts.withColumn("x", F.explode(span("lon"))).withColumn("y", F.explode(span("lat")))
-        looks = left.select("*", around.alias("dx")).select("*", around.alias("dy"))
-        looks = looks.select(*keys, "lon", "lat", (cell(F.col("lon"), step) + F.col("dx")).alias("x"), (cell(F.col("lat"), step) + F.col("dy")).alias("y"))
-        near = project(looks.join(posted, ["x", "y"]).drop("x", "y"), [*keys, "lon", "lat"])
+    for reach in REACHES_DEG:
+        of_lanes = posted(parts, reach)
+        met = looks(left, reach, met_levels(of_lanes)).join(of_lanes, ["level", "x", "y"]).drop("level", "x", "y")
+        near = project(met, [*keys, "lon", "lat"])
         near = written(near.withColumn("rank", F.row_number().over(ranking).cast("long")).filter(F.col("rank") <= k), "near")
-        if step == CELLS_DEG[-1]:
+        if reach == REACHES_DEG[-1]:
             found.append(near)
             break
-        sure = F.lit(0.999 * step * DEGREE_M) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + step)))
+        sure = F.lit(0.999 * reach * DEGREE_M) * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + reach)))
         settled = near.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.col("snap_dist_m") - sure).alias("_over")).filter((F.col("_n") == k) & (F.col("_over") < 0)).select(*keys)
         found.append(near.join(settled, keys, "left_semi"))
         left = written(left.join(settled, keys, "left_anti"), "unsettled")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lanewright.functions.arrays import dedup_consecutive
+from lanewright.functions.arrays import dedup_consecutive, sample_stride
 from lanewright.functions.geo import polyline_m
 from lanewright.operators import features, network, routes, tracks
 from lanewright.plans import layers
@@ -16,6 +18,7 @@ from lanewright.sources import json_files as J
 from lanewright.storage import written
 
 KEYS = ["sn", "task_id"]
+OD_SOURCE = "first and last point"  # what origin and destination are taken from, in words
 
 
 class TaskNotFound(LookupError):
@@ -23,28 +26,37 @@ class TaskNotFound(LookupError):
 
 
 class NoTrack(ValueError):
-    """The first matching task has fewer than two points."""
+    """The first matching task has no track of two points or more that can be read."""
 
 
 class Engine:
-    """Plans routes for tasks under a folder over the network of a resource file. Loaded at first use; no result cache."""
+    """Plans routes for tasks under a folder over the network of a resource file. Loaded at first use; no result cache.
+
+    strict raises where a file, a task or a lane can't be read; otherwise it is left out.
+    """
 
     def __init__(self, spark: SparkSession, tasks_path: str, resource_path: str, settings: Settings = DEFAULT, strict: bool = False) -> None:
         self.spark, self.tasks_path, self.resource_path, self.settings, self.strict = spark, tasks_path, resource_path, settings, strict
         self._network: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def network(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """lanes, links, edges. strict raises where a lane can't be read; otherwise it is left out."""
+        """lanes, links, edges. FileNotFoundError where either path isn't there, ValueError where no lane was read."""
         if self._network is None:
-            found, bad = J.records(J.files(self.spark, self.resource_path, recursive=False))
+            J.existing(self.spark, self.tasks_path)
+            found, bad = J.records(J.existing(self.spark, self.resource_path, recursive=False), scalars=False)
             lanes, rejects = J.lanes(found, self.settings)
-            if self.strict and (r := rejects.unionByName(bad).first()):
-                raise ValueError(f"{r['file']}: {r['reason']}")
+            self._checked(rejects.unionByName(bad))
             lanes = written(lanes, "lanes")
+            if lanes.isEmpty():
+                raise ValueError(f"no lanes in {self.resource_path}: {[r['reason'] for r in rejects.unionByName(bad).limit(5).collect()]}")
             links = network.declared_links(lanes)
             self._network = lanes, links, written(network.edges(links, lanes, self.settings), "edges")
         return self._network
 
+    def _checked(self, rejects: DataFrame) -> None:
+        if self.strict and (r := rejects.first()):
+            raise ValueError(f"{r['file']}: {r['reason']}")
+
     def reload(self) -> int:
         """Reads the network anew; the number of lanes."""
         self._network = None
@@ -54,11 +66,15 @@ class Engine:
         return {"tasks_path": self.tasks_path, "resource_path": self.resource_path, "lane_count": self.network()[0].count()}
 
     def tasks(self) -> tuple[DataFrame, DataFrame]:
-        """The first task of every (sn, task_id), its points without repeats, and the rejects of files and records."""
-        found, bad = J.records(J.files(self.spark, self.tasks_path))
-        rows, unread = J.tasks(found)
-        first = tracks.first_match(rows, ["order", "pos"])
-        return first.withColumn("points", dedup_consecutive(F.col("points"))), bad.unionByName(unread)
+        """The first task of every (sn, task_id), its points without repeats, and the rejects of files and records.
+
+        The first one decides also where its track can't be read (bad): it has no points then, and no later task takes its place.
+        """
+        found, bad = J.records(J.existing(self.spark, self.tasks_path))
+        rows = J.tasks(found)
+        unread = bad.unionByName(rows.filter("bad").select("file", F.lit("a message without coordinates").alias("reason")))
+        self._checked(unread)
+        return tracks.first_match(rows, ["order", "pos"]).withColumn("points", dedup_consecutive(F.col("points"))), unread
 
     def histories(self, tasks: DataFrame) -> DataFrame:
         end = lambda i: F.element_at("points", i)
@@ -70,9 +86,9 @@ class Engine:
     def plan(self, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(planned, summary) of many tasks; those without a possible route are in neither."""
         lanes, links, edges = self.network()
-        history = self.histories(tasks.filter(F.size("points") >= 2)).persist()
+        history = written(self.histories(tasks.filter(F.size("points") >= 2)), "histories")
         planned = written(routes.plan(history, lanes, links, edges, KEYS, self.settings), "plans")
-        summary = routes.summary(planned, history, KEYS).join(history.select(*KEYS, "source_file"), KEYS).withColumn("od_source", F.lit("first and last point"))
+        summary = routes.summary(planned, history, KEYS).join(history.select(*KEYS, "source_file"), KEYS).withColumn("od_source", F.lit(OD_SOURCE))
         return planned, summary
 
     def summaries(self) -> DataFrame:
@@ -83,16 +99,16 @@ class Engine:
         """The first task with this number and id; the first match decides even where it can't be used."""
         tasks, rejects = self.tasks()
         one = written(tasks.filter((F.col("sn") == sn.strip()) & (F.col("task_id") == task_id.strip())), "task")
-        row = one.first()
+        row = one.select("file", "bad", F.size("points").alias("n")).first()
         if row is None:
             reasons = [f"{os.path.basename(r['file'])}: {r['reason']}" for r in rejects.limit(5).collect()]
             raise TaskNotFound(f"no task {sn} {task_id}; unread: {reasons}")
-        if len(row["points"]) < 2:
-            raise NoTrack(f"task {sn} {task_id} has fewer than two points")
+        if row["bad"] or row["n"] < 2:
+            raise NoTrack(f"task {sn} {task_id} in {row['file']} has no track of two points or more")
         return one
 
     def route(self, sn: str, task_id: str, show_lanes: bool = False) -> dict:
-        """summary (16 fields) and map_html of one task."""
+        """summary (16 fields) and map_html of one task. With show_lanes the page has all lanes of the network."""
         if not sn.strip() or not task_id.strip():
             raise ValueError("sn and task_id must not be blank")
         one = self.find(sn, task_id)
@@ -101,37 +117,62 @@ class Engine:
         if row is None:
             raise ValueError("no possible route")
         lanes = self.network()[0]
-        parts = routes.visible(planned, lanes, KEYS).join(lanes.select("uid", "type_id"), "uid")
+        parts = written(routes.visible(planned, lanes, KEYS).join(lanes.select("uid", "type_id", "name", "length_m"), "uid"), "parts")
         ends = planned.join(self.histories(one), KEYS)
         for side in ("origin", "destination"):
             ends = ends.withColumn(side, F.struct(F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat")))
         shown = layers.route_layers(ends, parts, one, lanes if show_lanes else None, self.settings)
-        return {"summary": row.asDict(), "map_html": layers.page(shown.collect(), f"{sn} {task_id}")}
+        box = layers.bounds(shown.filter("layer in ('history', 'planned')"), self.settings.fit_padding_deg).first()
+        legend = [f"sn {sn.strip()}", f"task {task_id.strip()}", f"driven (red): {row['history_distance_m']:.1f} m", f"planned (blue): {row['planned_distance_m']:.1f} m", f"planned lanes: {row['planned_lane_count']}"]
+        return {"summary": row.asDict(), "map_html": layers.page(shown.collect(), f"{sn} {task_id}", (box["south"], box["west"], box["north"], box["east"]), legend)}
 
 
-def batch_maps(spark: SparkSession, tasks_path: str, resource_path: str, target: str, settings: Settings = DEFAULT) -> list[dict]:
-    """A page per task file, named by its device, and what became of each file. Later files of a device replace earlier ones.
+@F.pandas_udf(T.StringType())
+def _page(title: pd.Series, rows: pd.Series, south: pd.Series, west: pd.Series, north: pd.Series, east: pd.Series) -> pd.Series:
+    return pd.Series([layers.page(sorted(r, key=lambda x: (x["layer"], x["kind"])), t, box) for t, r, *box in zip(title, rows, south, west, north, east, strict=True)])
 
-    The features that meet a file's box are found for all files in one join; only the rows of one page at a time come to
-    the driver.
+
+def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(pages, status): file, order, device, tasks, html of every task file that can be drawn; file, order, status of every file.
+
+    Features and boxes of all files meet in one join, and pages are made on the executors, one row each.
     """
-    found, bad = J.records(J.files(spark, tasks_path, recursive=False), strict=True)
-    rows = written(features.task_routes(J.batch_tasks(found), settings), "routes")
-    points = rows.select("file", F.explode("points").alias("p")).select("file", "p.lon", "p.lat")
-    boxes = tracks.boxes(points, ["file"], settings.bbox_margin_deg)
-    resources, _ = J.records(J.files(spark, resource_path, recursive=False), strict=True)
+    texts = J.existing(spark, tasks_path, recursive=False)
+    found, bad = J.records(texts, strict=True)
+    tasks = written(J.batch_tasks(found), "batch-tasks")
+    unread = tasks.filter("bad").select("file", F.lit("a number that can't be read").alias("reason")).distinct()
+    bad = bad.unionByName(unread)
+    rows = written(features.task_routes(tasks.join(unread, "file", "left_anti"), settings), "routes")
+    exact = tracks.boxes(rows.select("file", F.explode("points").alias("p")).select("file", "p.lon", "p.lat"), ["file"])
+    boxes = exact.select("file", *[(F.col(c) + sign * settings.bbox_margin_deg).alias(c) for c, sign in (("south", -1), ("west", -1), ("north", 1), ("east", 1))])
+    resources, unusable = J.records(J.existing(spark, resource_path, recursive=False), strict=True)
+    if (r := unusable.first()) is not None:
+        raise ValueError(f"{r['file']}: {r['reason']}")
     met = []
-    for table in J.features(resources):
-        table = written(table.withColumn("feature", F.xxhash64("name", "type", "type_id", "points")), "features")
+    for name, table in zip(("areas", "lines"), J.features(resources), strict=True):
+        table = written(table, name)
         vertices = table.select("feature", F.explode("points").alias("p")).select("feature", "p.lon", "p.lat")
-        met.append(features.met_by_boxes(vertices, ["feature"], boxes, ["file"]).join(table.dropDuplicates(["feature"]), "feature"))
+        met.append(features.met_by_boxes(vertices, ["feature"], boxes, ["file"]).join(table, "feature"))
+    areas, lines = met
+    lines = lines.withColumns({"raw_count": F.size("points").cast("long"), "points": sample_stride(F.col("points"), settings.batch_lane_points)})
+    shown = layers.batch_layers(rows, areas, lines).groupBy("file").agg(F.collect_list(F.struct(*layers.COLUMNS)).alias("rows"))
+    drawn = rows.groupBy("file").agg(F.min("order").alias("order"), F.min("device").alias("device"), F.count("*").alias("tasks"))
+    made = drawn.join(shown, "file").join(exact, "file").select("file", "order", "device", "tasks", _page("device", "rows", "south", "west", "north", "east").alias("html"))
+    reasons = bad.groupBy("file").agg(F.min("reason").alias("reason"))
+    status = texts.select("file", "order").join(reasons, "file", "left").join(drawn.select("file", F.lit("written").alias("written")), "file", "left")
+    return made, status.select("file", "order", F.coalesce("reason", "written", F.lit("no track of two points or more")).alias("status"))
+
+
+def batch_maps(spark: SparkSession, tasks_path: str, resource_path: str, target: str, settings: Settings = DEFAULT) -> list[dict]:
+    """A page per task file, named by its device, and what became of each file, in their order. Later files of a device replace
+    earlier ones. Pages reach the driver one at a time."""
+    made, status = pages(spark, tasks_path, resource_path, settings)
+    made = written(made, "pages")
     os.makedirs(target, exist_ok=True)
-    status = [{"file": r["file"], "status": r["reason"]} for r in bad.collect()]
-    for r in rows.groupBy("file").agg(F.min("order").alias("order"), F.min("device").alias("device"), F.count("*").alias("n")).orderBy("order").toLocalIterator():
-        here = F.col("file") == r["file"]
-        shown = layers.batch_layers(rows.filter(here), met[0].filter(here), met[1].filter(here))
+    put = {}
+    for r in made.orderBy("order").toLocalIterator():
         path = os.path.join(target, f"{r['device']}矿车路线地图.html")
         with open(path, "w", encoding="utf-8") as out:
-            out.write(layers.page(shown.collect(), r["device"]))
-        status.append({"file": r["file"], "status": "written", "target": path, "tasks": r["n"]})
-    return status
+            out.write(r["html"])
+        put[r["file"]] = {"target": path, "tasks": r["tasks"]}
+    return [{"file": r["file"], "status": r["status"], **put.get(r["file"], {})} for r in status.orderBy("order").collect()]

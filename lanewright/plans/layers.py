@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import html
-import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions.arrays import sample_even
 from lanewright.settings import DEFAULT, Settings
 
-#: Colours of planned lanes (ordinary, other types).
+#: Colours of planned lanes (ordinary, other types), and the area types that have a colour of their own.
 LANE_COLOUR, OTHER_LANE_COLOUR = "blue", "orange"
+AREA_TYPES = ("HD换电站", "HD装料区", "HD装料位", "HD卸料位", "HD排土场", "HD均衡碾压区", "HD限速区", "HD上下坡区", "HD停车位")
 PALETTE_SIZE = 20
 COLUMNS = ("layer", "kind", "coords", "colour", "tooltip")
 
@@ -27,44 +27,58 @@ def palette_colour(index: Column) -> Column:
     return F.format_string("hsl(%d, 70%%, 45%%)", (F.pmod(index, F.lit(PALETTE_SIZE)) * (360 // PALETTE_SIZE)).cast("int"))
 
 
+def area_colour(kind: Column) -> Column:
+    """A colour of the palette for each of AREA_TYPES, one grey for all others."""
+    place = F.array_position(F.array(*[F.lit(t) for t in AREA_TYPES]), kind)
+    return F.when(place > 0, palette_colour(place * 2)).otherwise("grey")
+
+
 def lat_lon(points: Column) -> Column:
     return F.transform(points, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
 
 
-def line(df: DataFrame, layer: str, points: Column, colour: Column, tooltip: Column) -> DataFrame:
-    return df.select(F.lit(layer).alias("layer"), F.lit("line").alias("kind"), lat_lon(points).alias("coords"), colour.alias("colour"), tooltip.alias("tooltip"))
+def shape(df: DataFrame, keys: list[str], layer: Column, kind: str, coords: Column, colour: Column, tooltip: Column) -> DataFrame:
+    return df.select(*keys, layer.alias("layer"), F.lit(kind).alias("kind"), coords.alias("coords"), colour.alias("colour"), tooltip.alias("tooltip"))
+
+
+def line(df: DataFrame, layer: str, points: Column, colour: Column, tooltip: Column, keys: list[str] | None = None) -> DataFrame:
+    return shape(df, keys or [], F.lit(layer), "line", lat_lon(points), colour, tooltip)
 
 
 def route_layers(planned: DataFrame, parts: DataFrame, tracks: DataFrame, lanes: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """The layers of one task's map: network (if given), driven track, planned lanes, marks and snap lines.
 
-    planned has o_proj, d_proj and the ends of the track (origin and destination structs); parts the drawn lanes with
-    their type; tracks the points.
+    planned has o_proj, d_proj and the ends of the track (origin and destination structs); parts the drawn lanes with type_id,
+    name and length_m; tracks the points.
     """
-    rows = line(tracks, "history", sample_even(F.col("points"), settings.max_history_points), F.lit("red"), F.lit("driven"))
-    rows = rows.unionByName(line(parts, "planned", F.col("points"), lane_colour(F.col("type_id")), F.concat_ws(" ", (F.col("pos") + 1).cast("string"), F.col("uid"))))
+    rows = line(tracks, "history", sample_even(F.col("points"), settings.max_history_points), F.lit("red"), F.format_string("driven: %d points", F.size("points")))
+    number = (F.col("pos") + 1).cast("int")
+    rows = rows.unionByName(line(parts, "planned", F.col("points"), lane_colour(F.col("type_id")), F.format_string("%d: %s, %s, %.1f m", number, F.col("uid"), F.coalesce("name", F.lit("")), F.col("length_m"))))
     for side, proj, colour in (("origin", "o_proj", "green"), ("destination", "d_proj", "black")):
         at = F.struct(F.col(f"{side}.lat").alias("lat"), F.col(f"{side}.lon").alias("lon"))
         on = F.struct(F.col(f"{proj}.projected_lat").alias("lat"), F.col(f"{proj}.projected_lon").alias("lon"))
-        for kind, coords, tip in (("mark", F.array(at), side), ("line", F.array(at, on), f"{side} snap")):
-            rows = rows.unionByName(planned.select(F.lit("marks").alias("layer"), F.lit(kind).alias("kind"), coords.alias("coords"), F.lit(colour).alias("colour"), F.lit(tip).alias("tooltip")))
+        for kind, coords, tip in (("mark", F.array(at), side), ("mark", F.array(on), f"{side} on its lane"), ("line", F.array(at, on), f"{side} snap")):
+            rows = rows.unionByName(shape(planned, [], F.lit("marks"), kind, coords, F.lit(colour), F.lit(tip)))
     if lanes is not None:
-        rows = rows.unionByName(line(lanes, "network", sample_even(F.col("points"), settings.max_lane_points), F.lit("grey"), F.col("uid")))
+        rows = rows.unionByName(line(lanes, "network", sample_even(F.col("points"), settings.max_lane_points), F.lit("grey"), F.concat_ws(" ", "name", "uid")))
     return rows
 
 
 def batch_layers(routes: DataFrame, areas: DataFrame, lines: DataFrame) -> DataFrame:
-    """The layers of a batch map: lines, areas, and one layer per task with marks at its ends."""
-    index = F.col("pos").cast("long")
-    tip = F.concat_ws(" ", "task_id", "start_time", "end_time")
-    rows = line(lines, "lanes", F.col("points"), lane_colour(F.col("type_id").try_cast("int")), F.col("tooltip"))
-    shapes = areas.select(F.lit("areas").alias("layer"), F.lit("area").alias("kind"), lat_lon(F.col("points")).alias("coords"), palette_colour(F.xxhash64("type")).alias("colour"), "tooltip")
-    tracks = routes.select(F.concat_ws(" ", F.lit("task"), "task_id").alias("layer"), F.lit("line").alias("kind"), lat_lon(F.col("points")).alias("coords"), palette_colour(index).alias("colour"), tip.alias("tooltip"))
-    ends = routes.select(
-        F.concat_ws(" ", F.lit("task"), "task_id").alias("layer"), F.lit("mark").alias("kind"), palette_colour(index).alias("colour"),
-        F.explode(F.array(F.struct(F.array(F.element_at(lat_lon(F.col("points")), 1)).alias("coords"), F.lit("start").alias("tooltip")), F.struct(F.array(F.element_at(lat_lon(F.col("points")), -1)).alias("coords"), F.lit("end").alias("tooltip")))).alias("e"),
-    ).select("layer", "kind", "e.coords", "colour", "e.tooltip")
-    return rows.unionByName(shapes).unionByName(tracks).unionByName(ends)
+    """The layers of the maps of all files (column file): lines, areas, and one layer per task with marks at its ends.
+
+    Tasks are numbered and coloured by their place among the drawn tasks of their file.
+    """
+    routes = routes.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
+    colour, name = palette_colour(F.col("nth") - 1), F.format_string("task %d: %s", F.col("nth"), F.coalesce("task_id", F.lit("")))
+    speed = F.when(F.col("max_speed").isNotNull(), F.concat(F.lit("at most "), F.col("max_speed").cast("string")))
+    tip = F.concat_ws(", ", "task_id", "start_time", "end_time", F.format_string("%d points, %d drawn", "raw_count", F.size("points")), speed)
+    rows = line(lines, "lanes", F.col("points"), lane_colour(F.col("type_id").try_cast("int")), F.col("tooltip"), ["file"])
+    rows = rows.unionByName(shape(areas, ["file"], F.lit("areas"), "area", lat_lon(F.col("points")), area_colour(F.col("type")), F.col("tooltip")))
+    rows = rows.unionByName(shape(routes, ["file"], name, "line", lat_lon(F.col("points")), colour, tip))
+    for place, what in ((1, "start"), (-1, "end")):
+        rows = rows.unionByName(shape(routes, ["file"], name, "mark", F.array(F.element_at(lat_lon(F.col("points")), place)), colour, F.concat_ws(" ", F.lit(what), "task_id")))
+    return rows
 
 
 def bounds(layers: DataFrame, padding: float = 0.0) -> DataFrame:
@@ -76,21 +90,23 @@ def bounds(layers: DataFrame, padding: float = 0.0) -> DataFrame:
     )
 
 
-def page(layers: Iterable, title: str) -> str:
-    """A self-contained page that draws the collected layers of one map as SVG; the sampled layers bound its size."""
-    rows = [{"layer": r["layer"], "kind": r["kind"], "colour": r["colour"], "tooltip": r["tooltip"] or "", "coords": [(c["lat"], c["lon"]) for c in r["coords"]]} for r in layers]
-    points = [c for r in rows for c in r["coords"]] or [(0.0, 0.0)]
-    south, north, west, east = min(p[0] for p in points), max(p[0] for p in points), min(p[1] for p in points), max(p[1] for p in points)
+def page(layers: Iterable, title: str, box: tuple[float, float, float, float], legend: Iterable[str] = ()) -> str:
+    """A self-contained page that draws the rows of one map as SVG within a box (south, west, north, east), a group per layer
+    with a box to show or hide it, and a legend. What lies outside the box is cut off."""
+    south, west, north, east = box
     scale = 1000 / max(east - west, north - south, 1e-9)
-    place = lambda c: f"{(c[1] - west) * scale:.2f},{(north - c[0]) * scale:.2f}"
-    shapes = []
-    for r in rows:
-        tip, colour = f"<title>{html.escape(r['tooltip'])}</title>", html.escape(r["colour"], quote=True)
+    place = lambda c: f"{(c['lon'] - west) * scale:.2f},{(north - c['lat']) * scale:.2f}"
+    groups: dict[str, list[str]] = {}
+    for r in layers:
+        tip, colour = f"<title>{html.escape(r['tooltip'] or '')}</title>", html.escape(r["colour"], quote=True)
+        drawn = groups.setdefault(r["layer"], [])
         if r["kind"] == "mark":
             x, y = place(r["coords"][0]).split(",")
-            shapes.append(f'<circle cx="{x}" cy="{y}" r="5" fill="{colour}">{tip}</circle>')
+            drawn.append(f'<circle cx="{x}" cy="{y}" r="5" fill="{colour}">{tip}</circle>')
         else:
             tag, fill = ("polygon", colour) if r["kind"] == "area" else ("polyline", "none")
-            shapes.append(f'<{tag} points="{" ".join(map(place, r["coords"]))}" stroke="{colour}" fill="{fill}" fill-opacity="0.3">{tip}</{tag}>')
-    names = ", ".join(dict.fromkeys(html.escape(r["layer"]) for r in rows))
-    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><p>{names}</p><svg viewBox="-10 -10 1020 1020">{"".join(shapes)}</svg><script type="application/json">{json.dumps({"title": title})}</script>'.replace("\n", " ")
+            drawn.append(f'<{tag} points="{" ".join(map(place, r["coords"]))}" stroke="{colour}" fill="{fill}" fill-opacity="0.3">{tip}</{tag}>')
+    boxes = "".join(f'<label><input type="checkbox" checked onchange="document.getElementById(\'g{i}\').style.display=this.checked?\'\':\'none\'">{html.escape(name)}</label> ' for i, name in enumerate(groups))
+    shapes = "".join(f'<g id="g{i}">{"".join(drawn)}</g>' for i, drawn in enumerate(groups.values()))
+    told = "".join(f"<li>{html.escape(x)}</li>" for x in legend)
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><p>{boxes}</p><ul>{told}</ul><svg viewBox="0 0 {(east - west) * scale:.0f} {(north - south) * scale:.0f}">{shapes}</svg>'.replace("\n", " ")

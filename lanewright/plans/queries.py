@@ -112,7 +112,7 @@ def sampled(spark: SparkSession, sf_dir: str, sampler, most: int) -> DataFrame:
 
 @registered(
     f"with {duck('fx_track_points')}, c as (select user_id, count(*) as n from fx_track_points group by user_id),"
-    " chosen as (select distinct user_id, cast(round_even(cast(k * (n - 1) as double) / 39.0e0, 0) as bigint) as i from c, range(40) r(k) where n > 40"
+    " chosen as (select distinct user_id, cast(round_even(k * (cast(n - 1 as double) / 39.0e0), 0) as bigint) as i from c, range(40) r(k) where n > 40"
     " union all select user_id, k from c, lateral (select unnest(range(n)) as k) where n <= 40)"
     " select user_id, row_number() over (partition by user_id order by i) - 1 as place, i from chosen"
 )
@@ -133,23 +133,21 @@ def lane_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lanes(spark, sf_dir).select("uid", "length_m"))
 
 
+SEGMENTS = """walked as (select *, sum(step_m) over (partition by lane order by k) as way_m from lane_steps),
+segments as (
+  select a.lane, a.k as segment_index, a.lon as a_lon, a.lat as a_lat, b.lon as b_lon, b.lat as b_lat, a.way_m as before_m, b.step_m as hop_m
+  from walked a join walked b on a.lane = b.lane and b.k = a.k + 1)"""
+FLAT = """radians(a_lon - lon) * 6371000.0e0 * cos(radians(lat)) as ax, radians(a_lat - lat) * 6371000.0e0 as ay,
+    radians(b_lon - lon) * 6371000.0e0 * cos(radians(lat)) as bx, radians(b_lat - lat) * 6371000.0e0 as by_"""
+RATIO = "greatest(0.0e0, least(1.0e0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))))"
+SNAPPED = "sqrt(pow(ax + (bx - ax) * ratio, 2) + pow(ay + (by_ - ay) * ratio, 2))"
 SNAP = f"""with {duck("fx_track_points", "fx_lane_points")},
 {LANES},
 origins as (select user_id, arg_min(lon, i) as lon, arg_min(lat, i) as lat from fx_track_points group by user_id),
-walked as (select *, sum(step_m) over (partition by lane order by k) as way_m from lane_steps),
-segments as (
-  select a.lane, a.k as segment_index, a.lon as a_lon, a.lat as a_lat, b.lon as b_lon, b.lat as b_lat, a.way_m as before_m, b.step_m as hop_m
-  from walked a join walked b on a.lane = b.lane and b.k = a.k + 1),
-flat as (
-  select user_id, s.*, lon, lat,
-    radians(a_lon - lon) * 6371000.0e0 * cos(radians(lat)) as ax, radians(a_lat - lat) * 6371000.0e0 as ay,
-    radians(b_lon - lon) * 6371000.0e0 * cos(radians(lat)) as bx, radians(b_lat - lat) * 6371000.0e0 as by_
-  from origins cross join segments s),
-placed as (
-  select *, greatest(0.0e0, least(1.0e0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) as ratio from flat),
-near as (
-  select user_id, lane, segment_index, before_m + hop_m * ratio as offset_m,
-    sqrt(pow(ax + (bx - ax) * ratio, 2) + pow(ay + (by_ - ay) * ratio, 2)) as snap_dist_m from placed),
+{SEGMENTS},
+flat as (select user_id, s.*, lon, lat, {FLAT} from origins cross join segments s),
+placed as (select *, {RATIO} as ratio from flat),
+near as (select user_id, lane, segment_index, before_m + hop_m * ratio as offset_m, {SNAPPED} as snap_dist_m from placed),
 one as (select *, row_number() over (partition by user_id, lane order by snap_dist_m, segment_index) as nth from near),
 ranked as (select *, row_number() over (partition by user_id order by snap_dist_m, lane) as rank from one where nth = 1)
 select user_id, uid, rank, round(snap_dist_m, 6) as snap_dist_m, round(offset_m, 6) as offset_m, round(greatest(0, length_m - offset_m), 6) as remain_m
@@ -177,13 +175,15 @@ def edges_all_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.edges(links(spark, sf_dir), lanes(spark, sf_dir)))
 
 
-WHOLE_MM = """e as (select src, dst, round(weight * 1000) as weight from edges),
-sources as (select uid from lanes where lane in (select min(lane) from lanes union all select max(lane) from lanes)),
+SP = """e as (select src, dst, round(weight * 1000) as weight from edges),
 sp(s, v, c) using key (s, v) as (
   select uid, uid, 0.0e0 from sources
   union
   select sp.s, e.dst, min(sp.c + e.weight) from sp join e on e.src = sp.v left join recurring.sp r on r.s = sp.s and r.v = e.dst
-  where r.c is null or sp.c + e.weight < r.c group by sp.s, e.dst)"""
+  where r.c is null or sp.c + e.weight < r.c group by sp.s, e.dst),
+before as (select b.s, b.v, arg_min(a.v, (a.c, a.v)) as pred from sp a join e on e.src = a.v join sp b on b.s = a.s and b.v = e.dst and a.c + e.weight = b.c where b.s <> b.v group by b.s, b.v)"""
+EVERY = 50
+WAYS = f"with recursive {duck('fx_lane_points', 'fx_lane_links')},\n{LANES},\n{EDGES},\nsources as (select uid from lanes where lane % {EVERY} = 1),\n{SP}"
 
 
 def millimetre_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,56 +191,105 @@ def millimetre_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.edges(links(spark, sf_dir), lanes(spark, sf_dir)).withColumn("weight", F.round(F.col("weight") * 1000))
 
 
-def end_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first and the last lane, as sources."""
-    return lanes(spark, sf_dir).agg(F.explode(F.array(F.min_by("uid", "lane_ord"), F.max_by("uid", "lane_ord"))).alias("src"))
+def every_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes 1, 51, 101 and so on, as sources that ask for the ways to all lanes."""
+    return lanes(spark, sf_dir).filter(F.col("lane_ord") % EVERY == 1).select(F.col("uid").alias("src"))
 
 
-@registered(f"with recursive {duck('fx_lane_points', 'fx_lane_links')},\n{LANES},\n{EDGES},\n{WHOLE_MM} select s as src, v as dst, c as cost from sp")
+@registered(f"{WAYS} select s as src, v as dst, c as cost from sp")
 def sp_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.from_sources(millimetre_edges(spark, sf_dir), end_lanes(spark, sf_dir)).drop("pred")
+    return paths.from_sources(millimetre_edges(spark, sf_dir), every_lane(spark, sf_dir)).drop("pred")
 
 
-@registered(
-    f"with recursive {duck('fx_lane_points', 'fx_lane_links')},\n{LANES},\n{EDGES},\n{WHOLE_MM},"
-    " before as (select b.s, b.v, arg_min(a.v, (a.c, a.v)) as pred from sp a join e on e.src = a.v join sp b on b.s = a.s and b.v = e.dst and a.c + e.weight = b.c where b.s <> b.v group by b.s, b.v)"
-    " select sp.s as src, sp.v as dst, pred from sp left join before using (s, v)"
-)
+@registered(f"{WAYS} select sp.s as src, sp.v as dst, pred from sp left join before using (s, v)")
 def sp_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.from_sources(millimetre_edges(spark, sf_dir), end_lanes(spark, sf_dir)).drop("cost")
+    return paths.from_sources(millimetre_edges(spark, sf_dir), every_lane(spark, sf_dir)).drop("cost")
 
 
-def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+ROUTES = f"""with recursive {duck("fx_track_points", "fx_lane_points", "fx_lane_links")},
+{LANES},
+{EDGES},
+ends as (
+  select user_id, 'o' as side, arg_min(lon, i) as lon, arg_min(lat, i) as lat from fx_track_points group by user_id
+  union all select user_id, 'd', arg_max(lon, i), arg_max(lat, i) from fx_track_points group by user_id),
+{SEGMENTS},
+flat as (select user_id, side, s.*, lon, lat, {FLAT} from ends cross join segments s),
+placed as (select *, {RATIO} as ratio from flat),
+near as (select user_id, side, lane, segment_index, before_m + hop_m * ratio as offset_m, a_lon + (b_lon - a_lon) * ratio as lon, a_lat + (b_lat - a_lat) * ratio as lat, {SNAPPED} as snap_m from placed),
+one as (select *, row_number() over (partition by user_id, side, lane order by snap_m, segment_index) as nth from near),
+ranked as (select *, row_number() over (partition by user_id, side order by snap_m, lane) as rank from one where nth = 1),
+cand as (select user_id, side, uid, rank, snap_m, offset_m, greatest(0, length_m - offset_m) as remain_m, lon, lat from ranked join lanes using (lane) where rank <= 5),
+sources as (select distinct uid from cand where side = 'o'),
+{SP},
+pairs as (select o.user_id, o.uid as o_uid, d.uid as d_uid, o.rank as o_rank, d.rank as d_rank, o.snap_m + d.snap_m as snap_m,
+    o.offset_m as o_offset, o.remain_m as o_remain, d.offset_m as d_offset, o.lon as o_lon, o.lat as o_lat, d.lon as d_lon, d.lat as d_lat
+  from cand o join cand d on o.user_id = d.user_id and o.side = 'o' and d.side = 'd'),
+walk(s, d, v, path) as (
+  select o_uid, d_uid, d_uid, [d_uid] from (select distinct o_uid, d_uid from pairs) p join sp on sp.s = o_uid and sp.v = d_uid
+  union all
+  select w.s, w.d, b.pred, list_prepend(b.pred, w.path) from walk w join before b on b.s = w.s and b.v = w.v where w.v <> w.s),
+ways as (select s, d, path from walk where v = s),
+steps as (select s, d, len(path) as n, unnest(path) as uid, unnest(range(len(path))) as pos from ways),
+hops as (
+  select a.s, a.d, b.pos, b.n, b.uid, case when exists (select 1 from fx_lane_links l where cast(l.src as varchar) = a.uid and cast(l.dst as varchar) = b.uid) then 0.0e0 else {GAP.replace("a.e_", "x.e_").replace("b.s_", "y.s_")} end as jump_m, y.length_m
+  from steps a join steps b on a.s = b.s and a.d = b.d and b.pos = a.pos + 1 join lanes x on x.uid = a.uid join lanes y on y.uid = b.uid),
+through as (select s, d, sum(jump_m order by pos) as jump_m, coalesce(sum(case when pos < n - 1 then length_m end order by pos), 0) as middle_m from hops group by s, d),
+raw as (
+  select p.*, w.path, sp.c as cost, coalesce(t.jump_m, 0) as jump_m, case when len(path) = 1 then d_offset - o_offset else o_remain + coalesce(t.middle_m, 0) + d_offset end as lane_m
+  from pairs p join ways w on w.s = p.o_uid and w.d = p.d_uid join sp on sp.s = p.o_uid and sp.v = p.d_uid left join through t on t.s = p.o_uid and t.d = p.d_uid),
+measured as (
+  select *, lane_m + jump_m + snap_m as total_m, round(lane_m + jump_m * 10 + snap_m * 5, 6) as objective_m from raw where len(path) > 1 or lane_m >= 0),
+best as (
+  select *, row_number() over (partition by user_id order by objective_m, o_rank, d_rank) as nth, count(*) over (partition by user_id) as tried_count from measured)"""
+
+
+def ways_tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of every track with their metrics, over the network in millimetres; the objective is rounded before it
+    decides, so that equal ones are equal in either engine."""
     own, known = lanes(spark, sf_dir), links(spark, sf_dir)
-    net = network.edges(known, own).persist()
-    return routes.plan(tracks.ends(points_of(spark, sf_dir), USER, "i"), own, known, net, USER)
+    rows = routes.tried(tracks.ends(points_of(spark, sf_dir), USER, "i"), own, known, millimetre_edges(spark, sf_dir), USER)
+    return rows.withColumn("objective_m", F.round("objective_m", 6))
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.best(ways_tried(spark, sf_dir), USER)
 
 
-@registered()
+@registered(
+    f"{ROUTES} select user_id, o_uid, d_uid, o_rank, d_rank, cost, round(lane_m, 6) as lane_m, round(jump_m, 6) as jump_m, round(snap_m, 6) as snap_m, round(total_m, 6) as total_m, objective_m from measured"
+)
 def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, known = lanes(spark, sf_dir), links(spark, sf_dir)
-    net = network.edges(known, own).persist()
-    found = routes.candidates(tracks.ends(points_of(spark, sf_dir), USER, "i"), own, USER).persist()
-    ways = paths.paths(net, found.select(F.col("o_uid").alias("src"), F.col("d_uid").alias("dst")).distinct()).persist()
-    rows = routes.metrics(found, ways, own, routes.jumps(net, known, own))
-    return rounded(rows.select("user_id", "o_uid", "d_uid", "o_rank", "d_rank", "cost", "lane_m", "jump_m", "snap_m", "total_m", "objective_m"))
+    return rounded(ways_tried(spark, sf_dir).select("user_id", "o_uid", "d_uid", "o_rank", "d_rank", "cost", "lane_m", "jump_m", "snap_m", "total_m", "objective_m"))
 
 
-@registered()
+@registered(f"{ROUTES} select user_id, o_uid, d_uid, array_to_string(path, ',') as path, round(total_m, 6) as total_m, objective_m, tried_count from best where nth = 1")
 def route_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(planned(spark, sf_dir).select("user_id", "o_uid", "d_uid", F.array_join("path", ",").alias("path"), "total_m", "objective_m", "tried_count"))
 
 
-@registered()
+@registered(
+    f"{ROUTES},\n{DEDUP},\n{STEPS.replace('fx_track_points', 'kept')},\ndriven as (select user_id, count(*) as n, coalesce(sum(step_m), 0) as m from steps_ group by user_id)".replace("steps as (\n  select user_id, i", "steps_ as (\n  select user_id, i")
+    + " select user_id, n as history_point_count, round(m, 3) as history_distance_m, round(total_m, 3) as planned_distance_m, round(m - total_m, 3) as distance_difference_m, o_uid as start_lane_uid, d_uid as end_lane_uid,"
+    " len(path) as planned_lane_count, array_to_string(path, ',') as planned_lane_uids, tried_count, round(objective_m, 3) as objective_m, round(snap_m, 3) as snap_distance_m, round(jump_m, 3) as jump_distance_m"
+    " from best join driven using (user_id) where nth = 1"
+)
 def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = routes.summary(planned(spark, sf_dir), histories(spark, sf_dir), USER)
-    return rounded(rows.withColumn("planned_lane_uids", F.array_join("planned_lane_uids", ",")))
+    return rounded(rows.withColumn("planned_lane_uids", F.array_join("planned_lane_uids", ",")), 3)
 
 
-@registered()
+@registered(
+    f"{ROUTES},\nparts as (select user_id, unnest(path) as uid, unnest(range(len(path))) as pos, len(path) as n, o_offset, d_offset, o_lon, o_lat, d_lon, d_lat from best where nth = 1)"
+    " select user_id, cast(pos as int) as pos, uid, round(case when pos = n - 1 then d_offset else length_m end - case when pos = 0 then o_offset else 0 end, 3) as length_m,"
+    " round(case when pos = 0 then o_lon else s_lon end, 6) as from_lon, round(case when pos = 0 then o_lat else s_lat end, 6) as from_lat,"
+    " round(case when pos = n - 1 then d_lon else e_lon end, 6) as to_lon, round(case when pos = n - 1 then d_lat else e_lat end, 6) as to_lat from parts join lanes using (uid)"
+)
 def route_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and ends of the drawn part of every lane of the best routes."""
     parts = routes.visible(planned(spark, sf_dir), lanes(spark, sf_dir), USER)
-    return rounded(parts.select("user_id", "pos", "uid", F.size("points").alias("n_points"), polyline_m(F.col("points")).alias("length_m")))
+    end = lambda place, axis, name: F.round(F.element_at("points", place)[axis], 6).alias(name)
+    ends = [end(1, "lon", "from_lon"), end(1, "lat", "from_lat"), end(-1, "lon", "to_lon"), end(-1, "lat", "to_lat")]
+    return parts.select("user_id", F.col("pos").cast("int").alias("pos"), "uid", F.round(polyline_m(F.col("points")), 3).alias("length_m"), *ends)
 
 
 BOXES = "boxes as (select area_type, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from fx_area_points group by area_type)"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from lanewright.functions.arrays import POINTS
 from lanewright.functions.geo import polyline_m
@@ -38,14 +39,30 @@ def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return read.load(path).select(F.col("path").alias("file"), F.regexp_replace(F.element_at(order, -1), r"\.json$", "").alias("stem"), order.alias("order"), F.col("content").cast("string").alias("text"))
 
 
-def records(texts: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): file, stem, order, pos, record per item; file, reason per file that can't be read."""
+def existing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """files(), or FileNotFoundError where the path isn't there or has no JSON file."""
+    try:
+        found = files(spark, path, recursive)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(path) from error
+        raise
+    if found.select("file").isEmpty():
+        raise FileNotFoundError(f"no JSON file under {path}")
+    return found
+
+
+def records(texts: DataFrame, strict: bool = False, scalars: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): file, stem, order, pos, record per item; file, reason per file that can't be read.
+
+    A file that holds neither a list nor an object has no records; it is rejected when strict, or unless scalars are let pass.
+    """
     marked = F.startswith("text", F.lit(BOM))
     body = F.when(marked, F.lit(None)).otherwise(F.col("text")) if strict else F.when(marked, F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text"))
     parsed = texts.withColumn("root", F.try_parse_json(body))
     usable = is_object(F.col("root")) | is_array(F.col("root"))
     reason = F.when(F.col("root").isNull(), "not JSON")
-    reason = reason.when(~usable, "neither a list nor an object") if strict else reason
+    reason = reason.when(~usable, "neither a list nor an object") if strict or not scalars else reason
     rejects = parsed.select("file", reason.alias("reason")).filter("reason is not null")
     items = F.when(is_object(F.col("root")), F.array("root")).otherwise(got(F.col("root"), "$", "array<variant>"))
     found = parsed.filter(usable).select("file", "stem", "order", F.posexplode(items).alias("pos", "record"))
@@ -58,33 +75,40 @@ def as_text(value: Column, path: str) -> Column:
 
 
 def messages(value: Column) -> Column:
-    """rt_message as array of structs lon, lat, timestamp (text), speed; null where it is no list."""
+    """rt_message as array of structs lon, lat, timestamp (text), speed, unread (a number among them that can't be read); null
+    where it is no list."""
+    unread = lambda m, name: got(m, f"$.{name}", "string").isNotNull() & got(m, f"$.{name}", "double").isNull()
+    there = lambda m: got(m, "$.longitude", "string").isNotNull() & got(m, "$.latitude", "string").isNotNull()
     one = lambda m: F.struct(
         got(m, "$.longitude", "double").alias("lon"), got(m, "$.latitude", "double").alias("lat"),
         got(m, "$.received_at", "string").alias("timestamp"), got(m, "$.speed", "double").alias("speed"),
+        (there(m) & (unread(m, "longitude") | unread(m, "latitude") | unread(m, "speed"))).alias("unread"),
     )
     return F.transform(got(value, "$.rt_message", "array<variant>"), one)
 
 
-def tasks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tasks, rejects) of the lookup way: file order kept, a track with a message that lacks a coordinate is rejected."""
+def tasks(found: DataFrame) -> DataFrame:
+    """Tasks of the lookup way, their points in the order of the file. bad: no list of messages, or one of them lacks a
+    coordinate; such a task has no points."""
     rows = found.select("file", "order", "pos", as_text(F.col("record"), "$.sn").alias("sn"), as_text(F.col("record"), "$.task_id").alias("task_id"), messages(F.col("record")).alias("messages"))
     bad = F.col("messages").isNull() | F.exists("messages", lambda m: m["lon"].isNull() | m["lat"].isNull())
     points = F.transform("messages", lambda m: F.struct(m["lon"].alias("lon"), m["lat"].alias("lat"), F.lit(None).cast("double").alias("z"), m["timestamp"].alias("timestamp")))
-    return rows.filter(~bad).withColumn("points", points).drop("messages"), rows.filter(bad).select("file", F.lit("a message without coordinates").alias("reason"))
+    return rows.withColumns({"bad": bad, "points": F.when(bad, F.array().cast(POINTS)).otherwise(points)}).drop("messages")
 
 
 def batch_tasks(found: DataFrame) -> DataFrame:
     """Tasks of the batch way: messages by time text (stable), those without coordinates left out, defaults for absent fields.
 
-    An explicit null stays null. device comes from the file's stem.
+    An explicit null stays null. device comes from the file's stem. bad: a number can't be read, which spoils the whole file.
     """
     field = lambda name, default: F.when(has(F.col("record"), name), got(F.col("record"), f"$.{name}", "string")).otherwise(F.lit(default))
-    placed = F.transform(messages(F.col("record")), lambda m, i: F.struct(F.coalesce(m["timestamp"], F.lit("")).alias("timestamp"), i.alias("pos"), m["lon"].alias("lon"), m["lat"].alias("lat"), m["speed"].alias("speed")))
+    all_ = messages(F.col("record"))
+    placed = F.transform(all_, lambda m, i: F.struct(F.coalesce(m["timestamp"], F.lit("")).alias("timestamp"), i.alias("pos"), m["lon"].alias("lon"), m["lat"].alias("lat"), m["speed"].alias("speed")))
     valid = F.filter(F.array_sort(placed), lambda m: m["lon"].isNotNull() & m["lat"].isNotNull())
     return found.filter(is_object(F.col("record"))).select(
         "file", "order", "pos", device_id(F.col("stem")).alias("device"), field("task_id", "unknown").alias("task_id"),
-        field("actual_start_time", "").alias("start_time"), field("actual_end_time", "").alias("end_time"), F.coalesce(valid, F.array().cast("array<struct<timestamp:string,pos:int,lon:double,lat:double,speed:double>>")).alias("points"),
+        field("actual_start_time", "").alias("start_time"), field("actual_end_time", "").alias("end_time"), F.coalesce(F.exists(all_, lambda m: m["unread"]), F.lit(False)).alias("bad"),
+        F.coalesce(valid, F.array().cast("array<struct<timestamp:string,pos:int,lon:double,lat:double,speed:double>>")).alias("points"),
     )
 
 
@@ -120,14 +144,15 @@ def curve(value: Column) -> Column:
 def joined_curve(value: Column) -> Column:
     """The centre line of the batch way: a segment's first point is left out where it equals the last one so far."""
     point = lambda p: F.struct(got(p, "$.x", "double").alias("lon"), got(p, "$.y", "double").alias("lat"))
-    none = F.array().cast("array<struct<lon:double,lat:double>>")
+    whole = lambda s: F.filter(F.transform(got(s, "$.line_segment.point", "array<variant>"), point), lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
+    parts = F.filter(F.transform(got(value, "$.central_curve.segment", "array<variant>"), whole), lambda p: F.size(p) > 0)
 
-    def joined(line: Column, segment: Column) -> Column:
-        points = F.filter(F.transform(F.coalesce(got(segment, "$.line_segment.point", "array<variant>"), F.array().cast("array<variant>")), point), lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
-        again = (F.size(line) > 0) & (F.size(points) > 0) & F.coalesce(F.get(line, F.size(line) - 1) == F.get(points, F.lit(0)), F.lit(False))
-        return F.concat(line, F.when(again, F.slice(points, F.lit(2), F.size(points))).otherwise(points))
+    def cut(all_: Column) -> Column:
+        again = lambda p, i: (i > 0) & (F.element_at(F.get(all_, i - 1), -1) == F.element_at(p, 1))
+        return F.flatten(F.transform(all_, lambda p, i: F.when(again(p, i), F.slice(p, F.lit(2), F.size(p))).otherwise(p)))
 
-    return F.aggregate(F.coalesce(got(value, "$.central_curve.segment", "array<variant>"), F.array().cast("array<variant>")), none, joined)
+    none = F.array().cast("array<struct<lon:double,lat:double>>")
+    return F.coalesce(F.element_at(F.transform(F.array(parts), cut), 1), none)
 
 
 def area(value: Column) -> Column:
@@ -166,12 +191,13 @@ def lanes(found: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, Da
 
 
 def features(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(areas, lines) of the batch way: one resource can give both; an item without a payload object gives none."""
+    """(areas, lines) of the batch way: one resource can give both; an item without a payload object gives none. feature tells
+    equal resources apart: the place of the item."""
     rows = found.filter(is_object(F.col("record"))).withColumn("data", payload(F.col("record"))).filter("data is not null")
     label = lambda key: F.when(has(F.col("record"), key), got(F.col("record"), f"$['{key}']", "string")).otherwise(F.lit(""))
     rows = rows.withColumns({"name": label(NAME), "type": label(TYPE_NAME), "type_id": got(F.col("record"), f"$['{TYPE_ID}']", "string")})
     rows = rows.withColumn("tooltip", F.concat_ws(" | ", "name", "type", "type_id"))
-    columns = ["name", "type", "type_id", "tooltip"]
+    columns = [F.struct("order", "pos").alias("feature"), "name", "type", "type_id", "tooltip"]
     areas = rows.select(*columns, area(F.col("data")).alias("points")).filter(F.size("points") >= 3)
     lines = rows.select(*columns, joined_curve(F.col("data")).alias("points")).filter(F.size("points") >= 2)
     return areas, lines

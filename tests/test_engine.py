@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from lanewright.plans.engine import Engine, NoTrack, TaskNotFound, batch_maps
+from lanewright.plans.engine import Engine, NoTrack, TaskNotFound, batch_maps, pages
 from lanewright.sources import json_files as J
 
 
@@ -46,7 +46,7 @@ def test_route(spark, folder):
     with pytest.raises(ValueError):
         engine.route(" ", "t")
     assert engine.summaries().count() == 1
-    with pytest.raises(ValueError, match="lane without points"):
+    with pytest.raises(ValueError, match="json"):
         Engine(spark, f"{folder}/gps", f"{folder}/map.json", strict=True).reload()
 
 
@@ -54,7 +54,45 @@ def test_batch(spark, folder, tmp_path):
     status = {s["file"].rpartition("/")[2]: s for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{tmp_path}/out")}
     assert status["bad.json"]["status"] == "not JSON" and status["D1x矿.json"]["status"] == "not JSON"  # a byte-order mark
     page = open(status["E2.json"]["target"], encoding="utf-8").read()
-    assert "task" in page and "areas" in page and "lanes" in page
+    assert "task 1" in page and "areas" in page and "lanes" in page and "checkbox" in page
+    assert [s["file"].rpartition("/")[2] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{tmp_path}/out")] == sorted(status) == ["D1x矿.json", "E2.json", "bad.json"]
+
+
+def test_first_match_decides(spark, folder):
+    (folder / "gps/A0.json").write_text(json.dumps([{"sn": 1, "task_id": "x", "rt_message": [message(None, 1), message(0, 0)]}]))
+    (folder / "gps/A1.json").write_text(json.dumps([{"sn": 1, "task_id": "x", "rt_message": [message(0.0005, 0), message(0.0035, 0)]}]))
+    with pytest.raises(NoTrack, match="A0.json"):
+        Engine(spark, f"{folder}/gps", f"{folder}/map.json").route("1", "x")
+    with pytest.raises(ValueError, match="A0.json|E2.json|bad.json"):
+        Engine(spark, f"{folder}/gps", f"{folder}/map.json", strict=True).tasks()
+
+
+def test_what_is_not_there(spark, folder):
+    (folder / "none").mkdir()
+    (folder / "scalar.json").write_text("5")
+    (folder / "empty.json").write_text("[]")
+    for tasks, resource, error in (("absent", "map.json", FileNotFoundError), ("none", "map.json", FileNotFoundError), ("gps", "absent.json", FileNotFoundError), ("gps", "empty.json", ValueError), ("gps", "scalar.json", ValueError)):
+        with pytest.raises(error):
+            Engine(spark, f"{folder}/{tasks}", f"{folder}/{resource}").health()
+    with pytest.raises(FileNotFoundError):
+        batch_maps(spark, f"{folder}/none", f"{folder}/map.json", f"{folder}/out")
+
+
+def test_batch_files_without_maps(spark, folder):
+    (folder / "gps/F1.json").write_text(json.dumps([{"task_id": "a", "rt_message": [message("x1", 0), message(0, 0), message(1, 1)]}]))
+    (folder / "gps/F2.json").write_text(json.dumps([{"task_id": "a", "rt_message": [message(0, 0)]}]))
+    status = {s["file"].rpartition("/")[2]: s["status"] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{folder}/out")}
+    assert status["F1.json"] == "a number that can't be read" and status["F2.json"] == "no track of two points or more" and status["E2.json"] == "written"
+
+
+def test_batch_features(spark, folder):
+    far = lane("9", [[(k / 1000, 0) for k in range(700)], [(0.699, 0), (0.7, 0)]])
+    (folder / "twice.json").write_text(json.dumps([far, far]))
+    areas, lines = J.features(J.records(J.files(spark, f"{folder}/twice.json", recursive=False), strict=True)[0])
+    assert areas.count() == 0 and [len(r["points"]) for r in lines.collect()] == [701, 701]
+    made, _ = pages(spark, f"{folder}/gps", f"{folder}/twice.json")
+    html = made.first()["html"]
+    assert html.count("n9 | lane") == 2 and html.count(",") < 3 * 300
 
 
 def test_batch_order_and_defaults(spark, folder):
@@ -66,8 +104,8 @@ def test_batch_order_and_defaults(spark, folder):
 def test_files_in_path_order(spark, folder):
     found, bad = J.records(J.files(spark, f"{folder}/gps"))
     assert found.count() == 4 and [r["reason"] for r in bad.collect()] == ["not JSON"]
-    tasks, unread = J.tasks(found)
-    assert tasks.count() == 3 and unread.count() == 1
+    tasks = J.tasks(found)
+    assert tasks.count() == 4 and tasks.filter("bad").count() == 1
 
 
 def test_lanes_twice_keep_the_first_place(spark, tmp_path):

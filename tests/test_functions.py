@@ -46,7 +46,16 @@ def even(items, most):
         return items
     if most <= 1:
         return items[:1]
-    return [items[i] for i in dict.fromkeys(round(k * (len(items) - 1) / (most - 1)) for k in range(most))]
+    step = (len(items) - 1) / (most - 1)
+    return [items[i] for i in dict.fromkeys(round(k * step) for k in range(most))]
+
+
+def test_even_places_are_multiples_of_one_step(spark):
+    """For all small sizes; rounding i x (n - 1) / (m - 1) at once gives other places, as for 26 items and 23 places."""
+    sizes = spark.range(1, 200).select(F.col("id").alias("n"), F.sequence(F.lit(0), (F.col("id") - 1).cast("int")).alias("x"))
+    for most in range(2, 60):
+        for r in sizes.select("n", A.sample_even(F.col("x"), most).alias("p")).collect():
+            assert r["p"] == even(list(range(r["n"])), most)
 
 
 @pytest.mark.parametrize("most", [0, 1, 2, 3, 4, 7, 10, 11, 50])

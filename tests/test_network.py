@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lanewright.functions.arrays import hop_m
 from lanewright.functions.geo import polyline_m
 from lanewright.operators import features, network, paths, routes, snapping, tracks
-from lanewright.operators.paths import search
+from lanewright.operators.paths import Network, search
 
 LANE = "uid string, lane_ord long, points array<struct<lon:double,lat:double,z:double,timestamp:string>>, successor_uid array<string>, predecessor_uid array<string>"
 
@@ -53,10 +54,10 @@ def textbook(edges, source):
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.tuples(st.sampled_from("1 10 2 9 30 a".split()), st.sampled_from("1 10 2 9 30 a".split())), st.integers(1, 4), max_size=20))
 def test_search_against_textbook(edges):
-    neighbours = {}
-    for (u, v), w in edges.items():
-        neighbours.setdefault(u, []).append((v, float(w)))
-    assert search(neighbours, "1") == textbook(edges, "1")
+    net = Network.of(pa.table({"src": [u for u, _ in edges] + ["1"], "dst": [v for _, v in edges] + ["1"], "weight": [float(w) for w in edges.values()] + [9.0]}))
+    cost, before = search(net, net.number("1"))
+    name = net.names.__getitem__
+    assert ({name(v): c for v, c in cost.items()}, {name(v): name(u) for v, u in before.items()}) == textbook(edges, "1") and net.number("zz") is None
 
 
 def test_both_ways_agree(spark):
@@ -88,6 +89,25 @@ def test_large_networks_give_the_same_rows(spark, monkeypatch, least):
     assert len(small[0]) > 30 and max(len(r["path"]) for r in small[1]) > 2
 
 
+def test_searches_are_dealt_to_tasks(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(50)], "src string, dst string, weight double")
+    pairs = spark.createDataFrame([(str(i), "50") for i in range(40)], "src string, dst string")
+    assert len(paths.paths(edges, pairs).groupBy(F.spark_partition_id()).count().collect()) > 1
+    assert len(paths.from_sources(edges, pairs.select("src")).groupBy(F.spark_partition_id()).count().collect()) > 1
+
+
+def test_large_boxes_and_long_lanes_take_few_cells(spark):
+    box = spark.createDataFrame([("stray", 0.0, 0.0, 40.0, 110.0), ("small", 40.0, 110.0, 40.001, 110.001)], "k string, south double, west double, north double, east double")
+    vertices = spark.createDataFrame([(1, 20.0, 20.0), (2, 110.0005, 40.0005), (3, -1.0, 5.0)], "f int, lon double, lat double")
+    assert sorted(map(tuple, features.met_by_boxes(vertices, ["f"], box, ["k"]).collect())) == [("small", 2), ("stray", 1)]
+    own = lanes_of(spark, {"long": ([(100, 30), (110, 40)], [], []), "near": ([(105, 35.0001), (105.0001, 35.0001)], [], [])})
+    parts = snapping.segments(own)
+    assert snapping.posted(parts, 0.001).count() <= 8
+    points = spark.createDataFrame([(1, 105.0, 35.0), (2, 100.0, 30.0)], "q int, lon double, lat double")
+    got = {(r["q"], r["rank"]): r["uid"] for r in snapping.nearest_lanes(points, own, ["q"], 2).collect()}
+    assert got[1, 1] == "long" and got[2, 1] == "long" and len(got) == 4
+
+
 def test_projection_cases(spark):
     rows = {"a": ([(0, 0), (0.001, 0), (0.001, 0), (0.001, 0.001)], [], []), "p": ([(0.0005, 0.0005)], [], []), "far": ([(50, 50), (51, 51)], [], [])}
     own = lanes_of(spark, rows)
