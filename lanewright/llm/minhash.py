@@ -79,9 +79,9 @@ def postings(able: DataFrame, classes: DataFrame) -> DataFrame:
     return kept.join(classes, "node").select("node", "key", "rep", "n", "shared", "common")
 
 
-def prefix() -> Column:
+def prefix(shared: str = "shared") -> Column:
     """Of a node with s shared values the first s - MATCHES + 1; the values of its own stand before them."""
-    return F.slice("shared", F.lit(1), F.size("shared") - (MATCHES - 1))
+    return F.slice(shared, F.lit(1), F.size(shared) - (MATCHES - 1))
 
 
 def alike_in_size(n: Column, m: Column) -> Column:
@@ -168,9 +168,9 @@ def block(n: Column) -> Column:
 def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes, and node, root of the classes they connect, as structs (rep, node).
 
-    Two nodes of different components meet at the first value that their prefixes share. Their collisions are counted, and
-    since either was compared with the value's hub, their full sets are too: what both have of the hub, and what both have
-    besides. A node of whose shingles too few are found in any other node still in question is passed over; `reach` is the
+    Two nodes of different components meet once, at the hub of the first value that their prefixes share. Their collisions
+    are counted, and since either was compared with that hub, their full sets are too: what both have of it, and what both
+    have besides. A node of whose shingles too few are found in any other node still in question is passed over; `reach` is the
     largest set that a node could be similar to, and the smaller of two nodes goes to the blocks within its reach.
     """
     texts = written(candidate_texts(docs, posted).dropDuplicates(["node"]), "candidates")
@@ -184,27 +184,29 @@ def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = tested.filter("linked and hub <> node").select(*ends(F.struct(F.col("hub_rep").alias("rep"), F.col("hub").alias("node")), F.struct("rep", "node")))
     roots = components(found).select("node.node", F.col("root.node").alias("root"))
 
-    members = posted.join(roots, "node", "left").select("node", "rep", "n", "shared", "prefix", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
-    split = members.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
-    members = written(members.join(split, "value").join(hubs, "value"), "members")
-    own = own_shingles(members.select("node").distinct(), texts)
-    members = members.join(own, "node", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-    members = members.withColumn("reach", F.expr(f"rest * {sum(THRESHOLD)} div {THRESHOLD[0]} - n"))
-    members = members.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0]).join(tested.select("hub", "node", "common", "bits", "out"), ["hub", "node"])
+    placed_ = posted.select("node", F.explode("prefix").alias("value")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "value")
+    split = placed_.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
+    met = placed_.join(split, "value").join(hubs, "value").groupBy("node", "root", "hub").agg(F.collect_list("value").alias("values"))
+    met = written(met, "members")
+    nodes = posted.select("node", "rep", "n", "shared").join(own_shingles(met.select("node").distinct(), texts), "node", "left")
+    nodes = nodes.withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("reach", F.expr(f"rest * {sum(THRESHOLD)} div {THRESHOLD[0]} - n")).drop("own")
+    nodes = nodes.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0])
+    members = met.join(nodes, "node").join(tested.select("hub", "node", "common", "bits", "out"), ["hub", "node"])
     blocks = F.sequence(block(F.col("n")), block(F.least(F.col("reach"), F.col("n") * THRESHOLD[1] / THRESHOLD[0])))
-    columns = ("value", "node", "rep", "n", "root", "shared", "prefix", "rest", "reach", "common", "bits", "out", "block")
+    columns = ("hub", "node", "rep", "n", "root", "shared", "values", "rest", "reach", "common", "bits", "out", "block")
     a, b = (
         side.select(*[F.col(c).alias(f"{c}_{x}") for c in columns])
         for x, side in (("a", members.filter("reach >= n").withColumn("block", F.explode(blocks))), ("b", members.withColumn("block", block(F.col("n")))))
     )
     enough = lambda common: common * sum(THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD[0]
     most = F.least("common_a", "common_b") + F.least(F.col("rest_a") - F.col("common_a"), F.col("rest_b") - F.col("common_b"))
-    once = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("value_a")
+    first = F.get(F.array_intersect(prefix("shared_a"), prefix("shared_b")), F.lit(0))
+    once = F.array_contains("values_a", first)
     counted = F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES
     of_hub = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
     exactly = of_hub + F.size(F.array_intersect("out_a", "out_b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    meet = (F.col("value_a") == F.col("value_b")) & (F.col("block_a") == F.col("block_b")) & smaller & (F.col("root_a") != F.col("root_b"))
+    meet = (F.col("hub_a") == F.col("hub_b")) & (F.col("block_a") == F.col("block_b")) & smaller & (F.col("root_a") != F.col("root_b"))
     meet = meet & alike_in_size(F.col("n_a"), F.col("n_b")) & (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b"))
     end = lambda x: F.struct(F.col(f"rep_{x}").alias("rep"), F.col(f"node_{x}").alias("node"))
     across = a.join(b, meet & enough(most) & once & counted & enough(exactly)).select(*ends(end("a"), end("b")))
