@@ -1,6 +1,9 @@
 """A corpus pipeline: language, quality, near-duplicates, source mix, SentencePiece ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, extra ones
+included, whatever their names. An empty table stays empty. Null and empty texts have no language, so the first stage rejects
+them; given to a later one, they are judged as empty texts, have no duplicates, are in no mix and get no ids. Rows that repeat id
+and text stay until the near-duplicates, where one stays. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix of sources takes a document (operator 2); some documents not at all, some twice."""
+    """A row for each time the mix of sources takes a document (operator 2); some documents not at all, some twice. The one
+    document a source that its quota cuts is kept up to there."""
     return mixing.mixed(docs, mixing.mix(docs))
 
 
