@@ -79,6 +79,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+FILTER_BITS = 1 << 24
+
+
+def _places(columns: list[Column]) -> list[Column]:
+    return [F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
+
+
+def bits_of(keys: DataFrame) -> DataFrame:
+    """One row with bits, a Bloom filter of the rows of keys: FILTER_BITS in longs (2 MB, however many rows), two of them set a row."""
+    at = keys.select(F.explode(F.array(*_places([F.col(c) for c in keys.columns]))).alias("_at"))
+    words = at.select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at & 63))").alias("_bits"))
+    every = words.union(keys.sparkSession.range(FILTER_BITS // 64).select("id", F.lit(0).cast("long")))
+    listed = lambda *names: F.sort_array(F.collect_list(F.struct(*names))).getField(names[-1])
+    runs = every.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).groupBy(F.shiftright("_word", 10).alias("_run")).agg(listed("_word", "_bits").alias("_of"))
+    return runs.agg(F.flatten(listed("_run", "_of")).alias("bits"))
+
+
+def perhaps_in(bits: DataFrame, *columns: Column) -> Column:
+    """False only where no row of the keys of bits equals the columns (of the same types); a join settles the others."""
+    of = bits.scalar()
+    one, two = (F.getbit(F.get(of, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in _places(list(columns)))
+    return one & two
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 1024) -> DataFrame:
     """Adds out: the sum of value over the rows of the same keys with a smaller order (integers from 0, unique within keys).
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import map_batches, written
+from lanewright.llm.common import bits_of, map_batches, perhaps_in, written
 from lanewright.llm.components import components
 from lanewright.llm.shingles import Powers, shingle_sets, stirred
 
@@ -94,8 +94,11 @@ def key_of(shingles: np.ndarray) -> int:
 
 
 def candidate_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
-    """node, text of the posted classes. Where an id repeats with other texts, only the one with the node's set counts."""
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(posted.select("rep", "node", "key"), "rep").select("node", "text", "key")
+    """node, text of the posted classes. Where an id repeats with other texts, only the one with the node's set counts. A filter of
+    fixed size keeps most texts of other documents out of the shuffle."""
+    bits = written(bits_of(posted.select("rep")), "bits")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter(perhaps_in(bits, F.col("rep")))
+    found = rows.join(posted.select("rep", "node", "key"), "rep").select("node", "text", "key")
 
     def start():
         powers = Powers()
@@ -256,7 +259,10 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     gone = rows.filter("not kept").select("doc_id", "text_hash").union(further).distinct().withColumn("gone", F.lit(True))
     repeated = texts.filter("times > 1").select("doc_id", "text_hash").join(further, ["doc_id", "text_hash"], "left_anti").withColumn("gone", F.lit(False))
     marked = written(gone.union(repeated), "marked")
-    own = lambda x: (docs["doc_id"].cast("long") == x["doc_id"]) & (F.xxhash64(docs["text"]) == x["text_hash"])
+    bits = written(bits_of(marked.select("doc_id", "text_hash")), "bits")
+    perhaps = perhaps_in(bits, docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+    doubtful = docs.filter(perhaps)  # only these are shuffled; the others are none of the marked rows
+    own = (doubtful["doc_id"].cast("long") == marked["doc_id"]) & (F.xxhash64(doubtful["text"]) == marked["text_hash"])
+    rest = docs.filter(~perhaps).union(doubtful.join(marked, own, "left_anti"))
     again = marked.filter("not gone")
-    rest = docs.join(marked, own(marked), "left_anti")
-    return rest if again.isEmpty() else rest.union(docs.join(again, own(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rest if again.isEmpty() else rest.union(doubtful.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lanewright.llm import minhash as H
 from lanewright.llm import queries
+from lanewright.llm.common import FILTER_BITS, bits_of, perhaps_in
 from lanewright.llm.components import components
 from lanewright.llm.shingles import Powers, shingle_sets
 from tests.llm.conftest import SCHEMA, SMALL, row, words
@@ -115,3 +118,14 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = queries.op6_minhash_neardup(spark, SMALL).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
+def test_filter_misses_no_key(spark):
+    keys = spark.range(-2000, 2000).select(F.col("id"), F.xxhash64(F.col("id").cast("string")).alias("h"))
+    rows = spark.range(-6000, 6000).select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).union(spark.sql("select cast(null as bigint), 1L"))
+    bits = bits_of(keys)
+    assert bits.select(F.size("bits")).collect() == [(FILTER_BITS // 64,)]
+    passed = {r.id for r in rows.filter(perhaps_in(bits, F.col("id"), F.col("h"))).collect()}
+    assert set(range(-2000, 2000)) <= passed and len(passed) < 4010
+    none = bits_of(keys.filter("false"))
+    assert rows.filter(perhaps_in(none, F.col("id"), F.col("h"))).isEmpty()
