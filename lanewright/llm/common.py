@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,33 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+BATCH_BYTES = 1 << 20
+
+
+def parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and BATCH_BYTES of text; a row with more of it stands alone."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(ends)
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right"))
+        end = max(at + 1, min(full, at + rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_batches(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 128) -> DataFrame:
-    """mapInArrow with at most `rows` rows at a time. function() runs once a task and returns the batch function."""
+    """mapInArrow over parts() of at most `rows` rows. function() runs once a task and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = function()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield apply(batch.slice(at, rows))
+            for part in parts(batch, rows):
+                yield apply(part)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -62,9 +83,9 @@ def keep_where(docs: DataFrame, function: Callable[[], Callable[[list], list[boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = function()
         for batch in batches:
-            for low in range(0, batch.num_rows, rows):
-                part = batch.slice(low, rows)
+            for part in parts(batch, rows):
                 yield part.filter(pa.array(judge(part.column(at).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

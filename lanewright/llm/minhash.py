@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import bits_of, map_batches, perhaps_in, written
+from lanewright.llm.common import bits_of, map_batches, parts, perhaps_in, written
 from lanewright.llm.components import components
 from lanewright.llm.shingles import Powers, shingle_sets, stirred
 
@@ -152,8 +152,7 @@ def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in parts(batch, 128):
                 sets = shingle_sets(part.column(1).to_pylist(), powers)
                 ids = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["node", "shingle"])

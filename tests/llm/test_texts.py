@@ -8,9 +8,11 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lanewright.llm import common
 from lanewright.llm import licences as C
 from lanewright.llm import media as D
 from lanewright.llm import pieces as P
@@ -276,3 +278,15 @@ def test_count_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = queries.op9_token_counts(spark, SMALL).collect()
     assert all(r["n_tokens"] == len(COUNTS.encoding.encode_ordinary(texts[r["doc_id"]])) for r in rows) and len(rows) == len(texts)
+
+
+def test_parts_bound_rows_and_bytes():
+    sizes = [0, 5, common.BATCH_BYTES, 7, 3 * common.BATCH_BYTES, 1, common.BATCH_BYTES // 2, common.BATCH_BYTES // 2, 1, 1, 1, 1]
+    texts = pa.array(["x" * n if n else None for n in sizes], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), texts], names=["doc_id", "text"])
+    made = list(common.parts(batch, 3))
+    assert pa.Table.from_batches(made).combine_chunks() == pa.Table.from_batches([batch])
+    for part in made:
+        assert 1 <= part.num_rows <= 3
+        assert part.num_rows == 1 or sum(len(t or "") for t in part.column(1).to_pylist()) <= common.BATCH_BYTES
+    assert list(common.parts(batch.slice(0, 0), 3)) == []
