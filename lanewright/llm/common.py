@@ -46,6 +46,14 @@ def free(columns: list[str], *names: str) -> list[str]:
 
 
 BATCH_BYTES = 1 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_arrow(spark: SparkSession) -> None:
+    """Batches of 4 MB to and from Python, unless the session names a size: an executor and its workers keep the buffers of the
+    largest one, so Spark's own 64 MB cost several times that in each of them."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, "4m")
 
 
 def parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -73,6 +81,7 @@ def map_batches(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch],
                 yield apply(part)
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
+    small_arrow(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -87,6 +96,7 @@ def keep_where(docs: DataFrame, function: Callable[[], Callable[[list], list[boo
                 yield part.filter(pa.array(judge(part.column(at).to_pylist()), pa.bool_()))
         pa.default_memory_pool().release_unused()
 
+    small_arrow(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import held_out, keep_where, map_batches
+from lanewright.llm.common import held_out, keep_where, map_batches, small_arrow
 
 UNKNOWN = "und"
 WIDTH = 8192  # hashed n-gram buckets
@@ -106,6 +106,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH + 1), pa.int32()), pa.array(np.append(total, n), pa.int64())], names=["bucket", "n"])
 
+    small_arrow(docs.sparkSession)
     out = np.zeros(WIDTH + 1, np.int64)
     for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
