@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import langid, licences, media, minhash, mixing, pieces, quality, sharding, tokencount, winnowing
+from lanewright.llm import langid, licences, media, minhash, mixing, pieces, quality, runs, sharding, simhash, texts_sql, tokencount, trie, winnowing
 from lanewright.llm.common import table
 
 
@@ -54,9 +54,30 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op7_sentencepiece, op8_language_id, op9_token_counts, op10_media_columns)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digest(runs.scan(docs.select("doc_id", runs.standard_rewrite(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_winnowing, op2_source_mix, op3_quality_classifier, op4_shuffled_shards, op5_license_scan, op6_minhash_neardup, op7_sentencepiece, op8_language_id, op9_token_counts,
+        op10_media_columns, op11_periodic_runs, op12_conversation_trie, op13_simhash_neardup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": texts_sql.PERIODIC_RUNS,
+    "op12_conversation_trie": texts_sql.CONVERSATION_TRIE,
     "op1_winnowing": r"""
 with texts as (
   select doc_id, coalesce(text, '') as text from documents
