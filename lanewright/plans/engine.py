@@ -15,6 +15,8 @@ from lanewright.operators import features, network, routes, tracks
 from lanewright.plans import layers
 from lanewright.settings import DEFAULT, Settings
 from lanewright.sources import json_files as J
+from lanewright.sources import search
+from lanewright.sources.text_files import write_texts
 from lanewright.storage import written
 
 KEYS = ["sn", "task_id"]
@@ -97,8 +99,10 @@ class Engine:
 
     def find(self, sn: str, task_id: str) -> DataFrame:
         """The first task with this number and id; the first match decides even where it can't be used."""
-        tasks, rejects = self.tasks()
-        one = written(tasks.filter((F.col("sn") == sn.strip()) & (F.col("task_id") == task_id.strip())), "task")
+        asked = self.spark.createDataFrame([(sn, task_id)], search.ASKED)
+        tasks, rejects = search.find_tasks(self.spark, self.tasks_path, asked)
+        self._checked(rejects.unionByName(tasks.filter("bad").select("file", F.lit("a message without coordinates").alias("reason"))))
+        one = written(tasks.withColumn("points", dedup_consecutive(F.col("points"))), "task")
         row = one.select("file", "bad", F.size("points").alias("n")).first()
         if row is None:
             reasons = [f"{os.path.basename(r['file'])}: {r['reason']}" for r in rejects.limit(5).collect()]
@@ -145,8 +149,8 @@ def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Se
     rows = written(features.task_routes(tasks.join(unread, "file", "left_anti"), settings), "routes")
     exact = tracks.boxes(rows.select("file", F.explode("points").alias("p")).select("file", "p.lon", "p.lat"), ["file"])
     boxes = exact.select("file", *[(F.col(c) + sign * settings.bbox_margin_deg).alias(c) for c, sign in (("south", -1), ("west", -1), ("north", 1), ("east", 1))])
-    resources, unusable = J.records(J.existing(spark, resource_path, recursive=False), strict=True)
-    if (r := unusable.first()) is not None:
+    resources, unread = J.records(J.existing(spark, resource_path, recursive=False), strict=True)
+    if (r := unread.unionByName(J.unusable(resources)).first()) is not None:
         raise ValueError(f"{r['file']}: {r['reason']}")
     met = []
     for name, table in zip(("areas", "lines"), J.features(resources), strict=True):
@@ -154,7 +158,7 @@ def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Se
         vertices = table.select("feature", F.explode("points").alias("p")).select("feature", "p.lon", "p.lat")
         met.append(features.met_by_boxes(vertices, ["feature"], boxes, ["file"]).join(table, "feature"))
     areas, lines = met
-    lines = lines.withColumns({"raw_count": F.size("points").cast("long"), "points": sample_stride(F.col("points"), settings.batch_lane_points)})
+    lines = lines.withColumn("points", sample_stride(F.col("points"), settings.batch_lane_points))
     shown = layers.batch_layers(rows, areas, lines).groupBy("file").agg(F.collect_list(F.struct(*layers.COLUMNS)).alias("rows"))
     drawn = rows.groupBy("file").agg(F.min("order").alias("order"), F.min("device").alias("device"), F.count("*").alias("tasks"))
     made = drawn.join(shown, "file").join(exact, "file").select("file", "order", "device", "tasks", _page("device", "rows", "south", "west", "north", "east").alias("html"))
@@ -164,15 +168,11 @@ def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Se
 
 
 def batch_maps(spark: SparkSession, tasks_path: str, resource_path: str, target: str, settings: Settings = DEFAULT) -> list[dict]:
-    """A page per task file, named by its device, and what became of each file, in their order. Later files of a device replace
-    earlier ones. Pages reach the driver one at a time."""
+    """A page per task file, named by its device, and what became of each file, in their order. Of files of one device the last
+    has the page. The executors write the pages; the target is any folder that they share, of any file system."""
     made, status = pages(spark, tasks_path, resource_path, settings)
-    made = written(made, "pages")
-    os.makedirs(target, exist_ok=True)
-    put = {}
-    for r in made.orderBy("order").toLocalIterator():
-        path = os.path.join(target, f"{r['device']}矿车路线地图.html")
-        with open(path, "w", encoding="utf-8") as out:
-            out.write(r["html"])
-        put[r["file"]] = {"target": path, "tasks": r["tasks"]}
-    return [{"file": r["file"], "status": r["status"], **put.get(r["file"], {})} for r in status.orderBy("order").collect()]
+    made = written(made.withColumn("name", F.concat("device", F.lit("矿车路线地图.html"))), "pages")
+    last = made.groupBy("name").agg(F.max_by("html", "order").alias("text"))
+    write_texts(written(last, "last-pages"), target)
+    rows = status.join(made.select("file", "name", "tasks"), "file", "left").orderBy("order").select("file", "status", "name", "tasks")
+    return [{"file": r["file"], "status": r["status"], **({"target": os.path.join(target, r["name"]), "tasks": r["tasks"]} if r["name"] else {})} for r in rows.collect()]

@@ -24,6 +24,11 @@ def got(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+def given(value: Column, path: str) -> Column:
+    """Whether there is a value other than null at a path."""
+    return F.coalesce(F.schema_of_variant(got(value, path, "variant")) != "VOID", F.lit(False))
+
+
 def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
@@ -35,8 +40,13 @@ def is_array(value: Column) -> Column:
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """file, stem, order (path components, as files are searched) and text of every JSON file."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json")  # the text reader hides a byte-order mark
+    return texts_of(read.load(path))
+
+
+def texts_of(read: DataFrame) -> DataFrame:
+    """file, stem, order and text of binary files."""
     order = F.split("path", "/")
-    return read.load(path).select(F.col("path").alias("file"), F.regexp_replace(F.element_at(order, -1), r"\.json$", "").alias("stem"), order.alias("order"), F.col("content").cast("string").alias("text"))
+    return read.select(F.col("path").alias("file"), F.regexp_replace(F.element_at(order, -1), r"\.json$", "").alias("stem"), order.alias("order"), F.col("content").cast("string").alias("text"))
 
 
 def existing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -75,14 +85,19 @@ def as_text(value: Column, path: str) -> Column:
 
 
 def messages(value: Column) -> Column:
-    """rt_message as array of structs lon, lat, timestamp (text), speed, unread (a number among them that can't be read); null
-    where it is no list."""
+    """rt_message as array of structs lon, lat, timestamp (text), speed, unread (it is no object, or a number among them can't be
+    read), kind and number of the time (0: text or absent, 1: a number, 2: neither); null where it is no list."""
     unread = lambda m, name: got(m, f"$.{name}", "string").isNotNull() & got(m, f"$.{name}", "double").isNull()
-    there = lambda m: got(m, "$.longitude", "string").isNotNull() & got(m, "$.latitude", "string").isNotNull()
+    odd = lambda m, name: unread(m, name) | is_array(got(m, f"$.{name}", "variant")) | is_object(got(m, f"$.{name}", "variant"))
+    there = lambda m: given(m, "$.longitude") & given(m, "$.latitude")
+    time = lambda m: F.schema_of_variant(got(m, "$.received_at", "variant"))
+    number = lambda m: got(m, "$.received_at", "double")
+    kind = lambda m: F.when((time(m) == "STRING") | ~has(m, "received_at"), 0).when(time(m).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), 1).otherwise(2)
     one = lambda m: F.struct(
         got(m, "$.longitude", "double").alias("lon"), got(m, "$.latitude", "double").alias("lat"),
         got(m, "$.received_at", "string").alias("timestamp"), got(m, "$.speed", "double").alias("speed"),
-        (there(m) & (unread(m, "longitude") | unread(m, "latitude") | unread(m, "speed"))).alias("unread"),
+        (~is_object(m) | (there(m) & (odd(m, "longitude") | odd(m, "latitude") | odd(m, "speed")))).alias("unread"),
+        F.when(is_object(m), kind(m)).alias("kind"), F.when(kind(m) == 1, number(m)).alias("number"),
     )
     return F.transform(got(value, "$.rt_message", "array<variant>"), one)
 
@@ -97,18 +112,23 @@ def tasks(found: DataFrame) -> DataFrame:
 
 
 def batch_tasks(found: DataFrame) -> DataFrame:
-    """Tasks of the batch way: messages by time text (stable), those without coordinates left out, defaults for absent fields.
+    """Tasks of the batch way: messages by time (stable), those without coordinates left out, defaults for absent fields.
 
-    An explicit null stays null. device comes from the file's stem. bad: a number can't be read, which spoils the whole file.
+    An explicit null stays null. device comes from the file's stem. bad spoils the whole file: the item or a message is no object,
+    a number can't be read, or two times can't be compared (text, numbers and others among each other; an absent one is an empty text).
     """
     field = lambda name, default: F.when(has(F.col("record"), name), got(F.col("record"), f"$.{name}", "string")).otherwise(F.lit(default))
     all_ = messages(F.col("record"))
-    placed = F.transform(all_, lambda m, i: F.struct(F.coalesce(m["timestamp"], F.lit("")).alias("timestamp"), i.alias("pos"), m["lon"].alias("lon"), m["lat"].alias("lat"), m["speed"].alias("speed")))
+    place = lambda m, i: F.struct(F.coalesce(m["number"], F.lit(0.0)).alias("number"), F.coalesce(m["timestamp"], F.lit("")).alias("timestamp"), i.alias("pos"), m["lon"].alias("lon"), m["lat"].alias("lat"), m["speed"].alias("speed"))
+    placed = F.transform(all_, lambda m, i: F.when(m["kind"] == 1, place(m, i).withField("timestamp", F.lit(""))).otherwise(place(m, i)))
+    kinds = F.array_distinct(F.transform(all_, lambda m: m["kind"]))
+    mixed = (F.size(all_) > 1) & ((F.size(kinds) > 1) | F.array_contains(kinds, 2))
     valid = F.filter(F.array_sort(placed), lambda m: m["lon"].isNotNull() & m["lat"].isNotNull())
-    return found.filter(is_object(F.col("record"))).select(
+    return found.select(
         "file", "order", "pos", device_id(F.col("stem")).alias("device"), field("task_id", "unknown").alias("task_id"),
-        field("actual_start_time", "").alias("start_time"), field("actual_end_time", "").alias("end_time"), F.coalesce(F.exists(all_, lambda m: m["unread"]), F.lit(False)).alias("bad"),
-        F.coalesce(valid, F.array().cast("array<struct<timestamp:string,pos:int,lon:double,lat:double,speed:double>>")).alias("points"),
+        field("actual_start_time", "").alias("start_time"), field("actual_end_time", "").alias("end_time"),
+        (~is_object(F.col("record")) | F.coalesce(F.exists(all_, lambda m: m["unread"]) | mixed, F.lit(False))).alias("bad"),
+        F.coalesce(F.transform(valid, lambda m: m.dropFields("number")), F.array().cast("array<struct<timestamp:string,pos:int,lon:double,lat:double,speed:double>>")).alias("points"),
     )
 
 
@@ -190,14 +210,32 @@ def lanes(found: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, Da
     return ranked.withColumns({"length_m": polyline_m(F.col("points")), "start_point": F.element_at("points", 1), "end_point": F.element_at("points", -1)}), rejects
 
 
+def spoiled(point: Column) -> Column:
+    """Whether a vertex has both coordinates and one of them is no number."""
+    wrong = lambda axis: got(point, f"$.{axis}", "double").isNull()
+    return is_object(point) & given(point, "$.x") & given(point, "$.y") & (wrong("x") | wrong("y"))
+
+
+def unusable(found: DataFrame) -> DataFrame:
+    """file, reason of the resource files that the batch way can't read: an item is no object, or a coordinate no number."""
+    data = payload(F.col("record"))
+    vertices = F.concat(
+        F.coalesce(got(data, "$.polygon.point", "array<variant>"), F.array().cast("array<variant>")),
+        F.coalesce(F.flatten(F.transform(got(data, "$.central_curve.segment", "array<variant>"), lambda s: F.coalesce(got(s, "$.line_segment.point", "array<variant>"), F.array().cast("array<variant>")))), F.array().cast("array<variant>")),
+    )
+    reason = F.when(~is_object(F.col("record")), "an item that is no object").when(F.exists(vertices, spoiled), "a coordinate that is no number")
+    return found.select("file", reason.alias("reason")).filter("reason is not null").distinct()
+
+
 def features(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(areas, lines) of the batch way: one resource can give both; an item without a payload object gives none. feature tells
-    equal resources apart: the place of the item."""
+    equal resources apart: the place of the item. Files that are unusable() should be kept out or raise."""
     rows = found.filter(is_object(F.col("record"))).withColumn("data", payload(F.col("record"))).filter("data is not null")
     label = lambda key: F.when(has(F.col("record"), key), got(F.col("record"), f"$['{key}']", "string")).otherwise(F.lit(""))
-    rows = rows.withColumns({"name": label(NAME), "type": label(TYPE_NAME), "type_id": got(F.col("record"), f"$['{TYPE_ID}']", "string")})
-    rows = rows.withColumn("tooltip", F.concat_ws(" | ", "name", "type", "type_id"))
+    rows = rows.withColumns({"name": label(NAME), "type": label(TYPE_NAME), "type_id": label(TYPE_ID)})
+    none = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    rows = rows.withColumn("tooltip", F.concat(none("name"), F.lit(" | "), none("type"), F.lit(" | 类型ID="), none("type_id")))
     columns = [F.struct("order", "pos").alias("feature"), "name", "type", "type_id", "tooltip"]
     areas = rows.select(*columns, area(F.col("data")).alias("points")).filter(F.size("points") >= 3)
     lines = rows.select(*columns, joined_curve(F.col("data")).alias("points")).filter(F.size("points") >= 2)
-    return areas, lines
+    return areas, lines.withColumn("raw_count", F.size("points").cast("long"))

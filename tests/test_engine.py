@@ -24,10 +24,12 @@ def folder(tmp_path):
     put("gps/deep/one.json", {"sn": "8", "task_id": "t", "rt_message": [message(1, 1)]})
     put("gps/E2.json", {"task_id": None, "rt_message": [message(0.001, 0.0, "b"), message(0.002, 0.0, "a"), message(None, 1)]})
     (tmp_path / "gps/bad.json").write_text("{")
-    put("map.json", [
+    resources = [
         lane("1", [[(0, 0), (0.001, 0)], [(0.001, 0), (0.002, 0)]], after="2"), lane("2", [[(0.002, 0), (0.004, 0)]]), lane("3", [[(0, 0)]], kind="101"), lane("4", []),
-        {J.TYPE_ID: 5, J.TYPE_NAME: "pit", J.NAME: None, J.PAYLOAD: json.dumps({"polygon": {"point": [{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}]}})}, "stray",
-    ])
+        {J.TYPE_ID: 5, J.TYPE_NAME: "pit", J.NAME: None, J.PAYLOAD: json.dumps({"polygon": {"point": [{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}]}})},
+    ]
+    put("map.json", [*resources, "stray"])
+    put("clean.json", resources)
     return tmp_path
 
 
@@ -51,11 +53,11 @@ def test_route(spark, folder):
 
 
 def test_batch(spark, folder, tmp_path):
-    status = {s["file"].rpartition("/")[2]: s for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{tmp_path}/out")}
+    status = {s["file"].rpartition("/")[2]: s for s in batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{tmp_path}/out")}
     assert status["bad.json"]["status"] == "not JSON" and status["D1x矿.json"]["status"] == "not JSON"  # a byte-order mark
     page = open(status["E2.json"]["target"], encoding="utf-8").read()
     assert "task 1" in page and "areas" in page and "lanes" in page and "checkbox" in page
-    assert [s["file"].rpartition("/")[2] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{tmp_path}/out")] == sorted(status) == ["D1x矿.json", "E2.json", "bad.json"]
+    assert [s["file"].rpartition("/")[2] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{tmp_path}/out")] == sorted(status) == ["D1x矿.json", "E2.json", "bad.json"]
 
 
 def test_first_match_decides(spark, folder):
@@ -81,15 +83,46 @@ def test_what_is_not_there(spark, folder):
 def test_batch_files_without_maps(spark, folder):
     (folder / "gps/F1.json").write_text(json.dumps([{"task_id": "a", "rt_message": [message("x1", 0), message(0, 0), message(1, 1)]}]))
     (folder / "gps/F2.json").write_text(json.dumps([{"task_id": "a", "rt_message": [message(0, 0)]}]))
-    status = {s["file"].rpartition("/")[2]: s["status"] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/map.json", f"{folder}/out")}
+    status = {s["file"].rpartition("/")[2]: s["status"] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{folder}/out")}
     assert status["F1.json"] == "a number that can't be read" and status["F2.json"] == "no track of two points or more" and status["E2.json"] == "written"
 
 
+def test_batch_files_spoiled(spark, folder):
+    put = lambda name, value: (folder / "gps" / name).write_text(json.dumps(value))
+    put("G1.json", [{"rt_message": [message(0, 0), message(1, 1)]}, 3])
+    put("G2.json", [{"rt_message": [message(0, 0), message(1, 1), "no message"]}])
+    put("G3.json", [{"rt_message": [message(0, 0, 5), message(1, 1, "a")]}])
+    put("G4.json", [{"rt_message": [message(0, 0, None), message(1, 1, "a")]}])
+    put("H1.json", [{"rt_message": [message(0, 0, 10), message(1, 1, 9), message(2, 2, 9.5)]}])
+    rows = {r["file"].rpartition("/")[2]: r for r in J.batch_tasks(J.records(J.files(spark, f"{folder}/gps", recursive=False), strict=True)[0]).orderBy("pos").collect()}
+    assert all(rows[f"G{i}.json"]["bad"] for i in (1, 2, 3, 4)) and not rows["H1.json"]["bad"] and [p["lon"] for p in rows["H1.json"]["points"]] == [1.0, 2.0, 0.0]
+
+
+def test_batch_resources_spoiled(spark, folder):
+    put = lambda value: (folder / "bad_map.json").write_text(json.dumps(value))
+    for wrong in ("stray", lane("5", [[(0, 0), ("east", 1)]]), {J.PAYLOAD: {"polygon": {"point": [{"x": 0, "y": []}]}}}):
+        put([lane("4", [[(0, 0), (1, 1)]]), wrong])
+        with pytest.raises(ValueError, match="bad_map.json: an item|bad_map.json: a coord"):
+            batch_maps(spark, f"{folder}/gps", f"{folder}/bad_map.json", f"{folder}/out")
+    put([lane("4", [[(0, 0), ("1", 1)], [(None, "x"), ("3", 4)]])])  # a vertex without both coordinates isn't read at all
+    assert pages(spark, f"{folder}/gps", f"{folder}/bad_map.json")[0].count() == 1
+
+
+def test_the_last_file_of_a_device_has_the_page(spark, folder):
+    for name, x in (("K1.json", 1), ("K1矿b.json", 2), ("K1矿a.json", 3)):
+        (folder / "gps" / name).write_text(json.dumps([{"task_id": f"task{x}", "rt_message": [message(x, 0), message(x, 1)]}]))
+    status = batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{folder}/out")
+    own = [s for s in status if s["file"].rpartition("/")[2].startswith("K1")]
+    assert len({s["target"] for s in own}) == 1 and all(s["status"] == "written" for s in own)
+    assert "task2" in open(own[0]["target"], encoding="utf-8").read()
+    assert sorted(p.name for p in (folder / "out").iterdir()) == sorted({s["target"].rpartition("/")[2] for s in status if "target" in s})  # nothing else is left
+
+
 def test_batch_features(spark, folder):
     far = lane("9", [[(k / 1000, 0) for k in range(700)], [(0.699, 0), (0.7, 0)]])
     (folder / "twice.json").write_text(json.dumps([far, far]))
     areas, lines = J.features(J.records(J.files(spark, f"{folder}/twice.json", recursive=False), strict=True)[0])
-    assert areas.count() == 0 and [len(r["points"]) for r in lines.collect()] == [701, 701]
+    assert areas.count() == 0 and [(len(r["points"]), r["raw_count"], r["tooltip"]) for r in lines.collect()] == [(701, 701, "n9 | lane | 类型ID=101")] * 2
     made, _ = pages(spark, f"{folder}/gps", f"{folder}/twice.json")
     html = made.first()["html"]
     assert html.count("n9 | lane") == 2 and html.count(",") < 3 * 300

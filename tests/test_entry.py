@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lanewright.plans import queries
+from lanewright.plans import json_queries, queries
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
@@ -17,17 +17,20 @@ def cells(rows):
     return sorted(tuple(str(round(x, 4)) if isinstance(x, float) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+OWN, SQL = queries.QUERIES | json_queries.QUERIES, queries.ORACLE_SQL | json_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query(spark, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = OWN[name](spark, SF)
     columns = sorted(df.columns)
     rows = df.select(columns).collect()
     assert rows
-    if name in queries.ORACLE_SQL:
+    if name in SQL:
         with duckdb.connect() as c:
             for t in TABLES:
                 c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-            want = c.sql(queries.ORACLE_SQL[name]).project(", ".join(columns)).fetchall()
+            want = c.sql(SQL[name]).project(", ".join(columns)).fetchall()
         assert cells(rows) == cells(want)
 
 
