@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import held_out, keep_where, map_batches, small_arrow
@@ -148,12 +148,13 @@ def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, cluster
     """Learns from rows with a text and a lang that aren't held out.
 
     IDF counts all of them. Centroids come from about per_language whole texts a language (of at most `longest` characters,
-    drawn by a hash of id and text), the bound of what reaches the driver; more than most_languages raises ValueError.
-    Rows with null lang, null text or no letter teach nothing.
+    drawn by a hash of id and text; twice as many at most, the bound of what reaches the driver); more than most_languages raises
+    ValueError. A row that repeats id and text counts once, so it can't push out its own or another language. Rows with null
+    lang, null text or no letter teach nothing.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     sized = F.length("text") <= longest
-    found = rows.groupBy("lang").agg(F.count_if(sized).alias("n")).limit(most_languages + 1).collect()
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(sized, F.xxhash64("doc_id", "text")), 0.02).alias("n")).limit(most_languages + 1).collect()
     if len(found) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     frequency = document_frequencies(rows)
@@ -162,7 +163,9 @@ def fit(docs: DataFrame, per_language: int = 500, longest: int = 20_000, cluster
     texts: dict[str, list[str]] = {}
     if found:
         draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        for r in rows.filter(sized & (draw < share[F.col("lang")])).orderBy("lang", "doc_id", "text").limit(2 * per_language * len(found)).collect():
+        drawn = rows.filter(sized & (draw < share[F.col("lang")])).dropDuplicates(["lang", "doc_id", "text"])
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))
+        for r in drawn.withColumn("_nth", nth).filter(F.col("_nth") <= 2 * per_language).orderBy("lang", "doc_id", "text").collect():
             texts.setdefault(r["lang"], []).append(r["text"])
     letters, languages, centroids, language_of, least = _letters(), [], [], [], []
     for lang in sorted(texts):

@@ -5,8 +5,8 @@ Documents with equal shingle sets form a class, and one of each class goes on. I
 that only one document has can't agree with any; of the others, in the order from rare to frequent, two such documents
 must already share one in a prefix that leaves MATCHES - 1 of all coordinates out. Only prefixes are joined.
 
-Large groups of near copies would give all their pairs. So every posting is first compared with one hub only, the
-document whose values are the most common; links confirmed there join most of such a group into one component. Only pairs
+Large groups of near copies would give all their pairs. So every posting is first held against one hub only, the
+document whose values are the most common; pairs that collide in MATCHES coordinates are confirmed, and these links join most of such a group into one component. Only pairs
 of different components are compared afterwards, each at the first value that their prefixes share, by what either is
 known to have in common with the hub and besides it: no pair is made that isn't a link. At a value, a node meets only those
 of a size that could be similar to it given how many of its shingles any other node has at all.
@@ -14,8 +14,12 @@ of a size that could be similar to it given how many of its shingles any other n
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from lanewright.llm.components import components
 from lanewright.llm.shingles import Powers, shingle_sets, stirred
 
 COORDINATES, MATCHES = 48, 24
+LEADING = COORDINATES - MATCHES + 1
 THRESHOLD = (75, 100)  # similarity of a link: 75 / 100 or more
 
 
@@ -67,16 +72,24 @@ def classes_of(able: DataFrame) -> DataFrame:
     return found.select("key", "key2", F.col("key").bitwiseXOR(nth).alias("node"), "rep", "n")
 
 
+def perhaps_shared(able: DataFrame) -> DataFrame:
+    """The rows of able that may have a partner: rows that agree in MATCHES of all coordinates agree in one of any LEADING, so only
+    the first LEADING minima are counted, without their documents, and a filter of fixed size passes over the rest."""
+    counted = able.select(F.explode(F.slice("minima", 1, LEADING)).alias("value")).groupBy("value").agg(F.count("*").alias("times"))
+    bits = written(bits_of(counted.filter("times > 1").select("value")), "bits")
+    return able.filter(reduce(or_, (perhaps_in(bits, F.get("minima", F.lit(i))) for i in range(LEADING))))
+
+
 def postings(able: DataFrame, classes: DataFrame) -> DataFrame:
     """node, key, rep, n, shared (its values that others have, rare ones first), common (how often all of them occur) of the
     classes with MATCHES such values or more."""
-    firsts = able.groupBy("key", "key2").agg(F.first("minima").alias("minima"))
-    posted = firsts.join(classes.select("key", "key2", "node"), ["key", "key2"]).select("node", F.explode("minima").alias("value"))
+    firsts = written(perhaps_shared(able).groupBy("key", "key2").agg(F.first("minima").alias("minima")).join(classes, ["key", "key2"]), "perhaps-shared")
+    posted = firsts.select("node", F.explode("minima").alias("value"))
     frequent = posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     kept = posted.join(frequent, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("_of"))
     common = F.aggregate("_of", F.lit(0).cast("long"), lambda total, x: total + x["times"]).alias("common")
     kept = kept.filter(F.size("_of") >= MATCHES).select("node", F.col("_of.value").alias("shared"), common)
-    return kept.join(classes, "node").select("node", "key", "rep", "n", "shared", "common")
+    return kept.join(firsts.drop("minima", "key2"), "node").select("node", "key", "rep", "n", "shared", "common")
 
 
 def prefix(shared: str = "shared") -> Column:
@@ -112,23 +125,37 @@ def candidate_texts(docs: DataFrame, posted: DataFrame) -> DataFrame:
     return map_batches(found, start, "node long, text string")
 
 
+def linked_to_hubs(pairs: DataFrame, posted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (hub, node) that are links: those that collide in MATCHES coordinates are confirmed on their whole texts. No text
+    moves for the others."""
+    of = lambda x: posted.select(F.col("node").alias(x), F.col("shared").alias(f"shared_{x}"), F.col("n").alias(f"n_{x}"))
+    both = pairs.filter("hub <> node").join(of("hub"), "hub").join(of("node"), "node")
+    both = both.filter((F.size(F.array_intersect("shared_hub", "shared_node")) >= MATCHES) & alike_in_size(F.col("n_hub"), F.col("n_node")))
+    return against_hubs(written(both.select(*pairs.columns), "colliding"), texts).filter("linked").select(*pairs.columns)
+
+
 def against_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """hub, node, hub_rep, rep, common, linked, bits, out of each pair (hub, node), from the full sets made anew from the whole texts.
 
     bits tells which of the hub's shingles the node has, in words of 64; out are the node's other shingles. With a hub's
-    bits and out of two nodes, what they have in common is known exactly.
+    bits and out of two nodes, what they have in common is known exactly. A hub paired with itself has one text moved, not two.
     """
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(of("hub"), "hub").join(of("node"), "node").select("hub", "node", "text_hub", "text_node", "hub_rep", "rep")
+    own = texts.select("node", F.col("text").alias("text_node"))
+    hub = texts.select(F.col("node").alias("hub"), F.col("text").alias("text_hub"))
+    columns = ("hub", "node", "text_hub", "text_node", "hub_rep", "rep")
+    both = pairs.filter("hub <> node").join(hub, "hub").join(own, "node").select(*columns)
+    both = both.union(pairs.filter("hub = node").join(own, "node").withColumn("text_hub", F.lit(None).cast("string")).select(*columns))
     longs = pa.list_(pa.int64())
 
     def start():
         powers = Powers()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            alone = pc.is_null(batch.column(2)).to_pylist()
             sets = shingle_sets([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()], powers)
             common, linked, bits, out = [], [], [], []
-            for x, y in zip(sets[: batch.num_rows], sets[batch.num_rows :], strict=True):
+            for x, y, self in zip(sets[: batch.num_rows], sets[batch.num_rows :], alone, strict=True):
+                x = y if self else x
                 place = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
                 of_hub = x[place] == y
                 has = np.zeros(-(-len(x) // 64) * 64, bool)
@@ -170,9 +197,9 @@ def block(n: Column) -> Column:
 def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes, and node, root of the classes they connect, as structs (rep, node).
 
-    Two nodes of different components meet once, at the hub of the first value that their prefixes share. Their collisions
-    are counted, and since either was compared with that hub, their full sets are too: what both have of it, and what both
-    have besides. A node of whose shingles too few are found in any other node still in question is passed over; `reach` is the
+    A node is confirmed against the hubs it collides with. Two nodes of different components meet once, at the hub of the first
+    value that their prefixes share. Their collisions are counted; either is compared with that hub then, so that their full sets
+    are compared too: what both have of it, and what both have besides. A node of whose shingles too few are found in any other node still in question is passed over; `reach` is the
     largest set that a node could be similar to, and the smaller of two nodes goes to the blocks within its reach.
     """
     texts = written(candidate_texts(docs, posted).dropDuplicates(["node"]), "candidates")
@@ -180,16 +207,16 @@ def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = posted.select("node", "rep", "common", F.explode("prefix").alias("value"))
     hubs = values.groupBy("value").agg(F.max("common").alias("common")).join(values, ["value", "common"]).groupBy("value").agg(F.min("node").alias("hub"))
     hubs = written(hubs.join(posted.select(F.col("node").alias("hub"), F.col("rep").alias("hub_rep")), "hub"), "hubs")
-    tried = values.join(hubs, "value").select("hub", "node", "hub_rep", "rep").distinct()
-    tested = written(against_hubs(tried, texts), "compared")
+    tried = written(values.join(hubs, "value").select("hub", "node", "hub_rep", "rep").distinct(), "tried")
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found = tested.filter("linked and hub <> node").select(*ends(F.struct(F.col("hub_rep").alias("rep"), F.col("hub").alias("node")), F.struct("rep", "node")))
+    found = written(linked_to_hubs(tried, posted, texts), "links-to-hubs").select(*ends(F.struct(F.col("hub_rep").alias("rep"), F.col("hub").alias("node")), F.struct("rep", "node")))
     roots = components(found).select("node.node", F.col("root.node").alias("root"))
 
     placed_ = posted.select("node", F.explode("prefix").alias("value")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "value")
     split = placed_.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
     met = placed_.join(split, "value").join(hubs, "value").groupBy("node", "root", "hub").agg(F.collect_list("value").alias("values"))
     met = written(met, "members")
+    tested = written(against_hubs(tried.join(met.select("hub", "node"), ["hub", "node"], "left_semi"), texts), "compared")
     nodes = posted.select("node", "rep", "n", "shared").join(own_shingles(met.select("node").distinct(), texts), "node", "left")
     nodes = nodes.withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("reach", F.expr(f"rest * {sum(THRESHOLD)} div {THRESHOLD[0]} - n")).drop("own")
     nodes = nodes.filter(F.col("rest") * THRESHOLD[1] >= F.col("n") * THRESHOLD[0])

@@ -77,7 +77,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int, seed: int) -> list[tuple[bytes, int]]:
     """At most per_label whole training texts of each label, of at most `longest` characters, in an order drawn by seed.
 
-    Only ids and lengths are shuffled; the texts come from one more scan against the chosen ids (2 x per_label at most).
+    Only ids and lengths are shuffled; the texts come from one more scan against the chosen ids (2 x per_label at most). An id gives
+    one text, drawn by a hash, however many rows it has.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)").distinct()
     sized = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest) & ~held_out()).select("doc_id")
@@ -87,7 +88,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int, see
         return []
     ids = F.broadcast(docs.sparkSession.createDataFrame([(r["_id"], r["_label"], r["_draw"]) for r in chosen], "_id long, _label int, _draw long"))
     rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(ids, F.col("_id") == F.col("doc_id"))
-    rows = rows.select("_draw", "_id", "text", "_label").orderBy("_draw", "_id", "text").limit(4 * per_label).collect()
+    one = F.min_by("text", F.struct(F.xxhash64("text", F.lit(seed)), "text")).alias("text")
+    rows = rows.groupBy("_draw", "_id", "_label").agg(one).orderBy("_draw", "_id", "text").collect()
     return [(r["text"].encode("utf-8"), r["_label"]) for r in rows]
 
 

@@ -111,3 +111,30 @@ def test_language_keeps_pieces_of_held_out_texts(spark):
     for n in (1, 2, 4, 8, 16, 32, 64):
         judged = L.judge(model, letters, [" ".join(w[len(w) // 2 :][:n]) for w in texts if len(w) >= 2 * n])
         assert sum(r for language, _, r in judged if language != L.UNKNOWN) <= 0.01 * len(judged)
+
+
+def repeated(spark, docs, row_, times):
+    """docs and one more row that stands there many times."""
+    from pyspark.sql import functions as F
+
+    one = spark.createDataFrame([row_], docs.schema)
+    return docs.union(one.select(*one.columns, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_again")).drop("_again"))
+
+
+def test_a_repeated_row_pushes_out_no_language(spark):
+    docs = spark.read.parquet(f"{FACTS}/documents.parquet")
+    one = docs.filter("lang = 'de' and length(text) between 200 and 3000 and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").first()
+    assert not out(one["doc_id"])
+    model = L.fit(repeated(spark, docs, one, 6000))
+    assert model.languages == L.fit(docs).languages and len(model.languages) == 4
+    held = {r["doc_id"]: (r["lang"], r["lang_pred"]) for r in L.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect() if out(r["doc_id"])}
+    assert sum(a == b for a, b in held.values()) / len(held) > 0.97
+
+
+def test_copies_of_a_training_id_leave_both_labels(spark):
+    docs, labels = spark.read.parquet(f"{FACTS}/documents.parquet"), spark.read.parquet(f"{FACTS}/labels.parquet")
+    of = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    for label in (0, 1):
+        one = next(r for r in docs.collect() if of.get(r["doc_id"]) == label and not out(r["doc_id"]) and r["text"] and len(r["text"]) < 2000)
+        chosen = Q.sample(repeated(spark, docs, one, 12_000), labels, 100, 20_000, 7)
+        assert sum(k == label for _, k in chosen) == sum(k != label for _, k in chosen) == 100 == len({t for t, k in chosen if k == label})
