@@ -14,9 +14,6 @@ of a size that could be similar to it given how many of its shingles any other n
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,17 +70,19 @@ def classes_of(able: DataFrame) -> DataFrame:
 
 
 def perhaps_shared(able: DataFrame) -> DataFrame:
-    """The rows of able that may have a partner: rows that agree in MATCHES of all coordinates agree in one of any LEADING, so only
-    the first LEADING minima are counted, without their documents, and a filter of fixed size passes over the rest."""
-    counted = able.select(F.explode(F.slice("minima", 1, LEADING)).alias("value")).groupBy("value").agg(F.count("*").alias("times"))
+    """key, key2, minima of the classes that may have a partner: rows that agree in MATCHES of all coordinates agree in one of any
+    LEADING, so only the first LEADING minima are counted, without their documents, and a filter of fixed size passes over the rest."""
+    leading = F.explode(F.slice("minima", 1, LEADING)).alias("value")
+    counted = able.select(leading).groupBy("value").agg(F.count("*").alias("times"))
     bits = written(bits_of(counted.filter("times > 1").select("value")), "bits")
-    return able.filter(reduce(or_, (perhaps_in(bits, F.get("minima", F.lit(i))) for i in range(LEADING))))
+    rows = able.select("key", "key2", "minima", leading).filter(perhaps_in(bits, F.col("value")))
+    return rows.groupBy("key", "key2").agg(F.first("minima").alias("minima"))
 
 
 def postings(able: DataFrame, classes: DataFrame) -> DataFrame:
     """node, key, rep, n, shared (its values that others have, rare ones first), common (how often all of them occur) of the
     classes with MATCHES such values or more."""
-    firsts = written(perhaps_shared(able).groupBy("key", "key2").agg(F.first("minima").alias("minima")).join(classes, ["key", "key2"]), "perhaps-shared")
+    firsts = written(perhaps_shared(able).join(classes, ["key", "key2"]), "perhaps-shared")
     posted = firsts.select("node", F.explode("minima").alias("value"))
     frequent = posted.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     kept = posted.join(frequent, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("_of"))
