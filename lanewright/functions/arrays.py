@@ -1,19 +1,31 @@
-"""Samplers, consecutive deduplication, clipping and interpolation of ordered points held in an array."""
+"""Samplers, consecutive deduplication, running ways, clipping and interpolation of ordered points held in an array.
+
+All are column expressions: nothing leaves the JVM. An array that is looked at again and again is bound once, by let().
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lanewright.settings import EARTH_RADIUS_M
+from lanewright.functions.geo import between_points_m
 
 POINTS = "array<struct<lon:double,lat:double,z:double,timestamp:string>>"
-POINT = T.StructType([T.StructField(n, t) for n, t in (("lon", T.DoubleType()), ("lat", T.DoubleType()), ("z", T.DoubleType()), ("timestamp", T.StringType()))])
 SAME_DEG = 1e-12
+SHORTEST_M = 1e-9  # segments no longer than that are passed over when a place is looked up
+BLOCK = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once (a one-element transform binds it)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def places(n: Column, first: int = 0) -> Column:
+    """first, first + 1, ... up to n - 1; none where n is no larger than first."""
+    return F.when(n > first, F.sequence(F.lit(first), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def sample_even(items: Column, most: int) -> Column:
@@ -38,84 +50,95 @@ def sample_stride(items: Column, most: int) -> Column:
     return F.when(n <= most, items).otherwise(whole)
 
 
-def keep_places(lon: list[float], lat: list[float], within: float = SAME_DEG) -> list[int]:
-    """Places of the points that differ from the last one kept by `within` or more on an axis."""
-    kept: list[int] = []
-    for i, (x, y) in enumerate(zip(lon, lat, strict=True)):
-        if not kept or abs(x - lon[kept[-1]]) >= within or abs(y - lat[kept[-1]]) >= within:
-            kept.append(i)
-    return kept
+def differ(a: Column, b: Column) -> Column:
+    return (F.abs(a["lon"] - b["lon"]) >= SAME_DEG) | (F.abs(a["lat"] - b["lat"]) >= SAME_DEG)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _kept(lon: pd.Series, lat: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else keep_places(list(x), list(y)) for x, y in zip(lon, lat, strict=True)])
+def dedup_consecutive(points: Column) -> Column:
+    """The points without those equal to the last one kept (not merely to the one before them).
 
+    Both are the same unless points creep on by less than SAME_DEG at a time without standing still. Only arrays in which some do
+    are walked along point by point.
+    """
+
+    def walked(all_: Column) -> Column:
+        none = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("int").alias("last"))
+        step = lambda acc, i: F.when(acc["last"].isNull() | differ(F.get(all_, i), F.get(all_, acc["last"])), F.struct(F.concat(acc["kept"], F.array(i)).alias("kept"), i.alias("last"))).otherwise(acc)
+        return F.transform(F.aggregate(places(F.size(all_)), none, step, lambda acc: acc["kept"]), lambda i: F.get(all_, i))
+
+    def kept(all_: Column) -> Column:
+        moved = lambda p, i: (i == 0) | differ(p, F.get(all_, i - 1))
+        before = lambda i: F.get(all_, i - 1)
+        creeps = F.exists(places(F.size(all_), 1), lambda i: ~differ(F.get(all_, i), before(i)) & ((F.get(all_, i)["lon"] != before(i)["lon"]) | (F.get(all_, i)["lat"] != before(i)["lat"])))
+        return F.when(creeps, walked(all_)).otherwise(F.filter(all_, moved))
+
+    return F.when(points.isNotNull(), let(points, kept))
 
-def dedup_consecutive(points: Column) -> Column:
-    """The points without those equal to the last one kept (not merely to the one before them)."""
-    return F.transform(_kept(F.transform(points, lambda p: p["lon"]), F.transform(points, lambda p: p["lat"])), lambda i: F.get(points, i))
 
+def hops_m(points: Column) -> Column:
+    """The way to each point from the one before it, 0 to the first."""
+    return F.transform(points, lambda p, i: F.when(i == 0, F.lit(0.0)).otherwise(between_points_m(F.get(points, i - 1), p)))
 
-def hop_m(a: dict, b: dict) -> float:
-    p, q = math.radians(a["lat"]), math.radians(b["lat"])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
 
+def running(values: Column) -> Column:
+    """The sum up to each value, that one included. Sums of blocks first, so an array of n takes about n x BLOCK additions."""
+    add = lambda total, x: total + x
+    sums = lambda of: F.transform(of, lambda x, i: F.aggregate(F.slice(of, 1, i + 1), F.lit(0.0), add))
+    inside = lambda all_, j: F.slice(all_, j * BLOCK + 1, F.lit(BLOCK))
 
-def between(a: dict, b: dict, ratio: float) -> dict:
-    """The point at a ratio of the way; z only where both have one."""
-    z = None if a.get("z") is None or b.get("z") is None else a["z"] + (b["z"] - a["z"]) * ratio
-    return {"lon": a["lon"] + (b["lon"] - a["lon"]) * ratio, "lat": a["lat"] + (b["lat"] - a["lat"]) * ratio, "z": z, "timestamp": None}
+    def blocks(all_: Column) -> Column:
+        numbers = places(F.ceil(F.size(all_) / F.lit(float(BLOCK))).cast("int"))
+        whole = F.transform(numbers, lambda j: F.aggregate(inside(all_, j), F.lit(0.0), add))
+        part = lambda before, j: F.transform(let(inside(all_, j), sums), lambda x: x + F.when(j > 0, F.get(before, j - 1)).otherwise(F.lit(0.0)))
+        return let(let(whole, sums), lambda before: F.flatten(F.transform(numbers, lambda j: part(before, j))))
 
+    return F.when(values.isNotNull(), let(values, blocks))
 
-def running_m(points: list[dict]) -> list[float]:
-    """The way to each point."""
-    out = [0.0]
-    for a, b in zip(points, points[1:], strict=False):
-        out.append(out[-1] + hop_m(a, b))
-    return out
 
+def running_m(points: Column) -> Column:
+    """The way to each point along the line."""
+    return running(let(points, hops_m))
 
-def point_at(points: list[dict], offset: float) -> dict:
-    """The point at an offset along the line, cut to its ends; segments of no length are passed over."""
-    way = running_m(points)
-    offset = min(max(0.0, offset), way[-1])
-    for i in range(1, len(points)):
-        step = way[i] - way[i - 1]
-        if step > 1e-9 and way[i] >= offset:
-            return between(points[i - 1], points[i], (offset - way[i - 1]) / step)
-    return points[-1]
 
+def on_line(points: Column, way: Column, offset: Column) -> Column:
+    """The point at an offset within the line: on the first segment that reaches it and has a length; else the last point.
+    z only where both ends have one."""
+    i = F.get(F.filter(places(F.size(points), 1), lambda i: (F.get(way, i) - F.get(way, i - 1) > SHORTEST_M) & (F.get(way, i) >= offset)), F.lit(0))
 
-def clip(points: list[dict], start: float, end: float) -> list[dict]:
+    def at(i: Column) -> Column:
+        a, b, before = F.get(points, i - 1), F.get(points, i), F.get(way, i - 1)
+        ratio = (offset - before) / (F.get(way, i) - before)
+        between = lambda c: (a[c] + (b[c] - a[c]) * ratio).alias(c)
+        return F.struct(between("lon"), between("lat"), between("z"), F.lit(None).cast("string").alias("timestamp"))
+
+    return let(i, lambda i: F.when(i.isNotNull(), at(i)).otherwise(F.element_at(points, -1)))
+
+
+def within(offset: Column, way: Column) -> Column:
+    """The offset cut to the ends of the line."""
+    return F.least(F.greatest(F.lit(0.0), offset.cast("double")), F.element_at(way, -1))
+
+
+def with_way(points: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(points, way to each) where there are points, else null."""
+    return F.when(F.size(points) > 0, let(points, lambda p: let(running_m(p), lambda way: body(p, way))))
+
+
+def point_at_offset(points: Column, offset: Column) -> Column:
+    """The point at an offset along the line, cut to its ends; null without points or offset."""
+    return F.when(offset.isNotNull(), with_way(points, lambda p, way: let(within(offset, way), lambda x: on_line(p, way, x))))
+
+
+def clip_polyline(points: Column, start: Column, end: Column) -> Column:
     """The line from one offset to another: none where end is before start, one point where they are equal, else both
-    ends and the vertices strictly between."""
-    if not points:
-        return []
-    way = running_m(points)
-    start, end = (min(max(0.0, x), way[-1]) for x in (start, end))
-    if end < start:
-        return []
-    if abs(end - start) <= 1e-6:
-        return [point_at(points, start)]
-    line = [point_at(points, start), *(p for p, w in zip(points, way, strict=True) if start < w < end)]
-    last = point_at(points, end)
-    if abs(last["lon"] - line[-1]["lon"]) > SAME_DEG or abs(last["lat"] - line[-1]["lat"]) > SAME_DEG:
-        line.append(last)
-    return line
-
-
-def _points(value) -> list[dict] | None:
-    return None if value is None else [dict(p) for p in value]
-
-
-@F.pandas_udf(T.ArrayType(POINT))
-def clip_polyline(points: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or pd.isna(s) or pd.isna(e) else clip(_points(p), s, e) for p, s, e in zip(points, start, end, strict=True)])
-
-
-@F.pandas_udf(POINT)
-def point_at_offset(points: pd.Series, offset: pd.Series) -> pd.DataFrame:
-    none = {"lon": None, "lat": None, "z": None, "timestamp": None}
-    return pd.DataFrame([none if p is None or not len(p) or pd.isna(o) else point_at(_points(p), o) for p, o in zip(points, offset, strict=True)], columns=list(none))
+    ends and the vertices strictly between. Null where one of the three is."""
+
+    def part(p: Column, way: Column, a: Column, b: Column) -> Column:
+        first = F.array(on_line(p, way, a))
+        vertices = F.filter(p, lambda x, i: (F.get(way, i) > a) & (F.get(way, i) < b))
+        line = lambda so_far: let(on_line(p, way, b), lambda last: F.when(differ(F.element_at(so_far, -1), last), F.concat(so_far, F.array(last))).otherwise(so_far))
+        whole = F.when(F.abs(b - a) <= 1e-6, first).otherwise(let(F.concat(first, vertices), line))
+        return F.when(b < a, F.array().cast(POINTS)).otherwise(whole)
+
+    cut = with_way(points, lambda p, way: let(within(start, way), lambda a: let(within(end, way), lambda b: part(p, way, a, b))))
+    return F.when(points.isNotNull() & start.isNotNull() & end.isNotNull(), F.coalesce(cut, F.array().cast(POINTS)))

@@ -85,7 +85,7 @@ def visible(planned: DataFrame, lanes: DataFrame, keys: list[str]) -> DataFrame:
     rows = planned.select(*keys, "o_proj", "d_proj", F.size("path").alias("n"), F.posexplode("path").alias("pos", "uid")).join(lanes.select("uid", "points", "length_m"), "uid")
     first, last = F.col("pos") == 0, F.col("pos") == F.col("n") - 1
     start, end = F.when(first, F.col("o_proj.offset_m")).otherwise(F.lit(0.0)), F.when(last, F.col("d_proj.offset_m")).otherwise(F.col("length_m"))
-    return rows.select(*keys, "pos", "uid", F.when(first | last, clip_polyline("points", start, end)).otherwise(F.col("points")).alias("points"))
+    return rows.select(*keys, "pos", "uid", F.when(first | last, clip_polyline(F.col("points"), start, end)).otherwise(F.col("points")).alias("points"))
 
 
 def visible_line(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lanewright.functions import arrays as A
 from lanewright.functions.geo import haversine_m, in_box, polyline_m
 from lanewright.functions.text import device_id, stripped
+from tests import plain_lines as P
 
 POINT = "struct<lon:double,lat:double,z:double,timestamp:string>"
 
@@ -24,7 +25,7 @@ def frame(spark, *lines):
 def test_lengths(spark):
     line = [p(1, 2), p(1.001, 2), p(1.001, 2.002)]
     got = [r[0] for r in frame(spark, line, line[:1], [], None).orderBy("i").select(polyline_m(F.col("points"))).collect()]
-    assert got[0] == pytest.approx(A.running_m(line)[-1], abs=1e-9) and got[1:] == [0.0, 0.0, None]
+    assert got[0] == pytest.approx(P.running_m(line)[-1], abs=1e-9) and got[1:] == [0.0, 0.0, None]
     one = spark.range(1).select(haversine_m(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0))).first()[0]
     assert one == pytest.approx(math.pi * 6371000.0)
     assert spark.range(1).select(haversine_m(F.lit(None).cast("double"), F.lit(0.0), F.lit(180.0), F.lit(0.0))).first()[0] is None
@@ -78,27 +79,71 @@ LINES = st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1,
 @settings(max_examples=200, deadline=None)
 @given(LINES, st.floats(-50, 20_000), st.floats(-50, 20_000))
 def test_clip_properties(line, start, end):
-    whole = A.running_m(line)[-1]
-    got = A.clip(line, start, end)
+    whole = P.running_m(line)[-1]
+    got = P.clip(line, start, end)
     low, high = (min(max(0.0, x), whole) for x in (start, end))
     if high < low:
         assert got == []
     else:
-        assert A.running_m(got)[-1] == pytest.approx(high - low, abs=0.01)
-    assert A.running_m(A.clip(line, 0, whole))[-1] == pytest.approx(whole, abs=0.01)
+        assert P.running_m(got)[-1] == pytest.approx(high - low, abs=0.01)
+    assert P.running_m(P.clip(line, 0, whole))[-1] == pytest.approx(whole, abs=0.01)
 
 
 def test_point_at_and_clip_cases(spark):
     line = [p(0, 0, 1.0), p(0, 0, 1.0), p(0.001, 0, 3.0), p(0.002, 0)]
-    m = A.hop_m(line[1], line[2])
-    assert A.point_at(line, m / 2)["z"] == pytest.approx(2.0) and A.point_at(line, 1.5 * m)["z"] is None
-    assert A.point_at(line, -5)["lon"] == 0 and A.point_at(line, 1e9)["lon"] == pytest.approx(0.002)
-    assert A.point_at([p(3, 3)], 7) == p(3, 3)
-    assert len(A.clip(line, m, m)) == 1 and A.clip(line, 2, 1) == [] and [x["lon"] for x in A.clip(line, 0, m)] == pytest.approx([0, 0.001])
-    rows = frame(spark, line, None).orderBy("i").select(A.clip_polyline("points", F.lit(0.0), F.lit(m)).alias("c"), A.point_at_offset("points", F.lit(m)).alias("q")).collect()
+    m = P.hop_m(line[1], line[2])
+    assert P.point_at(line, m / 2)["z"] == pytest.approx(2.0) and P.point_at(line, 1.5 * m)["z"] is None
+    assert P.point_at(line, -5)["lon"] == 0 and P.point_at(line, 1e9)["lon"] == pytest.approx(0.002)
+    assert P.point_at([p(3, 3)], 7) == p(3, 3)
+    assert len(P.clip(line, m, m)) == 1 and P.clip(line, 2, 1) == [] and [x["lon"] for x in P.clip(line, 0, m)] == pytest.approx([0, 0.001])
+    rows = frame(spark, line, None).orderBy("i").select(A.clip_polyline(F.col("points"), F.lit(0.0), F.lit(m)).alias("c"), A.point_at_offset(F.col("points"), F.lit(m)).alias("q")).collect()
     assert len(rows[0]["c"]) == 2 and rows[0]["q"]["lon"] == pytest.approx(0.001) and rows[1]["c"] is None
 
 
 def test_text(spark):
     row = spark.range(1).select(device_id(F.lit("TLE00860CR矿")), device_id(F.lit("矿")), stripped(F.lit(" \t　x y\n ")), device_id(F.lit(None).cast("string"))).first()
     assert list(row) == ["TLE00860CR", "矿", "x y", None]
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    lists = [[rng.random() for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 129, 1000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)] + [(99, None)], "i int, x array<double>").orderBy("i")
+    got = [r[0] for r in df.select(A.running(F.col("x"))).collect()]
+    assert got[-1] is None and all(g == pytest.approx([math.fsum(x[: k + 1]) for k in range(len(x))]) for g, x in zip(got, lists))
+
+
+def test_lines_as_walked_one_by_one(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(400):
+        line = [p(1 + rng.randint(0, 6) / 1e4, 2 + rng.randint(0, 6) / 1e4, rng.choice([None, 1.0, 4.5])) for _ in range(rng.choice([0, 1, 2, 3, 9, 70, 150]))]
+        if line and rng.random() < 0.3:
+            line += [dict(line[-1])] * 2
+        whole = P.running_m(line)[-1] if line else 0.0
+        place = lambda: rng.choice([0.0, whole, -3.0, whole * 2, rng.random() * whole])
+        rows.append((line, place(), place()))
+    df = spark.createDataFrame([(i, [tuple(x.values()) for x in line], a, b) for i, (line, a, b) in enumerate(rows)], f"i int, points array<{POINT}>, a double, b double")
+    got = df.orderBy("i").select(A.clip_polyline(F.col("points"), F.col("a"), F.col("b")).alias("c"), A.point_at_offset(F.col("points"), F.col("a")).alias("q")).collect()
+    flat = lambda x: [x["lon"], x["lat"], x["z"]]
+    for r, (line, a, b) in zip(got, rows, strict=True):
+        want = P.clip(line, a, b)
+        assert len(r["c"]) == len(want) and all(flat(x) == pytest.approx(flat(y), abs=1e-9) for x, y in zip(r["c"], want))
+        assert flat(r["q"]) == pytest.approx(flat(P.point_at(line, a)), abs=1e-9) if line else r["q"] is None
+    none = df.filter("i = 5").select(A.clip_polyline(F.lit(None).cast(A.POINTS), F.col("a"), F.col("b")), A.clip_polyline(F.col("points"), F.lit(None).cast("double"), F.col("b")), A.point_at_offset(F.col("points"), F.lit(None).cast("double"))).first()
+    assert list(none) == [None, None, None]
+
+
+def test_repeats_as_walked_one_by_one(spark):
+    rng = random.Random(3)
+    lines = []
+    for _ in range(300):
+        x, line = 0.0, []
+        for _ in range(rng.choice([0, 1, 5, 60])):
+            x += rng.choice([0.0, 0.0, 3e-13, 6e-13, 1e-12, 1.0])
+            line.append(p(x, rng.choice([0.0, 0.0, 0.0, 1.0])))
+        lines.append(line)
+    got = frame(spark, *lines).orderBy("i").select(A.dedup_consecutive(F.col("points")).alias("q")).collect()
+    for r, line in zip(got, lines, strict=True):
+        kept = P.keep_places([x["lon"] for x in line], [x["lat"] for x in line])
+        assert [(x["lon"], x["lat"]) for x in r["q"]] == [(line[i]["lon"], line[i]["lat"]) for i in kept]

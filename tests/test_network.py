@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lanewright.functions.arrays import hop_m
+from tests.plain_lines import hop_m
 from lanewright.functions.geo import polyline_m
 from lanewright.operators import features, network, paths, routes, snapping, tracks
 from lanewright.operators.paths import Network, search
@@ -101,8 +101,7 @@ def test_large_boxes_and_long_lanes_take_few_cells(spark):
     vertices = spark.createDataFrame([(1, 20.0, 20.0), (2, 110.0005, 40.0005), (3, -1.0, 5.0)], "f int, lon double, lat double")
     assert sorted(map(tuple, features.met_by_boxes(vertices, ["f"], box, ["k"]).collect())) == [("small", 2), ("stray", 1)]
     own = lanes_of(spark, {"long": ([(100, 30), (110, 40)], [], []), "near": ([(105, 35.0001), (105.0001, 35.0001)], [], [])})
-    parts = snapping.segments(own)
-    assert snapping.posted(parts, 0.001).count() <= 8
+    assert snapping.posted(snapping.segments(own)).count() <= 8
     points = spark.createDataFrame([(1, 105.0, 35.0), (2, 100.0, 30.0)], "q int, lon double, lat double")
     got = {(r["q"], r["rank"]): r["uid"] for r in snapping.nearest_lanes(points, own, ["q"], 2).collect()}
     assert got[1, 1] == "long" and got[2, 1] == "long" and len(got) == 4
@@ -132,6 +131,26 @@ def test_nearest_equals_all_pairs(spark):
     assert sorted((r["q"], r["rank"], r["uid"]) for r in near) == sorted((q, i + 1, u) for q, us in want.items() for i, u in enumerate(us[:4]))
 
 
+def test_stray_points_equal_all_pairs_and_meet_few_segments(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = {f"{i}-{j}": ([(110 + i / 1000, 40 + j * 8e-4), (110 + (i + 0.9) / 1000, 40 + j * 8e-4)], [], []) for i in range(20) for j in range(60)}
+    lines |= {"long": ([(109, 39), (112, 43)], [], []), "one": ([(110.01, 40.01)], [], []), "over": ([(-179.9, 10), (-179.8, 10)], [], []), "pole": ([(20, 89.9)], [], [])}
+    own = lanes_of(spark, lines)
+    stray = [(0.001 * i, 0.0) for i in range(40)] + [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(60)] + [(179.99, 10.0), (110.01, 40.0101), (110.5, 40.02), (0.0, 90.0), (-180.0, -90.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(stray)], "q int, lon double, lat double")
+    met = []
+    whole = snapping.descended
+    monkeypatch.setattr(snapping, "descended", lambda *a: met.append((whole(*a), a[1])) or met[-1][0])
+    near = snapping.nearest_lanes(points, own, ["q"], 4).select("q", "rank", "uid").collect()
+    every = snapping.project(points.crossJoin(snapping.segments(own)), ["q", "lon", "lat"]).select("q", "snap_dist_m", "lane_ord", "uid").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r["snap_dist_m"], r["lane_ord"])):
+        want.setdefault(r["q"], []).append(r["uid"])
+    assert sorted((r["q"], r["rank"], r["uid"]) for r in near) == sorted((q, i + 1, u) for q, us in want.items() for i, u in enumerate(us[:4]))
+    cells, parts = met[0]
+    assert cells.join(parts, snapping.CELL).count() < 100 * len(stray)
+
+
 def test_objective_wins_over_graph_cost_and_backward_is_dropped(spark):
     rows = {
         "1": ([(0, 0), (0.002, 0)], ["2"], []), "2": ([(0.002, 0), (0.004, 0)], [], []),
