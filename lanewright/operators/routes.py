@@ -23,7 +23,7 @@ def candidates(ends: DataFrame, lanes: DataFrame, keys: list[str], settings: Set
 
 
 def jumps(edges: DataFrame, links: DataFrame, lanes: DataFrame) -> DataFrame:
-    """src, dst, jump_m of the network's edges: nothing between linked lanes however far apart, else the gap."""
+    """src, dst, jump_m of edges of the network: nothing between linked lanes however far apart, else the gap."""
     ends = lanes.select(F.col("uid").alias("src"), "end_point")
     starts = lanes.select(F.col("uid").alias("dst"), "start_point")
     linked = links.select("src", "dst", F.lit(True).alias("linked")).distinct()
@@ -31,6 +31,12 @@ def jumps(edges: DataFrame, links: DataFrame, lanes: DataFrame) -> DataFrame:
     return rows.select("src", "dst", F.when(F.col("linked"), F.lit(0.0)).otherwise(between_points_m(F.col("end_point"), F.col("start_point"))).alias("jump_m"))
 
 
+def hops(ways: DataFrame) -> DataFrame:
+    """src, dst of every two lanes that follow each other on a path."""
+    pairs = F.transform(F.slice("path", F.lit(2), F.size("path")), lambda v, i: F.struct(F.get("path", i).alias("src"), v.alias("dst")))
+    return ways.select(F.explode(pairs).alias("hop")).select("hop.src", "hop.dst").distinct()
+
+
 def metrics(found: DataFrame, ways: DataFrame, lanes: DataFrame, jump: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The candidates that have a way, with lane_m, jump_m, snap_m, total_m, objective_m.
 
@@ -63,7 +69,7 @@ def tried(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame,
     """metrics() of all candidates of every task. Ways are searched once for each pair of lanes, however many tasks ask."""
     found = written(candidates(ends, lanes, keys, settings), "candidates")
     ways = written(paths(edges, found.select(F.col("o_uid").alias("src"), F.col("d_uid").alias("dst")).distinct()), "paths")
-    return metrics(found, ways, lanes, jumps(edges, links, lanes), settings)
+    return metrics(found, ways, lanes, jumps(hops(ways), links, lanes), settings)
 
 
 def plan(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:

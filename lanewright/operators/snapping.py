@@ -17,8 +17,8 @@ from lanewright.operators.network import DEGREE_M
 from lanewright.settings import EARTH_RADIUS_M
 from lanewright.storage import written
 
-GRID_DEG = 0.001
-LOOK_DEG = 0.002
+GRID_DEG = 0.002
+LOOK_DEG = 0.003
 ACROSS = 4  # cells that cover the network on an axis at the top of the pyramid, one more at most
 ALL_LEVELS = 24  # of two each: the largest cell is wider than the globe
 
