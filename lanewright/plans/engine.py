@@ -128,19 +128,17 @@ class Engine:
         shown = layers.route_layers(ends, parts, one, lanes if show_lanes else None, self.settings)
         box = layers.bounds(shown.filter("layer in ('history', 'planned')"), self.settings.fit_padding_deg).first()
         legend = [f"sn {sn.strip()}", f"task {task_id.strip()}", f"driven (red): {row['history_distance_m']:.1f} m", f"planned (blue): {row['planned_distance_m']:.1f} m", f"planned lanes: {row['planned_lane_count']}"]
-        return {"summary": row.asDict(), "map_html": layers.page(shown.collect(), f"{sn} {task_id}", (box["south"], box["west"], box["north"], box["east"]), legend)}
+        return {"summary": row.asDict(), "map_html": layers.page(shown.collect(), f"{sn} {task_id}", (box["south"], box["west"], box["north"], box["east"]), legend, (box["centre_lat"], box["centre_lon"]))}
 
 
 @F.pandas_udf(T.StringType())
 def _page(title: pd.Series, rows: pd.Series, south: pd.Series, west: pd.Series, north: pd.Series, east: pd.Series) -> pd.Series:
-    return pd.Series([layers.page(sorted(r, key=lambda x: (x["layer"], x["kind"])), t, box) for t, r, *box in zip(title, rows, south, west, north, east, strict=True)])
+    return pd.Series([layers.page(r, t, box) for t, r, *box in zip(title, rows, south, west, north, east, strict=True)])
 
 
-def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(pages, status): file, order, device, tasks, html of every task file that can be drawn; file, order, status of every file.
-
-    Features and boxes of all files meet in one join, and pages are made on the executors, one row each.
-    """
+def drawn(spark: SparkSession, tasks_path: str, resource_path: str, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(layers, boxes, tasks, status): rows of the map of every file that can be drawn; its box; its tasks; file, order, status of
+    every file. Features and boxes of all files meet in one join."""
     texts = J.existing(spark, tasks_path, recursive=False)
     found, bad = J.records(texts, strict=True)
     tasks = written(J.batch_tasks(found), "batch-tasks")
@@ -159,12 +157,22 @@ def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Se
         met.append(features.met_by_boxes(vertices, ["feature"], boxes, ["file"]).join(table, "feature"))
     areas, lines = met
     lines = lines.withColumn("points", sample_stride(F.col("points"), settings.batch_lane_points))
-    shown = layers.batch_layers(rows, areas, lines).groupBy("file").agg(F.collect_list(F.struct(*layers.COLUMNS)).alias("rows"))
-    drawn = rows.groupBy("file").agg(F.min("order").alias("order"), F.min("device").alias("device"), F.count("*").alias("tasks"))
-    made = drawn.join(shown, "file").join(exact, "file").select("file", "order", "device", "tasks", _page("device", "rows", "south", "west", "north", "east").alias("html"))
     reasons = bad.groupBy("file").agg(F.min("reason").alias("reason"))
-    status = texts.select("file", "order").join(reasons, "file", "left").join(drawn.select("file", F.lit("written").alias("written")), "file", "left")
-    return made, status.select("file", "order", F.coalesce("reason", "written", F.lit("no track of two points or more")).alias("status"))
+    status = texts.select("file", "order").join(reasons, "file", "left").join(rows.select("file", F.lit("written").alias("written")).distinct(), "file", "left")
+    status = status.select("file", "order", F.coalesce("reason", "written", F.lit("no track of two points or more")).alias("status"))
+    return layers.batch_layers(rows, areas, lines), exact, rows, status
+
+
+def pages(spark: SparkSession, tasks_path: str, resource_path: str, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(pages, status): file, order, device, tasks, html of every task file that can be drawn; file, order, status of every file.
+
+    Pages are made on the executors, one row each.
+    """
+    rows, boxes, tasks, status = drawn(spark, tasks_path, resource_path, settings)
+    shown = rows.groupBy("file").agg(F.collect_list(F.struct(*layers.COLUMNS)).alias("rows"))
+    files = tasks.groupBy("file").agg(F.min("order").alias("order"), F.min("device").alias("device"), F.count("*").alias("tasks"))
+    made = files.join(shown, "file").join(boxes, "file").select("file", "order", "device", "tasks", _page("device", "rows", "south", "west", "north", "east").alias("html"))
+    return made, status
 
 
 def batch_maps(spark: SparkSession, tasks_path: str, resource_path: str, target: str, settings: Settings = DEFAULT) -> list[dict]:

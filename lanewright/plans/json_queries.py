@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.arrays import dedup_consecutive, sample_stride
 from lanewright.functions.geo import polyline_m
-from lanewright.operators import features
+from lanewright.operators import features, routes
+from lanewright.plans import engine, layers
+from lanewright.plans import queries as Q
 from lanewright.plans.json_fixtures import BROKEN, MARKED, STRAY, VIEWS, duck, resource_folder, task_folder
-from lanewright.plans.queries import hop
+from lanewright.plans.queries import DEDUP, DRAWN, ROUTES, hop
 from lanewright.settings import DEFAULT
 from lanewright.sources import json_files as J
 from lanewright.sources import search
@@ -93,10 +95,7 @@ VERTICES = """list_filter(list_transform({list}, lambda p: {{'lon': try_cast(p->
 SEGMENT = "coalesce(json_extract(data, '$.central_curve.segment[{0}].line_segment.point[*]'), [])"
 
 
-@registered(
-    f"""with {duck("fx_features")},
-{ITEMS.replace("{view}", "fx_features").replace(f"case when {STRAY} then 1 else 0 end", "0")},
-named as (
+FEATURES = f"""named as (
   select *, case when json_exists(j, '$."资源名称"') then j->>'资源名称' else '' end as name, regexp_replace(j->>'资源类型ID', '\\.0$', '') as type_id from payloads where json_type(data) = 'OBJECT'),
 parts as (
   select *, {VERTICES.format(list=SEGMENT.format(0))} as one, {VERTICES.format(list=SEGMENT.format(3))} as two, {VERTICES.format(list="coalesce(json_extract(data, '$.polygon.point[*]'), [])")} as ring from named),
@@ -107,7 +106,13 @@ shapes as (
 drawn as (select *, cast(ceil(len(points) / 3.0e0) as bigint) as step from shapes where kind = 'area' or len(points) >= 2),
 sampled as (
   select *, case when kind = 'area' or len(points) <= 3 then points else list_transform(list_filter(range(1, len(points) + 1), lambda i: (i - 1) % step = 0), lambda i: points[i]) end as taken from drawn),
-whole as (select *, case when taken[-1] <> points[-1] then list_append(taken, points[-1]) else taken end as shown from sampled)
+whole as (select *, case when taken[-1] <> points[-1] then list_append(taken, points[-1]) else taken end as shown from sampled)"""
+
+
+@registered(
+    f"""with {duck("fx_features")},
+{ITEMS.replace("{view}", "fx_features").replace(f"case when {STRAY} then 1 else 0 end", "0")},
+{FEATURES}
 select kind, file_no, pos, name, type, type_id, coalesce(name, 'None') || ' | ' || type || ' | 类型ID=' || type_id as tooltip, len(points) as raw_count, len(shown) as n_points,
   round(list_sum([shown[i].lon * i for i in range(1, len(shown) + 1)]), 5) as lon_sum, round(list_sum([shown[i].lat * i for i in range(1, len(shown) + 1)]), 5) as lat_sum
 from whole"""
@@ -168,18 +173,23 @@ def find_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(search.find_tasks(spark, task_folder(spark, sf_dir), asked)[0])
 
 
-@registered(
-    f"""with {duck("fx_fields", "fx_messages")},
-{TASKS},
-ordered as (select *, row_number() over (partition by user_id, t order by time, i) as nth from messages where lon is not null and lat is not null),
+BATCH = f"""ordered as (select *, row_number() over (partition by user_id, t order by time, i) as nth from messages where lon is not null and lat is not null),
 lists as (select user_id, t, count(*) as raw_count, max(speed) as max_speed, list({{'lon': lon, 'lat': lat}} order by nth) as points from ordered group by user_id, t having count(*) >= 2),
 taken as (
   select *, case when raw_count <= 10 then points else list_transform(list_filter(range(1, raw_count + 1), lambda i: (i - 1) % cast(ceil(raw_count / 10.0e0) as bigint) = 0), lambda i: points[i]) end as part from lists),
-shown as (select *, case when part[-1] <> points[-1] then list_append(part, points[-1]) else part end as drawn from taken)
-select file_no, place as pos, 'f' || lpad(cast(file_no as varchar), 9, '0') as device, case when json_exists(j, '$.task_id') then j->>'task_id' else 'unknown' end as task_id,
-  case when json_exists(j, '$.actual_start_time') then j->>'actual_start_time' else '' end as start_time, raw_count, max_speed, len(drawn) as n_points,
-  round(list_sum([drawn[i].lon * i for i in range(1, len(drawn) + 1)]), 5) as lon_sum, round(list_sum([drawn[i].lat * i for i in range(1, len(drawn) + 1)]), 5) as lat_sum
-from placed join shown using (user_id, t) where not silent and not ({BROKEN}) and not ({MARKED}) and not ({STRAY})"""
+shown as (select *, case when part[-1] <> points[-1] then list_append(part, points[-1]) else part end as drawn from taken),
+batch as (
+  select file_no, place as pos, 'f' || lpad(cast(file_no as varchar), 9, '0') as device, case when json_exists(j, '$.task_id') then j->>'task_id' else 'unknown' end as task_id,
+    case when json_exists(j, '$.actual_start_time') then j->>'actual_start_time' else '' end as start_time, raw_count, max_speed, len(drawn) as n_points, drawn
+  from placed join shown using (user_id, t) where not silent and not ({BROKEN}) and not ({MARKED}) and not ({STRAY}))"""
+
+
+@registered(
+    f"""with {duck("fx_fields", "fx_messages")},
+{TASKS},
+{BATCH}
+select file_no, pos, device, task_id, start_time, raw_count, max_speed, n_points,
+  round(list_sum([drawn[i].lon * i for i in range(1, len(drawn) + 1)]), 5) as lon_sum, round(list_sum([drawn[i].lat * i for i in range(1, len(drawn) + 1)]), 5) as lat_sum from batch"""
 )
 def batch_tasks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every task of the files that the batch way can read, with 10 points or one more."""
@@ -190,3 +200,64 @@ def batch_tasks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         file_no(F.col("file")), F.col("pos").cast("long").alias("pos"), "device", "task_id", "start_time", "raw_count", "max_speed", F.size("points").cast("long").alias("n_points"),
         weighted(F.col("points"), "lon").alias("lon_sum"), weighted(F.col("points"), "lat").alias("lat_sum"),
     )
+
+
+LAYERED = replace(DEFAULT, batch_task_points=10, batch_lane_points=3)
+BEHIND = 1 << 30
+
+
+@registered(
+    f"""with {duck("fx_fields", "fx_messages", "fx_features")},
+{TASKS},
+{BATCH},
+{ITEMS.replace("{view}", "fx_features").replace(f"case when {STRAY} then 1 else 0 end", "0")},
+{FEATURES},
+files as (
+  select file_no, min(p.lat) as south, min(p.lon) as west, max(p.lat) as north, max(p.lon) as east from (select file_no, unnest(drawn) as p from batch) group by file_no),
+met as (
+  select distinct f.file_no as map_no, w.kind, w.file_no as in_file, w.pos as in_pos from files f join (select *, unnest(points) as p from whole) w
+    on w.p.lat between f.south - 0.01 and f.north + 0.01 and w.p.lon between f.west - 0.01 and f.east + 0.01),
+features as (
+  select map_no, w.*, row_number() over (partition by map_no, w.kind order by w.file_no, w.pos) - 1 as item from met m join whole w on w.kind = m.kind and w.file_no = m.in_file and w.pos = m.in_pos),
+numbered as (select *, row_number() over (partition by file_no order by pos) - 1 as nth from batch),
+shapes_of as (
+  select file_no, nth as place, 'Task ' || (nth + 1) || ': ' || coalesce(task_id, 'None') || ' | ' || coalesce(start_time, 'None') as layer, 0 as item, 'line' as kind, {list(layers.TASK_COLOURS)}[nth % 20 + 1] as colour, 4.0 as weight, 0.9 as opacity, raw_count, drawn as coords from numbered
+  union all
+  select file_no, nth, 'Task ' || (nth + 1) || ': ' || coalesce(task_id, 'None') || ' | ' || coalesce(start_time, 'None'), 1, 'mark', {list(layers.TASK_COLOURS)}[nth % 20 + 1], 4.0, 1.0, 1, [drawn[1]] from numbered
+  union all
+  select file_no, nth, 'Task ' || (nth + 1) || ': ' || coalesce(task_id, 'None') || ' | ' || coalesce(start_time, 'None'), 2, 'mark', 'red', 4.0, 1.0, 1, [drawn[-1]] from numbered
+  union all
+  select map_no, {BEHIND}, 'lanes', item, 'line', '#555555', 2.0, 0.35, len(points), shown from features where kind = 'line'
+  union all
+  select map_no, {BEHIND} + 1, 'areas', item, 'area', '#3388ff', 2.0, 0.18, len(points), shown from features where kind = 'area')
+select file_no, cast(place as int) as place, layer, item, kind, colour, cast(weight as double) as weight, cast(opacity as double) as opacity, raw_count, len(coords) as n_points,
+  round(list_sum([coords[i].lon * i for i in range(1, len(coords) + 1)]), 5) as lon_sum, round(list_sum([coords[i].lat * i for i in range(1, len(coords) + 1)]), 5) as lat_sum
+from shapes_of"""
+)
+def map_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shape of the batch maps of all files, in order, with its style and the points before sampling."""
+    rows, *_ = engine.drawn(spark, task_folder(spark, sf_dir), resource_folder(spark, sf_dir, "fx_features", plain=True), LAYERED)
+    return rows.select(
+        file_no(F.col("file")), "place", "layer", "item", "kind", "colour", "weight", "opacity", "raw_count", F.size("coords").cast("long").alias("n_points"),
+        weighted(F.col("coords"), "lon").alias("lon_sum"), weighted(F.col("coords"), "lat").alias("lat_sum"),
+    )
+
+
+@registered(
+    f"""{ROUTES},
+{DRAWN},
+{DEDUP},
+shown as (select user_id, v.lat as lat, v.lon as lon from (select user_id, unnest(line) as v from drawn) union all select user_id, lat, lon from kept where user_id in (select user_id from drawn))
+select user_id, round(min(lat) - 0.001, 6) as south, round(min(lon) - 0.001, 6) as west, round(max(lat) + 0.001, 6) as north, round(max(lon) + 0.001, 6) as east, round(avg(lat), 6) as centre_lat, round(avg(lon), 6) as centre_lon
+from shown group by user_id"""
+)
+def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padded box and the centre of the route map of every track: of its driven points and the drawn lanes."""
+    planned, lanes = Q.planned(spark, sf_dir), Q.lanes(spark, sf_dir)
+    parts = routes.visible(planned, lanes, Q.USER).join(lanes.select("uid", "length_m"), "uid").withColumns({"type_id": F.lit(101), "name": F.col("uid")})
+    history = Q.histories(spark, sf_dir).join(planned.select("user_id"), "user_id")
+    ends = planned.select("user_id", "o_proj", "d_proj").join(history, "user_id")
+    for side, at in (("origin", 1), ("destination", -1)):
+        ends = ends.withColumn(side, F.element_at("points", at))
+    rows = layers.route_layers(ends, parts, history, keys=Q.USER)
+    return Q.rounded(layers.bounds(rows.filter("layer in ('history', 'planned')"), DEFAULT.fit_padding_deg, Q.USER))

@@ -292,18 +292,21 @@ def route_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("user_id", F.col("pos").cast("int").alias("pos"), "uid", F.round(polyline_m(F.col("points")), 3).alias("length_m"), *ends)
 
 
-@registered(
-    f"""{ROUTES},
-vertices as (select lane, list({{'way': way_m, 'lon': lon, 'lat': lat}} order by k) as points from walked group by lane),
+DRAWN = """vertices as (select lane, list({'way': way_m, 'lon': lon, 'lat': lat} order by k) as points from walked group by lane),
 parts as (select user_id, unnest(path) as uid, unnest(range(len(path))) as pos, len(path) as n, o_offset, d_offset, o_lon, o_lat, d_lon, d_lat from best where nth = 1),
 cut as (
   select *, pos > 0 and pos < n - 1 as whole, case when pos = 0 then o_offset else 0 end as a, case when pos = n - 1 then d_offset else length_m end as b,
-    {{'way': null, 'lon': case when pos = 0 then o_lon else s_lon end, 'lat': case when pos = 0 then o_lat else s_lat end}} as start_point,
-    {{'way': null, 'lon': case when pos = n - 1 then d_lon else e_lon end, 'lat': case when pos = n - 1 then d_lat else e_lat end}} as end_point
+    {'way': null, 'lon': case when pos = 0 then o_lon else s_lon end, 'lat': case when pos = 0 then o_lat else s_lat end} as start_point,
+    {'way': null, 'lon': case when pos = n - 1 then d_lon else e_lon end, 'lat': case when pos = n - 1 then d_lat else e_lat end} as end_point
   from parts join lanes using (uid) join vertices using (lane)),
 begun as (select *, list_concat([start_point], list_filter(points, lambda v: v.way > a + 1e-9 and v.way < b - 1e-9 and b - a > 1e-6)) as line from cut),
 drawn as (
-  select user_id, pos, uid, case when whole then points when b - a > 1e-6 and (abs(line[-1].lon - end_point.lon) >= 1e-12 or abs(line[-1].lat - end_point.lat) >= 1e-12) then list_append(line, end_point) else line end as line from begun)
+  select user_id, pos, uid, case when whole then points when b - a > 1e-6 and (abs(line[-1].lon - end_point.lon) >= 1e-12 or abs(line[-1].lat - end_point.lat) >= 1e-12) then list_append(line, end_point) else line end as line from begun)"""
+
+
+@registered(
+    f"""{ROUTES},
+{DRAWN}
 select user_id, cast(pos as int) as pos, uid, cast(v as int) as vertex, round(line[v + 1].lon, 6) as lon, round(line[v + 1].lat, 6) as lat
 from (select *, unnest(range(len(line))) as v from drawn)"""
 )

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -96,6 +97,20 @@ def test_searches_are_dealt_to_tasks(spark):
     assert len(paths.from_sources(edges, pairs.select("src")).groupBy(F.spark_partition_id()).count().collect()) > 1
 
 
+def test_proximity_over_the_antimeridian_and_the_poles(spark):
+    rng = random.Random(5)
+    places = [(179.9995, 0.0), (-179.9995, 0.0), (180.0, 10.0), (-180.0, 10.0), (10.0, 89.9999), (-170.0, 89.9999), (100.0, 89.9995), (3.0, 89.99), (3.004, 89.99), (50.0, -89.9999), (-130.0, -89.9999), (0.0, 90.0), (77.0, 90.0), (20.0, 60.0), (20.001, 60.0005)]
+    for lat in (0.0, 45.0, 70.0, 85.0, 89.0, 89.9, 89.99, -89.99, 89.999):
+        for lon in (0.0, 179.9995, -179.9995):
+            wide = 0.0012 / max(math.cos(math.radians(lat)), 1e-5)
+            places += [((lon + rng.uniform(-wide, wide) + 180) % 360 - 180, max(-90.0, min(90.0, lat + rng.uniform(-0.0012, 0.0012)))) for _ in range(8)]
+    own = lanes_of(spark, {str(i): ([p, rng.choice(places)], [], []) for i, p in enumerate(places)})
+    rows = {r["uid"]: r for r in own.collect()}
+    point = lambda x: (x["lon"], x["lat"])
+    want = {(a, b) for a in rows for b in rows if a != b and d(point(rows[a]["end_point"]), point(rows[b]["start_point"])) <= 100}
+    assert {(r["src"], r["dst"]) for r in network.proximity_pairs(own, 100.0).collect()} == want and len(want) > 100
+
+
 def test_large_boxes_and_long_lanes_take_few_cells(spark):
     box = spark.createDataFrame([("stray", 0.0, 0.0, 40.0, 110.0), ("small", 40.0, 110.0, 40.001, 110.001)], "k string, south double, west double, north double, east double")
     vertices = spark.createDataFrame([(1, 20.0, 20.0), (2, 110.0005, 40.0005), (3, -1.0, 5.0)], "f int, lon double, lat double")
