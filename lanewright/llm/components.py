@@ -32,16 +32,20 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("_m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
 
 
+def starlike(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one link, to a root that is linked to no smaller node."""
+    ends = edges.groupBy(F.col("b").alias("node")).agg(F.when(F.count("*") > 1, 2).otherwise(1).alias("times"))
+    roots = edges.select(F.col("a").alias("node"), F.lit(1).alias("times")).distinct()
+    return ends.union(roots).groupBy("node").agg(F.sum("times").alias("times")).filter("times > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b): root is the least node reachable. Nodes can be of any type with an order.
 
     Links of a node with itself and nulls are dropped. Every step is written to the shared folder; the steps end when the
-    links no longer change, after about the square of the logarithm of the number of nodes at most.
+    links are stars, after about the square of the logarithm of the number of nodes at most.
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    mark = None
-    while True:
-        new = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if new == mark:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        mark, edges = new, written(small_star(large_star(edges)), "links")
+    while not starlike(edges):
+        edges = written(small_star(large_star(edges)), "links")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -209,7 +209,8 @@ def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = written(values.join(hubs, "value").select("hub", "node", "hub_rep", "rep").distinct(), "tried")
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     found = written(linked_to_hubs(tried, posted, texts), "links-to-hubs").select(*ends(F.struct(F.col("hub_rep").alias("rep"), F.col("hub").alias("node")), F.struct("rep", "node")))
-    roots = components(found).select("node.node", F.col("root.node").alias("root"))
+    stars = components(found)
+    roots = stars.select("node.node", F.col("root.node").alias("root"))
 
     placed_ = posted.select("node", F.explode("prefix").alias("value")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "value")
     split = placed_.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("value")
@@ -238,8 +239,8 @@ def links(docs: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     meet = meet & alike_in_size(F.col("n_a"), F.col("n_b")) & (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b"))
     end = lambda x: F.struct(F.col(f"rep_{x}").alias("rep"), F.col(f"node_{x}").alias("node"))
     across = a.join(b, meet & enough(most) & once & counted & enough(exactly)).select(*ends(end("a"), end("b")))
-    found = written(found.union(across), "links")
-    return found, components(found)
+    across = written(across, "links-across")
+    return found.union(across), stars if across.isEmpty() else components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(across))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
