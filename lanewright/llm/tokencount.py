@@ -3,7 +3,7 @@
 A text's pre-tokens, SLOT after SLOT, are the leaves of a binary tree whose nodes hold the characters and tokens below
 them. An edit is located by descending the tree; only the leaves it touches, with one that ends two characters earlier
 or more and as many after it as it takes until a pre-token ends where a leaf ends, are split and counted again, and the
-sums above them are updated. A pre-token depends on no more than the two characters after it, so the counts are those of
+sums above them are updated. No leaf ever holds more than SLOT pre-tokens. A pre-token depends on no more than the two characters after it, so the counts are those of
 the whole edited text.
 """
 
@@ -57,11 +57,18 @@ class Tree:
     def of(cls, text: str, counts: Counts) -> Tree:
         pieces = counts.pattern.findall(text)
         starts = np.arange(0, len(pieces), SLOT)
-        leaves = 1 << max(0, (len(starts) - 1)).bit_length() if len(starts) else 1
-        sums = np.zeros((2, 2 * leaves), np.int64)
+        sums = np.zeros((2, len(starts)), np.int64)
         if pieces:
             for row, values in zip(sums, (map(len, pieces), map(counts.__getitem__, pieces)), strict=True):
-                row[leaves : leaves + len(starts)] = np.add.reduceat(np.fromiter(values, np.int64, len(pieces)), starts)
+                row[:] = np.add.reduceat(np.fromiter(values, np.int64, len(pieces)), starts)
+        return cls.over(*sums)
+
+    @classmethod
+    def over(cls, chars: np.ndarray, tokens: np.ndarray) -> Tree:
+        """The tree over given leaves, filled up to a power of two with empty ones."""
+        leaves = 1 << max(0, len(chars) - 1).bit_length()
+        sums = np.zeros((2, 2 * leaves), np.int64)
+        sums[0, leaves : leaves + len(chars)], sums[1, leaves : leaves + len(chars)] = chars, tokens
         at = leaves
         while at > 1:
             sums[:, at // 2 : at] = sums[:, at : 2 * at].reshape(2, -1, 2).sum(axis=2)
@@ -87,7 +94,11 @@ class Tree:
             leaf //= 2
 
     def edit(self, text: str, start: int, length: int, insert: str, counts: Counts) -> tuple[str, int]:
-        """The edited text, and how many pre-tokens were counted again. The tree follows."""
+        """The edited text, and how many pre-tokens were counted again. The tree follows.
+
+        What was counted again goes to the touched leaves and empty ones behind them, SLOT pre-tokens each; where they are too few, the
+        sums are built anew over more leaves, without counting anything else again.
+        """
         new = text[:start] + insert + text[start + length :]
         if not text or not new:
             fresh = Tree.of(new, counts)
@@ -96,19 +107,28 @@ class Tree:
         first, begin = self.leaf_at(max(0, start - 2))
         last, at = self.leaf_at(start + length)
         moved, end = len(new) - len(text), at + int(self.chars[last])  # where the leaf ends in the old text
-        reached, tokens, n = begin, 0, 0
+        reached, found = begin, []
         for piece in counts.pattern.finditer(new, begin):
-            reached, tokens, n = piece.end(), tokens + counts[piece[0]], n + 1
+            reached = piece.end()
+            found.append((reached - piece.start(), counts[piece[0]]))
             while end + moved < reached:
                 last += 1
                 end += int(self.chars[last])
             if reached == end + moved and reached >= start + len(insert):
                 break
-        for leaf in range(first + 1, last + 1):
-            if self.chars[leaf]:
-                self.put(leaf, 0, 0)
-        self.put(first, reached - begin, tokens)
-        return new, n
+        slots = [tuple(map(sum, zip(*found[i : i + SLOT], strict=True))) for i in range(0, len(found), SLOT)]
+        while len(slots) > last - first + 1 and last + 1 < 2 * self.leaves and not self.chars[last + 1]:
+            last += 1
+        if len(slots) <= last - first + 1:
+            for leaf in range(first, last + 1):
+                chars, tokens = slots[leaf - first] if leaf - first < len(slots) else (0, 0)
+                if chars or self.chars[leaf]:
+                    self.put(leaf, chars, tokens)
+        else:
+            parts = np.array([*zip(self.chars[self.leaves : first], self.tokens[self.leaves : first], strict=True), *slots, *zip(self.chars[last + 1 :], self.tokens[last + 1 :], strict=True)], np.int64)
+            fresh = Tree.over(*parts[parts[:, 0] > 0].T)
+            self.chars, self.tokens, self.leaves = fresh.chars, fresh.tokens, fresh.leaves
+        return new, len(found)
 
 
 def clamped(edit: dict, n: int) -> tuple[int, int, str]:
@@ -128,8 +148,8 @@ def trees(docs: DataFrame, ranks: bytes, keep: Iterable[str] = (), rows: int = 1
     is a column of `keep` that is named like one of those made here.
     """
     sent, keep = docs.sparkSession.sparkContext.broadcast(ranks), [c for c in keep if c not in ("doc_id", "text", "n_tokens", "chars", "tokens")]
-    rows_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
-    kept = "".join(f", {c} {rows_of.schema[c].dataType.simpleString()}" for c in keep)
+    rows_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[docs[f"`{c.replace('`', '``')}`"] for c in keep])
+    kept = "".join(f", `{c.replace('`', '``')}` {rows_of.schema[c].dataType.simpleString()}" for c in keep)
 
     def start():
         counts = Counts(sent.value)

@@ -18,7 +18,7 @@ from lanewright.llm import media as D
 from lanewright.llm import pieces as P
 from lanewright.llm import queries
 from lanewright.llm import tokencount as T
-from tests.llm.conftest import SMALL
+from tests.llm.conftest import SMALL, words
 
 # licences
 
@@ -261,6 +261,28 @@ def test_only_the_touched_region_is_counted():
     assert n <= 3 * T.SLOT
 
 
+def test_no_leaf_grows_beyond_its_slot():
+    rng = random.Random(3)
+    text = words(rng, 60_000)
+    tree = T.Tree.of(text, COUNTS)
+    n = len(text)
+    for start, length, insert in ((n // 2, n // 10, text[n // 2 : n // 2 + n // 10].upper()), (n // 4, 0, " (see note 12)"), (n - 5, 5, ""), (7, 20_000, ""), (100, 0, words(rng, 3000))):
+        text, _ = tree.edit(text, start, length, insert, COUNTS)
+    for _ in range(300):
+        text, again = tree.edit(text, len(text), 0, " five more words are here", COUNTS)
+        assert again <= 3 * T.SLOT
+    at = 0
+    for size in tree.chars[tree.leaves :].tolist():
+        assert len(COUNTS.pattern.findall(text[at : at + size])) <= T.SLOT
+        at += size
+    assert at == len(text) == tree.chars[1] and tree.tokens[1] == T.Tree.of(text, COUNTS).tokens[1] and tree.leaves <= 4 * len(COUNTS.pattern.findall(text)) // T.SLOT
+    for _ in range(200):
+        start = rng.randrange(len(text))
+        text, again = tree.edit(text, start, rng.randint(0, 1), rng.choice(["", "x", " ", "é"]), COUNTS)
+        assert again <= 3 * T.SLOT
+    assert tree.tokens[1] == T.Tree.of(text, COUNTS).tokens[1]
+
+
 def test_count_edges(spark, edge, edge_rows, empty):
     from pyspark.sql import functions as F
 
