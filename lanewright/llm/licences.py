@@ -191,8 +191,12 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple[int, in
         tagged |= label is None
         if label:
             notices[start] = max(notices.get(start, (0, "")), (len(phrase), label))
-    labels = base | {label for _, label in notices.values()}
-    free = [FREEDOM[x] for x in labels]
+    labels, free, far = set(base), [], -1
+    for start, (size, label) in sorted(notices.items()):  # a phrase within a longer notice doesn't count beside it
+        if start + size > far:
+            far = start + size
+            labels.add(label)
+            free.append(FREEDOM[label])
     for m in TAG.finditer(text) if tagged else ():
         postfix = tag_expression(text, m)
         if postfix:
@@ -205,9 +209,10 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple[int, in
 def scan(docs: DataFrame, rows: int = 128) -> DataFrame:
     """One row per row of docs: words, places of base phrases, labels and a score.
 
-    score is the least freedom among the document's notices and tag expressions (0 to 1), 0 where it names no licence.
-    Null and empty texts have no words and no labels ('' and null starts). A tag that no expression follows adds nothing.
-    Texts are read whole; repeated rows give repeated results.
+    score is the least freedom among the document's notices and tag expressions (0 to 1), 0 where it names no licence. A phrase
+    that is part of a longer notice has no say in it, though its base label stays. Null and empty texts have no words and no labels
+    ('' and null starts). A tag that no expression follows adds nothing. Texts are read whole; repeated rows give repeated
+    results, other columns of docs are ignored, and an empty table gives an empty one.
     """
 
     def start():

@@ -46,7 +46,8 @@ def test_expressions():
     scan = lambda t: C.scan_text(t, C.automaton(C.BASE | C.NOTICES))
     assert scan("# SPDX-License-Identifier: (BSD-3-Clause OR Foo-1)\ncode")[5:] == ("bsd,foo-1", 1.0)
     assert scan("Licensed under CC BY-NC 4.0.")[4:] == ("", "cc-by-nc", 0.1)
-    assert scan("GNU Lesser General Public License")[4:6] == ("gpl", "gpl,lgpl")
+    lesser, plain = scan("GNU Lesser General Public License"), scan("the GNU Lesser General Public License or the GNU General Public License")
+    assert lesser[4:7] == ("gpl", "gpl,lgpl", 0.5) and plain[4:7] == ("gpl", "gpl,lgpl", 0.3)
     assert scan("spdx-license-identifier: (((")[5:] == ("", 0.0)
 
 
