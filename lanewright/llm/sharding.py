@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import free, prefix_sums, written
 
 ROW_BYTES = 16
+MOST_TASKS = 20_000
 
 
 def with_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -36,7 +37,8 @@ def with_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_bytes:
         .select(bucket, offset, F.shuffle(F.sequence(F.lit(0), (F.col(count) - 1).cast("int")), F.lit(seed)).alias(order))
     )
     permuted = written(permuted, "bucket-order")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)  # 8 buckets a task: it grows with the table
+    # 8 buckets a task, so their number grows with the table, but no more tasks than a driver can look after: then each has more buckets
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, buckets // 8))
     nth = F.row_number().over(Window.partitionBy(bucket).orderBy(draw, "doc_id"))
     placed = rows.repartition(parts, bucket).withColumn(number, nth).join(permuted, bucket).withColumn(place, F.col(offset) + F.get(order, F.col(number) - 1))
     total = F.lit(max(1, n)).cast("long")
