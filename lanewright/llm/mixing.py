@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import free, prefix_sums, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+LEAST_SHARDS, MOST_BLOCK_WORDS = 32, 1 << 16
 WEIGHTS = (5, 2, 1)
 
 
@@ -79,11 +80,12 @@ def sized(docs: DataFrame) -> DataFrame:
     return written(counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), "sizes")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, seed: int = 31, block_words: int = 1 << 16, shard_blocks: int = 64, most_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, seed: int = 31, block_words: int | None = None, shard_blocks: int = 64, most_sources: int = 100_000) -> DataFrame:
     """doc_id, _text, source, _copies, _nth, size, source_size, target, taken, draws: a row per row of docs.
 
     draws holds, for each time the mix takes the document, the pass, the output shard and the words taken: all of them but
-    for at most one document a source, which its quota cuts. Sources are weighted in code point order, a null source last.
+    for at most one document a source, which its quota cuts. A block has block_words words; unless named, so many that the tree
+    has LEAST_SHARDS shards, and MOST_BLOCK_WORDS at most. Sources are weighted in code point order, a null source last.
     Null and empty texts have size 0 and take nothing, but stay in the result. Rows equal in doc_id, text and source are
     numbered and dealt one by one. Other columns are left out; an empty table stays empty. Only the table of sources reaches the driver; more than most_sources raise ValueError.
     """
@@ -94,7 +96,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         raise ValueError(f"more than {most_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share)
-    block_words = max(block_words, sum(r["words"] for r in found) // 250_000_000 + 1)  # the draws hold for under 10^9 blocks
+    words = sum(r["words"] for r in found)
+    if block_words is None:
+        block_words = max(1, min(MOST_BLOCK_WORDS, int(share * words) // (LEAST_SHARDS * shard_blocks)))
+    block_words = max(block_words, words // 250_000_000 + 1)  # the draws hold for under 10^9 blocks
     sources = []
     for i, (r, t) in enumerate(zip(found, goal, strict=True)):
         quota = min(round(t), 2 * r["words"])
@@ -165,9 +170,10 @@ def taken_rows(rows: DataFrame, docs: DataFrame) -> list[Column]:
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The columns of docs, a row for each time the mix takes a document. What it takes of a document that a quota cuts (one a
-    source at most) is the text up to there; all others are whole. Null and empty texts are never taken."""
-    rows = drawn(docs, plan)
-    return rows.select(*taken_rows(rows, docs))
+    source at most) is the text up to there; all others are whole. Null and empty texts are never taken. Rows of an output shard
+    stand together, in a random order (a hash of id, text and pass)."""
+    rows = drawn(docs, plan).withColumn("shard", F.col("draw.shard"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "order").select(*taken_rows(rows, docs))
 
 
 def write_mix(docs: DataFrame, plan: DataFrame, path: str, tasks: int) -> None:

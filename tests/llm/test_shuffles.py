@@ -178,4 +178,19 @@ def test_mix_many_blocks(spark, tmp_path):
 
 def test_query_mix(spark):
     docs = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    check_mix(docs, queries.op2_source_mix(spark, SMALL).collect())
+    rows = queries.op2_source_mix(spark, SMALL).collect()
+    check_mix(docs, rows)
+    per_shard = collections.Counter(s for r in rows for s in r["shards"].split(",") if s)
+    assert len(per_shard) >= 24  # the tree has draws to make at every size
+
+
+def test_mixed_rows_stand_by_shard_in_random_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = M.mix(docs)
+    shard_of = {}
+    for r in plan.collect():
+        shard_of.setdefault(r["doc_id"], set()).update(d["shard"] for d in r["draws"])
+    parts = [list(p) for p in M.mixed(docs, plan).select("doc_id").rdd.map(lambda r: r[0]).glom().collect()]
+    once = [[next(iter(shard_of[i])) for i in p if len(shard_of[i]) == 1] for p in parts]
+    assert all(p == sorted(p) for p in once) and len({s for p in once for s in p}) > 20
+    assert sum(p != sorted(p) for p in parts if len(p) > 5) > 0
