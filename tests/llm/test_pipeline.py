@@ -1,7 +1,8 @@
+import collections
 import re
 
 import corpus_pipeline as C
-from lanewright.llm import langid, minhash, mixing, pieces, quality
+from lanewright.llm import langid, mixing, pieces, quality
 from tests.llm.conftest import SMALL
 from tests.llm.test_minhash import brute
 
@@ -49,16 +50,46 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted((r["doc_id"], decoder.decode(r["ids"])) for r in after.collect()) == texts and all(r["n_ids"] == len(r["ids"]) for r in after.collect())
 
 
-def test_stages_of_edges(spark, edge, empty):
-    """Nulls, empty and long texts, repeated rows, clashing names and an empty table go through every stage."""
-    for docs in (edge, empty):
-        rows = docs
-        for name, stage in C.STAGES:
-            out = stage(spark, docs, SMALL)
-            assert name == C.STAGES[-1][0] or out.columns == docs.columns
-            assert out.count() <= 2 * rows.count()
+def counted(rows):
+    return collections.Counter((r["doc_id"], r["text"]) for r in rows)
+
+
+def test_stages_of_edges(spark, edge, edge_rows):
+    """What the docstring promises of nulls, empty and long texts, repeated rows and clashing names, stage by stage."""
+    given = counted([{"doc_id": r[0], "text": r[1]} for r in edge_rows])
+    copy = edge_rows[5][1]
+    for name, stage in C.STAGES:
+        rows = stage(spark, edge, SMALL).collect()
+        if name == "sentencepiece":
+            decoder = pieces.Decoder(pieces.load())
+            assert counted([{"doc_id": r["doc_id"], "text": decoder.decode(r["ids"])} for r in rows]) == collections.Counter({(i, t or ""): n for (i, t), n in given.items()} | {(None, ""): 1})
+            continue
+        got = counted(rows)
+        assert rows and set(rows[0].asDict()) == set(edge.columns) and all(r["node"] == 7 and r["_id"] == 99 and r["value"] == "v" for r in rows)
+        if name == "source_mix":  # whole but for one document a source; wordless ones never
+            words = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+            assert sum(n * words(t) for (_, t), n in got.items()) == sum(r["taken"] for r in mixing.mix(edge).collect())
+            assert sum(x not in given for x in got) <= 4 and not any(i in (1, 2, 3) for i, _ in got) and all(n <= 2 * given.get(x, 1) for x, n in got.items())
+        else:
+            assert got <= given
+        if name == "language":
+            assert not {i for i, _ in got} & {1, 2, 3, 4} and all(n == given[x] for x, n in got.items())
+        if name == "quality":  # equal texts are judged alike
+            for t in {t or "" for _, t in given}:
+                assert len({x in got for x in given if (x[1] or "") == t}) == 1
+        if name == "near_duplicates":
+            want = {x: 1 for x in given if x[0] is not None} | {x: n for x, n in given.items() if x[0] is None}
+            for gone in ((6, copy), (7, copy.replace("a", "b", 1)), (21, copy), (13, "one")):
+                del want[gone]
+            assert got == want
+
+
+def test_stages_of_an_empty_table(spark, empty):
+    for name, stage in C.STAGES:
+        out = stage(spark, empty, SMALL)
+        assert out.count() == 0 and (name == "sentencepiece" or out.columns == empty.columns)
+
 
 def test_run(spark):
     out = C.run(spark, SMALL)
     assert out.columns == ["doc_id", "ids", "n_ids"] and out.count() > 50 and C.ORACLE_SQL is None
-    assert C.STAGES[2][1] is C.near_duplicates and minhash.kept_documents
