@@ -204,7 +204,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected, for every row.
 
     A text that is null or has no letter is 'und' with score 0 and rejected, as is every text where no language was
-    learned. lang_pred stays the nearest language where the distance rejects. Long texts are read whole.
+    learned. lang_pred stays the nearest language where the distance rejects; of equally near ones the first in code point
+    order. Long texts are read whole; repeated rows get the same result; other columns of docs are ignored; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing, not even with each other; texts of fewer than five words with their equals in words only. Rows with a
     null doc_id are judged alone: component_id null, kept. Rows that repeat id and text get the same result. A true link is
     missed only where its signatures agree in fewer than MATCHES of COORDINATES (under 10^-4 at the threshold itself, and
-    far less above).
+    far less above). Texts are read whole, however long; other columns of docs are ignored, whatever their names; an empty table
+    gives an empty one.
     """
     return placed(docs).drop("text_hash", "root")
 

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     for at most one document a source, which its quota cuts. A block has block_words words; unless named, so many that the tree
     has LEAST_SHARDS shards, and MOST_BLOCK_WORDS at most. Sources are weighted in code point order, a null source last.
     Null and empty texts have size 0 and take nothing, but stay in the result. Rows equal in doc_id, text and source are
-    numbered and dealt one by one. Other columns are left out; an empty table stays empty. Only the table of sources reaches the driver; more than most_sources raise ValueError.
+    numbered and dealt one by one. A document of any length is in one block. Other columns are left out; an empty table stays empty. Only the table of sources reaches the driver; more than most_sources raise ValueError.
     """
     spark = docs.sparkSession
     rows = sized(docs)

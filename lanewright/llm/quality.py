@@ -122,7 +122,8 @@ def _share(docs: DataFrame, labels: DataFrame) -> float:
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null texts score as empty ones, repeated rows alike."""
+    """doc_id, held_out, score, predicted for every row; null texts score as empty ones, repeated rows alike. Texts are read whole,
+    however long; other columns of docs are ignored, whatever their names; an empty table gives an empty one."""
 
     def start():
         score_of = model.scorer()

@@ -23,7 +23,7 @@ def with_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_bytes:
 
     Null texts have no bytes. Rows are told apart by doc_id and text; rows equal in both are interchangeable, and share a
     bucket. The permutations are written to the shared folder before use, so a task run again sees the same ones. An empty
-    table stays empty. Shards differ by one row at most, also where there are fewer rows than shards.
+    table stays empty. Texts are moved whole, however long, and one that is larger than a bucket fills one. Shards differ by one row at most, also where there are fewer rows than shards.
     """
     size, bucket, draw, count, offset, order, number, place, shard, slot = free(docs.columns, "_size", "_bucket", "_draw", "_rows", "_offset", "_order", "_number", "_place", "_shard", "_slot")
     rows = docs.withColumn(size, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
