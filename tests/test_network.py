@@ -111,6 +111,33 @@ def test_proximity_over_the_antimeridian_and_the_poles(spark):
     assert {(r["src"], r["dst"]) for r in network.proximity_pairs(own, 100.0).collect()} == want and len(want) > 100
 
 
+def test_parts_and_reach():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for n, m in ((1, 1), (12, 14), (40, 60), (40, 200), (300, 320)):
+        edges = sorted({(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(m)})
+        net = paths.Network.of(pa.table({"src": [a for a, _ in edges], "dst": [b for _, b in edges], "weight": [1.0] * len(edges)}))
+        names, after = net.names, {}
+        for a, b in edges:
+            after.setdefault(a, []).append(b)
+        reach = {}
+        for a in names:
+            seen, todo = {a}, [a]
+            while todo:
+                for b in after.get(todo.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            reach[a] = seen
+        part, _ = net.parts
+        assert all((part[i] == part[j]) == (b in reach[a] and a in reach[b]) for i, a in enumerate(names) for j, b in enumerate(names))
+        masks = net.reaching(list(range(len(names))))
+        assert all(bool(masks[part[i]] >> j & 1) == (b in reach[a]) for i, a in enumerate(names) for j, b in enumerate(names))
+    chain = pa.table({"src": [str(i) for i in range(50_000)], "dst": [str(i + 1) for i in range(50_000)], "weight": [1.0] * 50_000})
+    assert len(paths.Network.of(chain).parts[1]) == 50_001
+
+
 def test_large_boxes_and_long_lanes_take_few_cells(spark):
     box = spark.createDataFrame([("stray", 0.0, 0.0, 40.0, 110.0), ("small", 40.0, 110.0, 40.001, 110.001)], "k string, south double, west double, north double, east double")
     vertices = spark.createDataFrame([(1, 20.0, 20.0), (2, 110.0005, 40.0005), (3, -1.0, 5.0)], "f int, lon double, lat double")
