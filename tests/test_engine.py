@@ -56,7 +56,7 @@ def test_batch(spark, folder, tmp_path):
     status = {s["file"].rpartition("/")[2]: s for s in batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{tmp_path}/out")}
     assert status["bad.json"]["status"] == "not JSON" and status["D1x矿.json"]["status"] == "not JSON"  # a byte-order mark
     page = open(status["E2.json"]["target"], encoding="utf-8").read()
-    assert "task 1" in page and "areas" in page and "lanes" in page and "checkbox" in page
+    assert "Task 1: None | " in page and "areas" in page and "lanes" in page and "checkbox" in page
     assert [s["file"].rpartition("/")[2] for s in batch_maps(spark, f"{folder}/gps", f"{folder}/clean.json", f"{tmp_path}/out")] == sorted(status) == ["D1x矿.json", "E2.json", "bad.json"]
 
 
