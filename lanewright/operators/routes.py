@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,20 @@ from lanewright.settings import DEFAULT, Settings
 from lanewright.storage import written
 
 
+PLACES = ["origin_lon", "origin_lat", "destination_lon", "destination_lat"]
+
+
+def once_a_trip(ends: DataFrame, keys: list[str], of: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """of(trips, its key) over the distinct pairs of places, its rows given to every task (keys) of a trip: tasks that start and end
+    at the same places have the same candidates and routes."""
+    ends = written(ends.select(*keys, *PLACES), "ends")
+    trips = written(ends.select(*PLACES).distinct().withColumn("_trip", F.monotonically_increasing_id()), "trips")
+    rows = written(of(trips, ["_trip"]), "trip-rows")
+    named = trips.withColumnsRenamed({c: f"_{c}" for c in PLACES})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACES))
+    return ends.join(named, same).select(*keys, "_trip").join(rows, "_trip").drop("_trip")
+
+
 def candidates(ends: DataFrame, lanes: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
     """Every nearest lane of a task's origin with every nearest lane of its destination, with both projections."""
     sides = F.explode(F.array(*[F.struct(F.lit(s[0]).alias("_side"), F.col(f"{s}_lon").alias("lon"), F.col(f"{s}_lat").alias("lat")) for s in ("origin", "destination")])).alias("_end")
@@ -74,7 +91,7 @@ def tried(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame,
 
 def plan(ends: DataFrame, lanes: DataFrame, links: DataFrame, edges: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
     """The best route of every task that has one."""
-    return best(tried(ends, lanes, links, edges, keys, settings), keys)
+    return once_a_trip(ends, keys, lambda trips, key: best(tried(trips, lanes, links, edges, key, settings), key))
 
 
 def summary(planned: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:

@@ -253,7 +253,8 @@ from shown group by user_id"""
 )
 def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The padded box and the centre of the route map of every track: of its driven points and the drawn lanes."""
-    planned, lanes = Q.planned(spark, sf_dir), Q.lanes(spark, sf_dir)
+    lanes = Q.made_lanes(spark, sf_dir)
+    planned = Q.planned(spark, sf_dir, lanes)
     parts = routes.visible(planned, lanes, Q.USER).join(lanes.select("uid", "length_m"), "uid").withColumns({"type_id": F.lit(101), "name": F.col("uid")})
     history = Q.histories(spark, sf_dir).join(planned.select("user_id"), "user_id")
     ends = planned.select("user_id", "o_proj", "d_proj").join(history, "user_id")

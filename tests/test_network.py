@@ -222,3 +222,31 @@ def test_features_and_tracks(spark):
     points = spark.createDataFrame([(1, 0, 1.0, 1.0, None), (1, 1, None, 1.0, 9.0), (2, 0, 1.0, 1.0, 3.0)], "t int, i int, lon double, lat double, speed double")
     assert {r["t"]: r["max_speed"] for r in tracks.top_speeds(points, ["t"]).collect()} == {1: None, 2: 3.0}
     assert {r["t"]: r["length_m"] for r in tracks.lengths(points.filter("lon is not null"), ["t"], "i").collect()} == {1: 0.0, 2: 0.0}
+
+
+def test_of_a_large_network_only_what_sources_reach_is_searched(spark, monkeypatch):
+    far = [(f"x{i}", f"x{i + 1}", 1.0) for i in range(40)]
+    near = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("a", "c", 3.0), ("x7", "a", 1.0)]
+    df, pairs = spark.createDataFrame(far + near, "src string, dst string, weight double"), spark.createDataFrame([("a", "c"), ("a", "x7"), ("b", "a"), ("gone", "gone")], "src string, dst string")
+    ways, costs = sorted(map(tuple, paths.paths(df, pairs).collect())), sorted(paths.from_sources(df, pairs.select("src")).collect(), key=str)
+    monkeypatch.setattr(paths, "MOST_EDGES", 4)
+    monkeypatch.setattr(paths, "joined", lambda *_: pytest.fail("the whole network was relaxed"))
+    assert sorted(map(tuple, paths.paths(df, pairs).collect())) == ways and [w[:3] for w in ways] == [("a", "c", 3.0), ("b", "a", 3.0), ("gone", "gone", 0.0)]
+    assert sorted(paths.from_sources(df, pairs.select("src")).collect(), key=str) == costs
+    assert paths.reached(df, spark.createDataFrame([("x7",)], "src string")) is None
+
+
+def test_tasks_of_one_trip_are_planned_once(spark, monkeypatch):
+    own = lanes_of(spark, {"1": ([(110, 40), (110.001, 40)], ["2"], []), "2": ([(110.001, 40), (110.002, 40)], [], [])})
+    links, trip = network.declared_links(own), (110.0001, 40.0, 110.0019, 40.0)
+    ends = spark.createDataFrame([("a", *trip), ("b", *trip), ("c", *trip[:3], 40.0001)], "k string, origin_lon double, origin_lat double, destination_lon double, destination_lat double")
+    asked, candidates = [], routes.candidates
+
+    def counted(trips, *rest):
+        asked.append(trips.count())
+        return candidates(trips, *rest)
+
+    monkeypatch.setattr(routes, "candidates", counted)
+    rows = {r["k"]: r for r in routes.plan(ends, own, links, network.edges(links, own), ["k"]).collect()}
+    assert asked == [2] and sorted(rows) == ["a", "b", "c"]
+    assert rows["a"].asDict() | {"k": "b"} == rows["b"].asDict() and rows["a"]["path"] == ["1", "2"] and rows["c"]["total_m"] > rows["a"]["total_m"]
