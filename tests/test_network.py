@@ -250,3 +250,24 @@ def test_tasks_of_one_trip_are_planned_once(spark, monkeypatch):
     rows = {r["k"]: r for r in routes.plan(ends, own, links, network.edges(links, own), ["k"]).collect()}
     assert asked == [2] and sorted(rows) == ["a", "b", "c"]
     assert rows["a"].asDict() | {"k": "b"} == rows["b"].asDict() and rows["a"]["path"] == ["1", "2"] and rows["c"]["total_m"] > rows["a"]["total_m"]
+
+
+def test_counted_by_boxes_keeps_no_pairs(spark, monkeypatch):
+    rng, size = random.Random(5), [0.0005, 0.004, 0.03, 2.0]
+    vertices = [(f, None if rng.random() < 0.05 else rng.randrange(40) / 1000, rng.randrange(40) / 1000) for f in range(60) for _ in range(rng.randint(1, 5))]
+    vertices += [(f + 100, lon, lat) for f, lon, lat in vertices]  # the same shapes again
+    boxes = []
+    for k in range(80):
+        south, west = rng.randrange(-10, 40) / 1000, rng.randrange(-10, 40) / 1000
+        boxes.append((k, south, west, south + rng.choice(size), west + rng.choice(size)))
+    boxes += [(k + 100, *sides) for k, *sides in boxes]
+    v, b = spark.createDataFrame(vertices, "f long, lon double, lat double"), spark.createDataFrame(boxes, "k long, south double, west double, north double, east double")
+    want = {}
+    for k, south, west, north, east in boxes:
+        met = {f for f, lon, lat in vertices if lon is not None and south <= lat <= north and west <= lon <= east}
+        if met:
+            want[k] = (len(met), min(met))
+    rows = features.counted_by_boxes(v, "f", b, ["k"])
+    assert {r["k"]: (r["features"], r["first"]) for r in rows.collect()} == want and 0 < len(want) < len(boxes)
+    pairs = {(r["k"], r["f"]) for r in features.met_by_boxes(v, ["f"], b, ["k"]).collect()}
+    assert len(pairs) == sum(n for n, _ in want.values())
