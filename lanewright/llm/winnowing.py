@@ -30,42 +30,50 @@ def chain(value: Column, steps: list[Callable[[Column], Column]]) -> Column:
 
 
 def codes(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.ascii(F.lower(c)).cast("long"))
+    """The code points of the characters, each lower-cased by itself. That is the text lower-cased at once but where it has one of
+    two letters: the sigma, whose lower case depends on its neighbours, and the dotted I, whose lower case is two characters."""
+    of = lambda text, lowered: F.transform(F.split(text, ""), lambda c: F.ascii(lowered(c)).cast("long"))
+    alone = F.contains(text, F.lit("\u03a3")) | F.contains(text, F.lit("\u0130"))
+    return F.when(alone, of(text, F.lower)).otherwise(of(F.lower(text), lambda c: c))
 
 
-def doubled(n: int) -> Callable[[Column], Column]:
-    """From the hashes of n characters those of 2n."""
+def doubled(n: int, of: Callable[[Column, Column], Column] = lambda h, i: h) -> Callable[[Column], Column]:
+    """From the hashes of n characters of() those of 2n and their places (from 0). The array keeps its length: null where the
+    characters end before, with as many nulls behind as there were."""
     up = pow(BASE, n, PRIME)
-    return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - n), F.slice(h, F.lit(n + 1), F.size(h) - n), lambda x, y: (x * up + y) % PRIME)
+    return lambda h: F.transform(h, lambda x, i: of((x * up + F.get(h, i + n)) % PRIME, i))
 
 
 def least_of(n: int, most: int) -> Callable[[Column], Column]:
-    """From the least of each n values in a row those of most (at most 4 n)."""
-    at = sorted({min(i * n, most - n) for i in range(-(-most // n))})
-    return lambda g: F.transform(F.slice(g, F.lit(1), F.size(g) - at[-1]), lambda x, i: F.least(x, *[F.get(g, i + j) for j in at[1:]]))
+    """From the least of each n values in a row those of most (at most 2 n). The array keeps its length: fewer at its end."""
+    return lambda g: F.transform(g, lambda x, i: F.least(x, F.get(g, i + (most - n))))
 
 
 def minima(text: Column, before: Column, k: int, window: int) -> Column:
-    """The least packed hash of each window of a text of k + window - 1 characters or more that stands `before` others."""
+    """The distinct least packed hashes of the whole windows of a text of k + window - 1 characters or more that stands `before` others."""
     if k & (k - 1):
         raise ValueError("k must be a power of two")
+    packed = lambda h, i: h * (1 << 31) + (POSITION - before - i)
     steps, n = [codes], 1
+    if k == 1:
+        steps.append(lambda h: F.transform(h, packed))
     while n < k:
-        steps.append(doubled(n))
+        steps.append(doubled(n, packed) if 2 * n == k else doubled(n))
         n *= 2
-    steps.append(lambda h: F.transform(h, lambda x, i: x * (1 << 31) + (POSITION - before - i)))
     n = 1
     while n < window:
-        steps.append(least_of(n, min(4 * n, window)))
-        n = min(4 * n, window)
-    return chain(text, steps)
+        steps.append(least_of(n, min(2 * n, window)))
+        n = min(2 * n, window)
+    # the windows that the end cuts stand behind the whole ones; positions never fall, so what only they chose stands behind too
+    whole = lambda g: let(F.get(g, F.size(g) - (k + window - 1)), lambda last: F.filter(F.array_distinct(g), lambda c: position(c) <= position(last)))
+    return chain(text, [*steps, whole])
 
 
 def windows(text: Column, before: Column, k: int, window: int) -> Column:
     """The chosen values of all whole windows, PIECE windows at a time; none where the text is too short for one."""
     reach = k + window - 2
     starts = F.sequence(F.lit(1), F.length(text) - reach, F.lit(PIECE))
-    piece = lambda at: F.array_distinct(minima(F.substring(text, at, F.lit(PIECE + reach)), before + at - 1, k, window))
+    piece = lambda at: minima(F.substring(text, at, F.lit(PIECE + reach)), before + at - 1, k, window)
     return F.when(F.length(text) > reach, F.array_distinct(F.flatten(F.transform(starts, piece)))).otherwise(F.array().cast(LONGS))
 
 

@@ -61,6 +61,20 @@ def test_fingerprints_by_definition(spark):
     assert pieces == whole and all(shown(whole[i]) == brute(t) for i, t in enumerate(texts))
 
 
+def test_letters_that_lower_case_by_their_neighbours(spark):
+    texts = ["\u0391\u03a3 \u0391\u03a3\u0391 \u03bf\u03a3" * 9, "\u0130stanbul I\u015eIK " * 7, "\u0391\u03a3", "\u01c4 \u01c5 \u2126 \u212a \u212b \u1e9e " * 8, "\U00010400\U00010401ab" * 20]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["f"] for r in W.fingerprints(docs).select("doc_id", W.printed(F.col("chosen")).alias("f")).collect()}
+    assert all(shown(got[i]) == brute(t) for i, t in enumerate(texts))
+
+
+def test_a_text_is_passed_over_nine_times(spark):
+    """Once for its codes, four times for the hashes and their places, four times for the minima; no pass copies the whole array."""
+    made = str(spark.createDataFrame([], "t string").select(W.minima(F.col("t"), F.lit(0), W.K, W.WINDOW).alias("m"))._jdf.queryExecution().analyzed())
+    assert made.count("slice(") == made.count("zip_with(") == 0
+    assert made.count("least(") == 4 and made.count("% ") == 4
+
+
 def check_edits(rows, result):
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     by_id = {r["doc_id"]: r for r in result}
