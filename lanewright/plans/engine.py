@@ -148,11 +148,11 @@ def drawn(spark: SparkSession, tasks_path: str, resource_path: str, settings: Se
     exact = tracks.boxes(rows.select("file", F.explode("points").alias("p")).select("file", "p.lon", "p.lat"), ["file"])
     boxes = exact.select("file", *[(F.col(c) + sign * settings.bbox_margin_deg).alias(c) for c, sign in (("south", -1), ("west", -1), ("north", 1), ("east", 1))])
     resources, unread = J.records(J.existing(spark, resource_path, recursive=False), strict=True)
-    if (r := unread.unionByName(J.unusable(resources)).first()) is not None:
+    found = written(J.shapes(resources), "shapes")
+    if (r := unread.unionByName(J.unusable(found)).first()) is not None:
         raise ValueError(f"{r['file']}: {r['reason']}")
     met = []
-    for name, table in zip(("areas", "lines"), J.features(resources), strict=True):
-        table = written(table, name)
+    for table in J.drawable(found):
         vertices = table.select("feature", F.explode("points").alias("p")).select("feature", "p.lon", "p.lat")
         met.append(features.met_by_boxes(vertices, ["feature"], boxes, ["file"]).join(table, "feature"))
     areas, lines = met

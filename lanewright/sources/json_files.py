@@ -6,6 +6,8 @@ way (lookup) strips a byte-order mark and drops items that are no objects; the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -118,7 +120,7 @@ def batch_tasks(found: DataFrame) -> DataFrame:
     a number can't be read, or two times can't be compared (text, numbers and others among each other; an absent one is an empty text).
     """
     field = lambda name, default: F.when(has(F.col("record"), name), got(F.col("record"), f"$.{name}", "string")).otherwise(F.lit(default))
-    all_ = messages(F.col("record"))
+    found, all_ = found.withColumn("messages", messages(F.col("record"))), F.col("messages")  # read once for all that follows
     place = lambda m, i: F.struct(F.coalesce(m["number"], F.lit(0.0)).alias("number"), F.coalesce(m["timestamp"], F.lit("")).alias("timestamp"), i.alias("pos"), m["lon"].alias("lon"), m["lat"].alias("lat"), m["speed"].alias("speed"))
     placed = F.transform(all_, lambda m, i: F.when(m["kind"] == 1, place(m, i).withField("timestamp", F.lit(""))).otherwise(place(m, i)))
     kinds = F.array_distinct(F.transform(all_, lambda m: m["kind"]))
@@ -137,11 +139,16 @@ def has(value: Column, name: str) -> Column:
     return F.array_contains(F.map_keys(got(value, "$", "map<string,variant>")), name)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def payload(record: Column) -> Column:
     """The payload object: itself, or parsed from text; null for anything else."""
-    raw = got(record, f"$['{PAYLOAD}']", "variant")
-    parsed = F.when(is_object(raw), raw).otherwise(F.try_parse_json(got(record, f"$['{PAYLOAD}']", "string")))
-    return F.when(is_object(parsed), parsed)
+    parsed = lambda raw: F.when(is_object(raw), raw).otherwise(F.try_parse_json(got(record, f"$['{PAYLOAD}']", "string")))
+    whole = lambda raw: bound(parsed(raw), lambda p: F.when(is_object(p), p))
+    return bound(got(record, f"$['{PAYLOAD}']", "variant"), whole)
 
 
 def id_list(value: Column, path: str) -> Column:
@@ -216,26 +223,41 @@ def spoiled(point: Column) -> Column:
     return is_object(point) & given(point, "$.x") & given(point, "$.y") & (wrong("x") | wrong("y"))
 
 
-def unusable(found: DataFrame) -> DataFrame:
-    """file, reason of the resource files that the batch way can't read: an item is no object, or a coordinate no number."""
-    data = payload(F.col("record"))
-    vertices = F.concat(
-        F.coalesce(got(data, "$.polygon.point", "array<variant>"), F.array().cast("array<variant>")),
-        F.coalesce(F.flatten(F.transform(got(data, "$.central_curve.segment", "array<variant>"), lambda s: F.coalesce(got(s, "$.line_segment.point", "array<variant>"), F.array().cast("array<variant>")))), F.array().cast("array<variant>")),
-    )
-    reason = F.when(~is_object(F.col("record")), "an item that is no object").when(F.exists(vertices, spoiled), "a coordinate that is no number")
-    return found.select("file", reason.alias("reason")).filter("reason is not null").distinct()
+def shapes(found: DataFrame) -> DataFrame:
+    """Of every item its feature (the place of the item, which tells equal resources apart), labels, payload's area (ring) and centre line
+    (line), there (it has a payload object), and the reason why the batch way can't read its file: it is no object, or a coordinate no number.
 
+    A payload is parsed once for all of these; store the rows where more than one is asked for.
+    """
 
-def features(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(areas, lines) of the batch way: one resource can give both; an item without a payload object gives none. feature tells
-    equal resources apart: the place of the item. Files that are unusable() should be kept out or raise."""
-    rows = found.filter(is_object(F.col("record"))).withColumn("data", payload(F.col("record"))).filter("data is not null")
-    label = lambda key: F.when(has(F.col("record"), key), got(F.col("record"), f"$['{key}']", "string")).otherwise(F.lit(""))
-    rows = rows.withColumns({"name": label(NAME), "type": label(TYPE_NAME), "type_id": label(TYPE_ID)})
+    def of(data: Column) -> Column:
+        listed = lambda x: F.coalesce(x, F.array().cast("array<variant>"))
+        curves = F.flatten(F.transform(got(data, "$.central_curve.segment", "array<variant>"), lambda s: listed(got(s, "$.line_segment.point", "array<variant>"))))
+        wrong = F.exists(F.concat(listed(got(data, "$.polygon.point", "array<variant>")), listed(curves)), spoiled)
+        return F.struct(data.isNotNull().alias("there"), area(data).alias("ring"), joined_curve(data).alias("line"), wrong.alias("wrong"))
+
+    record = F.col("record")
+    rows = found.select("file", F.struct("order", "pos").alias("feature"), "record", F.map_keys(got(record, "$", "map<string,variant>")).alias("keys"), bound(payload(record), of).alias("of"))
+    label = lambda key: F.when(F.array_contains("keys", key), got(record, f"$['{key}']", "string")).otherwise(F.lit(""))
+    reason = F.when(~is_object(record), "an item that is no object").when(F.col("of.wrong"), "a coordinate that is no number")
+    return rows.select("file", "feature", label(NAME).alias("name"), label(TYPE_NAME).alias("type"), label(TYPE_ID).alias("type_id"), "of.there", "of.ring", "of.line", reason.alias("reason"))
+
+
+def unusable(shapes_: DataFrame) -> DataFrame:
+    """file, reason of the resource files that the batch way can't read, from shapes()."""
+    return shapes_.select("file", "reason").filter("reason is not null").distinct()
+
+
+def drawable(shapes_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(areas, lines) of shapes(): one resource can give both; an item without a payload object gives none."""
     none = lambda c: F.coalesce(F.col(c), F.lit("None"))
-    rows = rows.withColumn("tooltip", F.concat(none("name"), F.lit(" | "), none("type"), F.lit(" | 类型ID="), none("type_id")))
-    columns = [F.struct("order", "pos").alias("feature"), "name", "type", "type_id", "tooltip"]
-    areas = rows.select(*columns, area(F.col("data")).alias("points")).filter(F.size("points") >= 3)
-    lines = rows.select(*columns, joined_curve(F.col("data")).alias("points")).filter(F.size("points") >= 2)
+    rows = shapes_.filter("there").withColumn("tooltip", F.concat(none("name"), F.lit(" | "), none("type"), F.lit(" | 类型ID="), none("type_id")))
+    columns = ["feature", "name", "type", "type_id", "tooltip"]
+    areas = rows.filter(F.size("ring") >= 3).select(*columns, F.col("ring").alias("points"))
+    lines = rows.filter(F.size("line") >= 2).select(*columns, F.col("line").alias("points"))
     return areas, lines.withColumn("raw_count", F.size("points").cast("long"))
+
+
+def features(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(areas, lines) of the batch way. Files that are unusable() should be kept out or raise."""
+    return drawable(shapes(found))

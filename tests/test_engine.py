@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from lanewright.plans import engine
 from lanewright.plans.engine import Engine, NoTrack, TaskNotFound, batch_maps, pages
 from lanewright.sources import json_files as J
 
@@ -145,3 +146,20 @@ def test_lanes_twice_keep_the_first_place(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([lane("a", [[(0, 0), (1, 0)]]), lane("b", [[(0, 0)]]), lane("a", [[(5, 5), (6, 5)]], predecessor_uid=[" b ", "None", None, 3])]))
     rows = {r["uid"]: r for r in J.lanes(J.records(J.files(spark, str(tmp_path)))[0])[0].collect()}
     assert rows["a"]["start_point"]["lon"] == 5.0 and rows["a"]["lane_ord"] < rows["b"]["lane_ord"] and rows["a"]["predecessor_uid"] == ["b", "3"] and rows["b"]["length_m"] == 0.0
+
+
+def test_resources_are_parsed_once_for_a_map(spark, tmp_path, monkeypatch):
+    """Areas, lines and what can't be read come from one stored pass over the resource files; each file was parsed three times."""
+    (tmp_path / "tasks").mkdir()
+    points = [{"x": 110 + i / 1e3, "y": 40 + i * i / 1e3} for i in range(4)]
+    message = [{"longitude": p["x"], "latitude": p["y"], "received_at": str(i)} for i, p in enumerate(points)]
+    (tmp_path / "tasks" / "a.json").write_text(json.dumps([{"sn": "1", "task_id": "t", "rt_message": message}]))
+    curve = {"segment": [{"line_segment": {"point": points}}]}
+    items = [{J.NAME: "n", J.TYPE_NAME: "k", J.TYPE_ID: 101, J.PAYLOAD: json.dumps({"central_curve": curve, "polygon": {"point": points}})}, {J.PAYLOAD: "{broken"}]
+    (tmp_path / "map.json").write_text(json.dumps(items))
+    stored, of = [], engine.written
+    monkeypatch.setattr(engine, "written", lambda df, name: stored.append(name) or of(df, name))
+    rows, *_ = engine.drawn(spark, str(tmp_path / "tasks"), str(tmp_path / "map.json"))
+    assert [n for n in stored if n in ("areas", "lines", "shapes")] == ["shapes"]
+    assert sorted((r["layer"], r["kind"], len(r["coords"]), r["tooltip"]) for r in rows.filter("layer in ('lanes', 'areas')").collect()) == [("areas", "area", 4, "n | k | 类型ID=101"), ("lanes", "line", 4, "n | k | 类型ID=101")]
+    assert "binaryFile" not in rows._jdf.queryExecution().optimizedPlan().toString()
