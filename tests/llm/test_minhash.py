@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lanewright.llm import minhash as H
 from lanewright.llm import queries
 from lanewright.llm.common import FILTER_BITS, bits_of, perhaps_in
+from lanewright.llm import components as parts
 from lanewright.llm.components import components
 from lanewright.llm.shingles import Powers, shingle_sets
 from tests.llm.conftest import SCHEMA, SMALL, row, words
@@ -68,6 +69,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_nodes_with_few_and_with_many_links(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(400, 401 + i) for i in range(30)] + [(500 - i, 430) for i in range(30)], "a long, b long")
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(parts, "MOST_LINKS", 3)
+    assert sorted(map(tuple, components(edges).collect())) == few
+    assert parts.shape(edges.filter("a = 400"))[0] and parts.shape(edges.filter("a = 400"))[1] == 30 and not parts.shape(edges.filter("a >= 400"))[0]
+
+
+def test_a_round_of_components_shuffles_three_times(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    plan = parts.small_star(parts.large_star(edges, parts.with_least_of_few), parts.with_least_of_few)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "Join" not in plan
+
+
 def edited(rng, text, share):
     return " ".join(w if rng.random() > share else w + "x" for w in text.split())
 
