@@ -50,10 +50,15 @@ def least_of(n: int, most: int) -> Callable[[Column], Column]:
 
 
 def minima(text: Column, before: Column, k: int, window: int) -> Column:
-    """The distinct least packed hashes of the whole windows of a text of k + window - 1 characters or more that stands `before` others."""
+    """The distinct least packed hashes of the whole windows of a text of k + window - 1 characters or more that stands behind `before` others."""
     if k & (k - 1):
         raise ValueError("k must be a power of two")
-    packed = lambda h, i: h * (1 << 31) + (POSITION - before - i)
+    return let(F.lit(POSITION) - before, lambda first: minima_from(text, first, k, window))
+
+
+def minima_from(text: Column, first: Column, k: int, window: int) -> Column:
+    """minima(), with what the first character's hash holds as its position."""
+    packed = lambda h, i: h * (1 << 31) + (first - i)
     steps, n = [codes], 1
     if k == 1:
         steps.append(lambda h: F.transform(h, packed))
@@ -92,17 +97,24 @@ def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
     return F.when(F.length(text) > k + window - 2, windows(text, F.lit(0), k, window)).otherwise(short(text, k))
 
 
-def chosen_after(own: Column, keep: Column, text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """chosen() of a text whose first `keep` characters are those of the text with the fingerprint `own`.
+def first_of(own: Column, window_at: Column, window: int) -> Column:
+    """Of a fingerprint the values that its windows up to the one at window_at (from 0) chose: positions never fall from window to
+    window, so those up to the value that this one chose, the least in its reach."""
+    at_last = let(window_at, lambda at: F.array_min(F.filter(own, lambda c: position(c).between(at, at + window - 1))))
+    return let(position(at_last), lambda end: F.filter(own, lambda c: position(c) <= end))
+
 
-    Windows within them choose what they chose before, so only those that reach beyond are made anew: positions never fall
-    from window to window, so the former are the values up to the one that the last of them chose.
+def chosen_across(own: Column, keep: Column, text: Column, next_own: Column, k: int = K, window: int = WINDOW) -> Column:
+    """chosen() of a text that is the first `keep` characters of a text with the fingerprint `own`, then the start of one with the
+    fingerprint `next_own`.
+
+    Windows within either part choose what they chose before, so only those over the seam are made anew.
     """
-    last = keep - (k + window - 2)  # the windows that lie within, and the place (from 0) before the first that doesn't
-    at_last = F.array_min(F.filter(own, lambda c: position(c).between(last - 1, last + window - 2)))
-    before = let(at_last, lambda x: F.filter(own, lambda c: position(c) <= position(x)))
-    after = windows(F.substring(text, last + 1, F.length(text)), last, k, window)
-    return F.when(last > 0, F.array_distinct(F.concat(before, after))).otherwise(chosen(text, k, window))
+    reach = k + window - 2
+    seam = windows(F.substring(text, keep - reach + 1, F.lit(2 * reach)), keep - reach, k, window)
+    more = F.length(text) - keep - reach  # the windows that lie within the second part
+    after = let(more, lambda n: F.when(n > 0, F.transform(first_of(next_own, n - 1, window), lambda c: c - keep)).otherwise(F.array().cast(LONGS)))
+    return F.when(keep > reach, F.array_distinct(F.concat(first_of(own, keep - reach - 1, window), seam, after))).otherwise(chosen(text, k, window))
 
 
 def position(chosen_: Column) -> Column:
@@ -184,9 +196,8 @@ def edited_and_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     rows = rows.select("doc_id", "_tie", "_seg", "_sub", "_guest", n.alias("n"), cut.alias("cut"), edited.alias("edited"), chosen(F.col("text"), k, window).alias("chosen"))
-    after = chosen_after(F.col("chosen"), F.col("n") - F.col("cut"), F.col("edited"), k, window)
-    rows = rows.withColumn("chosen_edited", F.when(~F.col("_guest"), after))
     rows = rows.withColumn("next_chosen", F.lead("chosen").over(order)).filter(~F.col("_guest"))
+    rows = rows.withColumn("chosen_edited", chosen_across(F.col("chosen"), F.col("n") - F.col("cut"), F.col("edited"), F.col("next_chosen"), k, window))
     hashes = hashes_of(F.col("chosen"))
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "chosen", "chosen_edited",

@@ -132,3 +132,28 @@ def test_query(spark):
     check_edits(docs, rows)
     near = sorted(r["near_edited"] for r in rows)
     assert near[len(near) // 2] > 0.5 > 0.1 > sorted(r["near_next"] for r in rows)[len(rows) // 2]
+
+
+def test_of_an_edited_text_only_the_seam_is_made_anew(spark, monkeypatch):
+    """The windows of the kept part and of the next text's start are taken from their fingerprints."""
+    rng, made = random.Random(12), []
+    own, other = words(rng, 90), words(rng, 60)
+    keep, cut = len(own) - len(own) // 4, len(own) // 4
+    edited = own[:keep] + other[:cut]
+    plain = W.windows
+    monkeypatch.setattr(W, "windows", lambda text, *rest: made.append(text) or plain(text, *rest))
+    docs = spark.createDataFrame([(own, edited, other, keep)], "own string, edited string, other string, keep int")
+    docs = docs.withColumns({"a": W.chosen(F.col("own")), "b": W.chosen(F.col("other"))})
+    del made[:]
+    across = W.chosen_across(F.col("a"), F.col("keep"), F.col("edited"), F.col("b"))
+    got, seam = docs.select(W.printed(across), F.length(made[0])).first()
+    assert shown(got) == brute(edited) and seam == 2 * (W.K + W.WINDOW - 2) < cut
+
+
+def test_edits_of_all_lengths(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("ab ÉİΣ漢\U0001d518") for _ in range(n)) for n in [*range(0, 140, 3), 500, 12, 600, 131, 700, 129, 800]]
+    texts += ["a" * n for n in (0, 200, 31, 300, 60, 90, 124, 1)]
+    rng.shuffle(texts)
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    check_edits(rows, W.digest(W.edited_and_next(spark.createDataFrame(rows, SCHEMA))).collect())
