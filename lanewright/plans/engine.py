@@ -126,7 +126,7 @@ class Engine:
         for side in ("origin", "destination"):
             ends = ends.withColumn(side, F.struct(F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat")))
         shown = layers.route_layers(ends, parts, one, lanes if show_lanes else None, self.settings)
-        box = layers.bounds(shown.filter("layer in ('history', 'planned')"), self.settings.fit_padding_deg).first()
+        box = layers.bounds(parts, one, self.settings.fit_padding_deg).first()
         legend = [f"sn {sn.strip()}", f"task {task_id.strip()}", f"driven (red): {row['history_distance_m']:.1f} m", f"planned (blue): {row['planned_distance_m']:.1f} m", f"planned lanes: {row['planned_lane_count']}"]
         return {"summary": row.asDict(), "map_html": layers.page(shown.collect(), f"{sn} {task_id}", (box["south"], box["west"], box["north"], box["east"]), legend, (box["centre_lat"], box["centre_lon"]))}
 

@@ -252,13 +252,9 @@ select user_id, round(min(lat) - 0.001, 6) as south, round(min(lon) - 0.001, 6)
 from shown group by user_id"""
 )
 def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The padded box and the centre of the route map of every track: of its driven points and the drawn lanes."""
+    """The padded box and the centre of the route map of every track: of all its driven points and the drawn lanes."""
     lanes = Q.made_lanes(spark, sf_dir)
     planned = Q.planned(spark, sf_dir, lanes)
-    parts = routes.visible(planned, lanes, Q.USER).join(lanes.select("uid", "length_m"), "uid").withColumns({"type_id": F.lit(101), "name": F.col("uid")})
+    parts = routes.visible(planned, lanes, Q.USER)
     history = Q.histories(spark, sf_dir).join(planned.select("user_id"), "user_id")
-    ends = planned.select("user_id", "o_proj", "d_proj").join(history, "user_id")
-    for side, at in (("origin", 1), ("destination", -1)):
-        ends = ends.withColumn(side, F.element_at("points", at))
-    rows = layers.route_layers(ends, parts, history, keys=Q.USER)
-    return Q.rounded(layers.bounds(rows.filter("layer in ('history', 'planned')"), DEFAULT.fit_padding_deg, Q.USER))
+    return Q.rounded(layers.bounds(parts, history, DEFAULT.fit_padding_deg, Q.USER))

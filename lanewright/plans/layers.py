@@ -107,10 +107,14 @@ def batch_layers(routes: DataFrame, areas: DataFrame, lines: DataFrame) -> DataF
     return rows.unionByName(shape(areas, ["file"], behind + 1, "areas", in_order, "area", points, area_colour(F.col("type")), F.col("tooltip"), (2, 0.18)))
 
 
-def bounds(layers: DataFrame, padding: float = 0.0, keys: list[str] | None = None) -> DataFrame:
-    """South, west, north, east of all coordinates of each map (keys; none for one), padded, and their mean as the centre."""
-    points = layers.select(*(keys or []), F.explode("coords").alias("p"))
-    return points.groupBy(*(keys or [])).agg(
+def bounds(parts: DataFrame, tracks: DataFrame, padding: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+    """South, west, north, east of the maps of tasks (keys; none for one), padded, and the mean of all coordinates as the centre.
+
+    Of all points driven (tracks) and of the planned lanes (parts), also where route_layers() draws only some of them.
+    """
+    keys = keys or []
+    lines = parts.select(*keys, lat_lon(F.col("points")).alias("coords")).unionByName(tracks.select(*keys, lat_lon(F.col("points")).alias("coords")))
+    return lines.select(*keys, F.explode("coords").alias("p")).groupBy(*keys).agg(
         (F.min("p.lat") - padding).alias("south"), (F.min("p.lon") - padding).alias("west"), (F.max("p.lat") + padding).alias("north"), (F.max("p.lon") + padding).alias("east"),
         F.avg("p.lat").alias("centre_lat"), F.avg("p.lon").alias("centre_lon"),
     )
